@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import hamming, lattice, packing, piece_bpe, sharding, warc
+from voxelframe.llm import hamming, lattice, lines, packing, piece_bpe, pii, quality, sharding, toxicity, warc
 from voxelframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(f):
     return f
 
 
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), PIECE_MODEL)
@@ -41,6 +46,30 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS).select("doc_id", "shard_slot", "shard_id", "shard")
 
 
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op5_quality_rules"] = quality.ORACLE_SQL
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.clean_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "site", "n_lines", "n_dropped", F.sha2(F.col("clean_text").cast("binary"), 256).alias("text_sha256"))
+
+
+ORACLE["op7_line_dedup"] = lines.ORACLE_SQL
+
+
 @query
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))

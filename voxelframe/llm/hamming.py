@@ -187,5 +187,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lookup(each, labels, ["fp"], "inner").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """The documents without near-duplicates: of each group the one with the least id stays, all columns as they are.
+
+    Rows that share an id count as one document, of which one row stays. A row
+    with a null id cannot be named and stays.
+    """
+    found = saved(near_duplicates(docs, threshold=threshold, size=size).where("doc_id is not null"), "groups")
+    by_id = saved(found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("n")), "choice")
+    gone = by_id.where("stays = 0").select("doc_id")
+    out = lookup(docs, gone, ["doc_id"], "left_anti")
+    if by_id.where("stays = 1 and n > 1").isEmpty():
+        return out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
