@@ -15,6 +15,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 #: Most rows of a lookup table that is broadcast; its rows are a few dozen bytes, so this is some tens of MB. Beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+SLICE = 256  # texts of an Arrow batch that are Python objects at a time
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,10 +128,14 @@ def _array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """Texts as UTF-8 bytes, null as empty."""
-    return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
+def utf8(column: pa.Array) -> Iterator[bytes]:
+    """Texts as UTF-8 bytes, null as empty; only a few at a time become Python objects."""
+    for k in range(0, len(column), SLICE):
+        for v in column.slice(k, SLICE).cast(pa.binary()).to_pylist():
+            yield v or b""
 
 
-def texts(column: pa.Array) -> list[str]:
-    return [v or "" for v in column.to_pylist()]
+def texts(column: pa.Array) -> Iterator[str]:
+    for k in range(0, len(column), SLICE):
+        for v in column.slice(k, SLICE).to_pylist():
+            yield v or ""
