@@ -11,7 +11,7 @@ all pieces share is spread over all tasks.
 from __future__ import annotations
 
 import os
-import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -27,10 +27,8 @@ CAPACITY = 1024
 END_ID = 2
 RANK_BUCKETS = 256  # parts in which pieces of one length are numbered
 ROUNDS = 40  # of local search
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000  # a worker remembers the ids of one to two times as many words; some 120 MB at most
 CACHED_LENGTH = 48
-#: White space other than single spaces and line ends between words, or the start of a special token: such texts are encoded whole.
-IRREGULAR = re.compile(r"[^\S \n]|\s\s|^\s|\s$|[\x1c-\x1f\x85]|<\|")
 LATIN_END = "\u0250"  # letters below are letters in every Unicode version
 TRAILING = ".,;:!?#$%&*|)"
 
@@ -40,7 +38,8 @@ class WordEncoder:
 
     The byte-level pre-tokenizer always starts a new unit at a space between
     two words, and a line end between two words is a unit of its own, so words
-    can be encoded apart and remembered.
+    can be encoded apart and remembered. Texts with other white space, or with
+    the start of a special token, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -52,38 +51,62 @@ class WordEncoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
         self.alphabet = [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+        self.space = self.alphabet[ord(" ")]
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.starts: dict[str, bytes] = {}
         self.newline = self._encode("\n")
 
     def _encode(self, text: str) -> bytes:
         bare = text[1:] if text[:1] == " " else text
-        if bare.isalpha() and max(bare) < LATIN_END:  # one unit of the pre-tokenizer: straight to the merges
-            units = self.tokenizer.model.tokenize("".join(map(self.alphabet.__getitem__, text.encode())))
-            return np.array([u.id for u in units], dtype="<u4").tobytes()
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if bare.isalpha() and (bare.isascii() or max(bare) < LATIN_END):  # one unit of the pre-tokenizer: straight to the merges
+            if bare.isascii():
+                text = self.space + bare if bare is not text else bare
+            else:
+                text = "".join(map(self.alphabet.__getitem__, text.encode()))
+            ids = [u.id for u in self.tokenizer.model.tokenize(text)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _alone(self, text: str) -> bytes:
+        """A word at the start of a line, or what trails a stem."""
+        got = self.starts.get(text)
+        if got is None:
+            got = self._encode(text) if text else b""
+            if len(text) <= CACHED_LENGTH:
+                if len(self.starts) >= CACHED_WORDS // 4:
+                    self.starts.clear()
+                self.starts[text] = got
+        return got
 
     def _word(self, text: str) -> bytes:
-        stem = text.rstrip(TRAILING)
-        if stem and len(stem) < len(text) and stem[-1].isalnum():
-            got = (self.words.get(stem) or self._word(stem)) + (self.words.get(text[len(stem) :]) or self._word(text[len(stem) :]))
-        else:
-            got = self._encode(text)
+        """A word after a space; what was seen before the last ``CACHED_WORDS`` new words is forgotten."""
+        got = self.older.get(text)
+        if got is None:
+            stem = text.rstrip(TRAILING)
+            if stem and len(stem) < len(text) and stem[-1].isalnum():
+                got = (self.words.get(stem) or self._word(stem)) + self._alone(text[len(stem) :])
+            else:
+                got = self._encode(" " + text)
         if len(text) <= CACHED_LENGTH:
             if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
+                self.older, self.words = self.words, {}
             self.words[text] = got
         return got
 
     def encode(self, text: str) -> bytes:
-        if not text or IRREGULAR.search(text):
-            return self._encode(text) if text else b""
-        known, word, parts = self.words, self._word, []
+        if not text:
+            return b""
+        if "  " in text or "<|" in text or "\n\n" in text or text[0].isspace() or text[-1].isspace() or " \n" in text or "\n " in text or not text.replace("\n", "").isprintable():
+            return self._encode(text)
+        word, parts = self._word, []
         for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            parts.append(known.get(first) or word(first))
-            for w in rest:
-                w = " " + w
-                parts.append(known.get(w) or word(w))
+            words = line.split(" ")
+            parts.append(self._alone(words[0]))
+            del words[0]
+            known = self.words
+            parts += [known.get(w) or word(w) for w in words]
             parts.append(self.newline)
         del parts[-1]
         return b"".join(parts)
