@@ -19,6 +19,7 @@ backwards.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,9 +32,9 @@ from voxelframe.llm.common import map_texts, texts
 
 SPACE = "▁"
 START = -1  # before the first token, and after a character that no piece has
-CACHED_WORDS = 600_000  # words whose ids are kept per worker; about 100 MB
+CACHED_WORDS = 300_000  # a worker remembers the ids of one to two times as many words; some 120 MB at most
 CACHED_LENGTH = 48
-CACHED_PAIRS = 1_500_000
+CACHED_PAIRS = 600_000
 TRAILING = ".,;:!?#$%&*|)"  # tried as separate words when a word is new and no piece spans the cut
 
 
@@ -58,11 +59,13 @@ class PieceModel:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.starts: dict[str, bytes] = {}
         self.newline = self.pack(self._word("\n"))
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def merged(self, text: str) -> list[str]:
         """The merge rule carried out literally; for short strings."""
@@ -112,19 +115,30 @@ class PieceModel:
         out.reverse()
         return out
 
+    def alone(self, text: str) -> bytes:
+        """Packed ids of a stretch that starts at a token border, spaces escaped."""
+        got = self.starts.get(text)
+        if got is None:
+            got = self.pack(self._word(text))
+            if len(text) <= CACHED_LENGTH:
+                if len(self.starts) >= CACHED_WORDS // 4:
+                    self.starts.clear()
+                self.starts[text] = got
+        return got
+
     def word(self, text: str) -> bytes:
-        """Packed ids of a stretch that starts at a token border."""
-        got = self.words.get(text)
+        """Packed ids of a space and a word; what was seen before the last ``CACHED_WORDS`` new words is forgotten."""
+        got = self.older.get(text)
         if got is None:
             stem = text.rstrip(TRAILING)
             if stem and len(stem) < len(text) and text[len(stem) - 1 : len(stem) + 1] not in self.spans:
-                got = self.word(stem) + self.word(text[len(stem) :])
+                got = (self.words.get(stem) or self.word(stem)) + self.alone(text[len(stem) :])
             else:
-                got = self.pack(self._word(text))
-            if len(text) <= CACHED_LENGTH:
-                if len(self.words) >= CACHED_WORDS:
-                    self.words.clear()
-                self.words[text] = got
+                got = self.pack(self._word(SPACE + text))
+        if len(text) <= CACHED_LENGTH:
+            if len(self.words) >= CACHED_WORDS:
+                self.older, self.words = self.words, {}
+            self.words[text] = got
         return got
 
     def encode(self, text: str) -> bytes:
@@ -134,18 +148,18 @@ class PieceModel:
             return b"".join(ends)
         if self.inner_space or SPACE in text or "  " in text or text[0] == " ":
             return ends[0] + self._plain(SPACE + text.replace(" ", SPACE)) + ends[1]
-        known, word, parts = self.words, self.word, [ends[0]]
-        lead = SPACE
+        word, parts, first = self.word, [ends[0]], True
         for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            if first or lead:
-                first = lead + first
-                parts.append(known.get(first) or word(first))
-            for w in rest:
-                w = SPACE + w
-                parts.append(known.get(w) or word(w))
+            words = line.split(" ")
+            if first:
+                first = False
+                parts.append(word(words[0]))
+            elif words[0]:
+                parts.append(self.alone(words[0]))
+            del words[0]
+            known = self.words
+            parts += [known.get(w) or word(w) for w in words]
             parts.append(self.newline)
-            lead = ""
         parts[-1] = ends[1]
         return b"".join(parts)
 
@@ -160,7 +174,7 @@ class PieceModel:
                 j += 1
             j = text.find(SPACE, j)
             j = n if j < 0 else j
-            out.append(self.word(text[k:j]))
+            out.append(self.alone(text[k:j]))
             k = j
         return b"".join(out)
 
