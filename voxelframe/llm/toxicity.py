@@ -34,7 +34,9 @@ NEIGHBORS = 15
 SHRINK = 0.5  # similarity mass of the prior in a vote
 BLOCK = 64  # examples in a block of the index
 REJECT = 0.7
-CACHED_TOKENS = 600_000
+CACHED_TOKENS = 250_000  # a worker remembers one to two times as many tokens
+HEAD = min(PREFIXES)
+TRAILING = ".,;:!?#$%&*|)"
 CACHED_LENGTH = 48
 WORD = re.compile(r"\w+")
 
@@ -59,22 +61,31 @@ class TermCounter:
             if AGAIN in t:  # its plain term is counted too, under a number past the vocabulary if it is not part of it
                 plain, times = t.split(AGAIN)
                 self.again.setdefault(self.ids.setdefault(plain, len(vocabulary) + len(self.ids)), []).append((int(times), i))
+        self.heads = {t.rstrip("-")[:HEAD] for t in self.ids}
         self.tokens: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _token(self, token: str) -> tuple[int, ...]:
-        got = tuple(self.ids[t] for t in terms_of(token) if t in self.ids)
+        got = self.older.get(token)
+        if got is None:
+            word = token.lower().rstrip(TRAILING)
+            if word.isalpha() and word[:HEAD] not in self.heads:  # no term begins like this word
+                got = ()
+            else:
+                got = tuple(self.ids[t] for t in terms_of(token) if t in self.ids)
         if len(token) <= CACHED_LENGTH:
             if len(self.tokens) >= CACHED_TOKENS:
-                self.tokens.clear()
+                self.older, self.tokens = self.tokens, {}
             self.tokens[token] = got
         return got
 
     def count(self, text: str) -> dict[int, int]:
-        known, seen = self.tokens, {}
-        for token in text.split():
-            found = known.get(token)
-            if found is None:
-                found = self._token(token)
+        tokens = text.split()
+        known = list(map(self.tokens.get, tokens))
+        if None in known:
+            known = [self._token(t) if k is None else k for k, t in zip(known, tokens, strict=True)]
+        seen: dict[int, int] = {}
+        for found in filter(None, known):
             for i in found:
                 seen[i] = seen.get(i, 0) + 1
         if not seen:
@@ -283,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> ToxicityMo
         def run(batches: Iterator[tuple]) -> Iterator[dict]:
             counter = TermCounter(vocabulary)
             for keys, column, toxic in batches:
-                counts = [counter.count(t) for t in texts(column)]
+                counts = list(map(counter.count, texts(column)))
                 yield {"doc_id": keys, "toxic": toxic, "terms": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]}
 
         found = map_texts(examples, run, "doc_id long, toxic int, terms array<int>, counts array<int>", "doc_id", "text", "toxic")
