@@ -27,6 +27,7 @@ PROBES = 4  # neighbouring cells visited in each table
 SCALE = 1.7  # of the lattice, for unit vectors
 SEED = 8
 BLOCK = 2048  # vectors of one cell that are compared as one unit
+ROWS, PAIRS = 256, 200_000  # rows compared at a time; pairs held at a time
 
 
 def roots() -> np.ndarray:
@@ -108,8 +109,44 @@ def _unit(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return at[good], v[good]
 
 
+def _unseen(keys: np.ndarray, tab: np.ndarray, cell: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the pairs ``(i, j)``, which share ``cell`` of table ``tab``, share no cell before it: a pair counts where it first meets."""
+    fresh = np.ones(len(i), dtype=bool)
+    for s in range(keys.shape[1]):
+        upto = np.flatnonzero(fresh & (tab >= s))
+        if not len(upto):
+            continue
+        x, y = keys[i[upto], s], keys[j[upto], s]
+        same = (x[:, :, None] == y[:, None, :]) & ((tab[upto] > s)[:, None, None] | (x < cell[upto, None])[:, :, None])
+        fresh[upto[same.any(axis=(1, 2))]] = False
+    return fresh
+
+
+def _pairs(v: np.ndarray, threshold: float, cut: np.ndarray, own: np.ndarray, whole: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of rows inside each unit, ``cut`` telling where units begin; in pieces of bounded size."""
+    first, size = cut[:-1], np.diff(cut)
+    two = first[size == 2]
+    if len(two):
+        good = ((v[two] * v[two + 1]).sum(axis=1) >= threshold) & (whole[two] | (own[two] != own[two + 1]))
+        yield two[good], two[good] + 1
+    some_i, some_j, n = [], [], 0
+    for k, m in zip(first[size > 2], size[size > 2], strict=True):
+        for lo in range(k, k + m, ROWS):
+            i, j = np.nonzero(v[lo : min(lo + ROWS, k + m)] @ v[k : k + m].T >= threshold)
+            i, j = i + lo, j + k
+            good = (i < j) & (whole[k] | (own[i] != own[j]))
+            some_i.append(i[good])
+            some_j.append(j[good])
+            n += len(some_i[-1])
+            if n > PAIRS:
+                yield np.concatenate(some_i), np.concatenate(some_j)
+                some_i, some_j, n = [], [], 0
+    if n:
+        yield np.concatenate(some_i), np.concatenate(some_j)
+
+
 def _verify(threshold: float, dims: int, make):
-    """Over sorted units: the weight of what each node links to that no earlier cell shows it, and links that span them."""
+    """Over sorted units: the weight of what each node links to where it first meets it, and links that span them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = make()
@@ -117,36 +154,20 @@ def _verify(threshold: float, dims: int, make):
             node, weight, tab, cell, own, lo, hi = (t.column(c).to_numpy() for c in ("node", "weight", "tab", "cell", "own", "lo", "hi"))
             at, v = _unit(t.column("embedding").combine_chunks(), dims)
             assert len(at) == len(node), "only vectors that can link have cells"
+            keys = None
             ends = np.r_[cut[cut < len(node)], len(node)]
-            nodes, counts, a, b = [], [], [], []
-            for k, e in zip(ends[:-1], ends[1:], strict=True):
-                near = v[k:e] @ v[k:e].T >= threshold
-                np.fill_diagonal(near, False)
-                if lo[k] != hi[k]:  # pairs inside one block belong to another unit
-                    near &= own[k:e, None] != own[None, k:e]
-                if not near.any():
+            for i, j in _pairs(v, threshold, ends, own, lo == hi):
+                if not len(i):
                     continue
-                some = np.flatnonzero(near.any(axis=1))
-                near = near[np.ix_(some, some)]
-                keys = hashing.cells(v[k:e][some])
-                for s in range(int(tab[k]) + 1):  # a pair counts in the first cell it shares
-                    here = keys[:, s]
-                    before = here < cell[k] if s == tab[k] else np.ones(here.shape, dtype=bool)
-                    for p, q in product(range(here.shape[1]), repeat=2):
-                        near &= ~((here[:, p][:, None] == here[:, q][None]) & before[:, p][:, None])
-                i, j = np.nonzero(np.triu(near))
-                if len(i):
-                    n = node[k:e][some]
-                    nodes.append(n)
-                    counts.append(near @ weight[k:e][some])
-                    p, q = forest(n[i], n[j])
-                    a.append(p)
-                    b.append(q)
-            if nodes:
-                n, p = np.concatenate(nodes), np.concatenate(a)
-                pad = np.zeros(len(p), dtype=np.int64)
-                other = pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(np.concatenate(b), pa.int64())])
-                yield pa.RecordBatch.from_pydict({"node": pa.array(np.r_[n, p]), "links": pa.array(np.r_[np.concatenate(counts), pad]), "other": other})
+                if keys is None:
+                    keys = hashing.cells(v)
+                new = _unseen(keys, tab[i], cell[i], i, j)
+                i, j = i[new], j[new]
+                sums = np.bincount(i, weight[j], len(node)) + np.bincount(j, weight[i], len(node))
+                n = np.flatnonzero(sums)
+                a, b = forest(node[i], node[j])
+                other = pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(b, pa.int64())])
+                yield pa.RecordBatch.from_pydict({"node": pa.array(np.r_[node[n], a]), "links": pa.array(np.r_[sums[n].astype(np.int64), np.zeros(len(a), np.int64)]), "other": other})
 
     return run
 
