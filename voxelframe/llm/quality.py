@@ -25,7 +25,7 @@ LEAST_DOCS = 40  # documents a group needs for thresholds of its own
 FEW_LINES = 5  # added to a text's lines, so that one repeated line in a short text is no high rate
 REACH = 3  # interquartile ranges beyond the quartile
 #: Measures in thousandths (word length in hundredths): how far a fence lies from the quartile at least.
-MEASURES = {"symbol_rate": 150, "dup_line_rate": 250, "repeat_rate": 250, "word_length": 300}
+MEASURES = {"symbol_rate": 150, "dup_line_rate": 400, "repeat_rate": 450, "word_length": 300}
 TWO_SIDED = ("word_length",)
 
 
