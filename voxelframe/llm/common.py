@@ -15,6 +15,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 #: Most rows of a lookup table that is broadcast; its rows are a few dozen bytes, so this is some tens of MB. Beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+BATCH_BYTES = 4 << 20  # of an Arrow batch on its way to Python
 SLICE = 256  # texts of an Arrow batch that are Python objects at a time
 
 
@@ -109,9 +110,17 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield t, np.array([0, t.num_rows])
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches that go to Python to some megabytes: a fixed number of rows is no bound when rows are whole texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(BATCH_BYTES + 1))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_texts(df: DataFrame, function: Callable[[Iterator[tuple]], Iterator[dict]], schema: str, *columns: str) -> DataFrame:
     """Run ``function`` over batches of the named columns in Arrow: it gets tuples of Arrow arrays and yields dicts of columns."""
 
+    bound_batches(df.sparkSession)
     wanted = _parse_datatype_string(schema)
     kinds = to_arrow_schema(wanted)
 

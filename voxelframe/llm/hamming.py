@@ -167,7 +167,8 @@ def fingerprint_links(distinct: DataFrame, threshold: int = THRESHOLD, block: in
     """Links ``(a, b)`` that span the near-duplicate graph of distinct fingerprints ``fp``."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the covering is made for thresholds from 0 to {THRESHOLD}")
-    copies = distinct.select("fp").mapInArrow(_spread, "anchor long, fp long")
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small table, but 31 copies of each row
+    copies = distinct.select("fp").repartition(tasks).mapInArrow(_spread, "anchor long, fp long")
     return in_blocks(copies, ["anchor"], "fp", block).mapInArrow(_compare(threshold), "a long, b long")
 
 

@@ -27,7 +27,7 @@ CAPACITY = 1024
 END_ID = 2
 RANK_BUCKETS = 256  # parts in which pieces of one length are numbered
 ROUNDS = 40  # of local search
-CACHED_WORDS = 300_000  # a worker remembers the ids of one to two times as many words; some 120 MB at most
+CACHED_WORDS = 200_000  # a worker remembers the ids of one to two times as many words; some 80 MB at most
 CACHED_LENGTH = 48
 LATIN_END = "\u0250"  # letters below are letters in every Unicode version
 TRAILING = ".,;:!?#$%&*|)"

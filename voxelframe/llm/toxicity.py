@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import map_texts, texts
+from voxelframe.llm.common import bound_batches, map_texts, texts
 
 EXAMPLES = 3000  # most labelled training documents of each class that the model is fitted on
 VOCABULARY = 512  # most terms
@@ -34,7 +34,7 @@ NEIGHBORS = 15
 SHRINK = 0.5  # similarity mass of the prior in a vote
 BLOCK = 64  # examples in a block of the index
 REJECT = 0.7
-CACHED_TOKENS = 250_000  # a worker remembers one to two times as many tokens
+CACHED_TOKENS = 150_000  # a worker remembers one to two times as many tokens
 HEAD = min(PREFIXES)
 TRAILING = ".,;:!?#$%&*|)"
 CACHED_LENGTH = 48
@@ -350,6 +350,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, evidence: bool = Fals
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The documents whose score stays below :data:`REJECT`, all columns as they are. Narrow."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

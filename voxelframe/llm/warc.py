@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import lookup, saved, scratch
+from voxelframe.llm.common import bound_batches, lookup, saved, scratch
 
 SKIPPABLE = 0x184D2A5D
 REVISIT_BYTES = 1000  # payloads below this are always stored
@@ -145,6 +145,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes, level: int
             store.move(f"{inner}/.{name}.part", f"{inner}/{name}")
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([n], pa.int64())})
 
+    bound_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(run, "path string, records long")
 
 
