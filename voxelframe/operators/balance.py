@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelframe.session import ship_package
+
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"n": pa.array([sum(b.num_rows for b in batches)], pa.int64())})
@@ -27,6 +29,7 @@ def checkLoadBalancing(df: DataFrame, kind: str = "frac", numberOfElements: int
     if kind == "frac" and numberOfElements == -1:
         numberOfElements = df.count()
     # a constant column: only row counts cross to Python, and it keeps the scan from reading the others
+    ship_package(df.sparkSession)
     counts = df.select(F.lit(1).cast("byte").alias("one")).mapInArrow(_sizes, "n long")
     load = F.col("n").cast("double")
     named = (load * 100.0 / F.lit(float(max(1, numberOfElements)))).alias("Load (%)") if kind == "frac" else load.alias("Load (#Rows)")

@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelframe.session import ship_package
+
 KMEANS_ROUNDS = 100
 
 
@@ -54,6 +56,7 @@ class CollapseFunctions:
 
 def collapse_rdd_data(data, my_func: Callable, *args):
     """Apply ``my_func(partition, *args)`` to each physical partition of an RDD or DataFrame; returns an RDD of what it yields."""
+    ship_package(SparkSession.active())
     rdd = data.rdd if isinstance(data, DataFrame) else data
     return rdd.mapPartitions(lambda part: my_func(part, *args))
 
@@ -71,6 +74,7 @@ def collapse_mean(df: DataFrame, names: Sequence[str]) -> DataFrame:
         yield pa.RecordBatch.from_pydict({**{c: pa.array([total[k] / n if n else None], pa.float64()) for k, c in enumerate(names)}, "n": pa.array([n], pa.int64())})
 
     schema = ", ".join([f"`{c}` double" for c in names] + ["n long"])
+    ship_package(df.sparkSession)
     out = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in names)).mapInArrow(reduce, schema)
     return out.select(F.spark_partition_id().alias("partition_id"), *names, "n")
 
@@ -88,5 +92,6 @@ def collapse_kmeans(df: DataFrame, names: Sequence[str], k: int = 1) -> DataFram
         )
 
     schema = ", ".join(["cluster int"] + [f"`{c}` double" for c in names] + ["n long"])
+    ship_package(df.sparkSession)
     out = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in names)).mapInArrow(reduce, schema)
     return out.select(F.spark_partition_id().alias("partition_id"), "cluster", *names, "n")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -31,3 +35,17 @@ def set_log_level(spark: SparkSession, level: str = "WARN") -> None:
 
 
 set_spark_log_level = set_log_level
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context, so that executors need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_voxelframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="voxelframe-")) / "voxelframe.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(path))
+    context._voxelframe_shipped = True

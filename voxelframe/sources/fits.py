@@ -15,6 +15,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from voxelframe.session import ship_package
+
 BLOCK, CARD = 2880, 80
 #: Fixed values of the standard: code -> (numpy type, Spark type).
 CODES = {"L": ("S1", T.BooleanType()), "B": ("u1", T.ShortType()), "I": (">i2", T.ShortType()), "J": (">i4", T.IntegerType()), "K": (">i8", T.LongType()), "E": (">f4", T.FloatType()), "D": (">f8", T.DoubleType())}
@@ -123,6 +125,7 @@ class FitsDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)
     spark.dataSource.register(FitsDataSource)
 
 
