@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from voxelframe.session import ship_package
+
 #: Most rows of a lookup table that is broadcast; its rows are a few dozen bytes, so this is some tens of MB. Beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 BATCH_BYTES = 4 << 20  # of an Arrow batch on its way to Python
@@ -110,23 +112,23 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield t, np.array([0, t.num_rows])
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches that go to Python to some megabytes: a fixed number of rows is no bound when rows are whole texts."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(BATCH_BYTES + 1))) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+def prepare_workers(spark: SparkSession) -> None:
+    """Ship the package, and hold Arrow batches that go to Python to some megabytes: a number of rows is no bound when rows are whole texts."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def map_texts(df: DataFrame, function: Callable[[Iterator[tuple]], Iterator[dict]], schema: str, *columns: str) -> DataFrame:
     """Run ``function`` over batches of the named columns in Arrow: it gets tuples of Arrow arrays and yields dicts of columns."""
 
-    bound_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
     wanted = _parse_datatype_string(schema)
     kinds = to_arrow_schema(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in function(tuple(b.columns) for b in batches):
             yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in kinds], schema=kinds)
+        pa.default_memory_pool().release_unused()  # workers are used again
 
     return df.select(*columns).mapInArrow(run, wanted)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import drop_saved, saved
+from voxelframe.llm.common import drop_saved, prepare_workers, saved
 
 MAX_ROUNDS = 60  # each round removes every node that is not the least among its neighbours
 
@@ -45,6 +45,7 @@ def components(links: DataFrame) -> DataFrame:
     backwards at the end. A hub is aggregated before the shuffle.
     """
     spark = links.sparkSession
+    prepare_workers(spark)
     left = saved(links.where("a <> b").mapInArrow(_contract, "a long, b long"), "links")
     steps: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):

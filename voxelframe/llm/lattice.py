@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import in_blocks, lookup, saved, whole_groups
+from voxelframe.llm.common import in_blocks, lookup, prepare_workers, saved, whole_groups
 from voxelframe.llm.components import components, forest
 
 THRESHOLD = 0.9
@@ -184,6 +184,7 @@ def near_vectors(
     non-finite component, or differ from the commonest length link with nothing;
     rows with a null id neither. Ids must be integers.
     """
+    prepare_workers(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     usable = F.col("id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     top = rows.where(usable).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()

@@ -13,14 +13,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import bound_batches, map_texts, texts
+from voxelframe.llm.common import map_texts, prepare_workers, texts
 
 EXAMPLES = 3000  # most labelled training documents of each class that the model is fitted on
 VOCABULARY = 512  # most terms
@@ -98,32 +98,16 @@ class TermCounter:
         return out
 
 
-@dataclass
 class BlockMaxIndex:
-    """Postings by term, cut into blocks of examples, with the largest weight of each term in each block."""
-
-    examples: int
-    docs: list[np.ndarray] = field(default_factory=list)  # by term, ascending
-    weights: list[np.ndarray] = field(default_factory=list)
-    cuts: list[np.ndarray] = field(default_factory=list)  # by term: where each block begins in its postings
-    best: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))  # terms x blocks
+    """Postings by term, stored as one tile per term and block of examples, with the largest weight in each tile."""
 
-    @classmethod
-    def build(cls, vectors: list[dict[int, float]], terms: int) -> BlockMaxIndex:
+    def __init__(self, vectors: list[dict[int, float]], terms: int):
         blocks = -(-len(vectors) // BLOCK) or 1
-        by: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
+        self.tiles = np.zeros((blocks, terms, BLOCK))
         for d, v in enumerate(vectors):
             for t, w in v.items():
-                by[t].append((d, w))
-        out = cls(len(vectors), best=np.zeros((terms, blocks)))
-        for t, posting in enumerate(by):
-            d = np.array([p[0] for p in posting], dtype=np.int64)
-            w = np.array([p[1] for p in posting])
-            out.docs.append(d)
-            out.weights.append(w)
-            out.cuts.append(np.searchsorted(d, np.arange(blocks + 1) * BLOCK))
-            np.maximum.at(out.best[t], d // BLOCK, w)
-        return out
+                self.tiles[d // BLOCK, t, d % BLOCK] = w
+        self.best = self.tiles.max(axis=2).T if terms else np.zeros((0, blocks))  # terms x blocks
 
     def search(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[int, float]]:
         """The k most similar examples with a positive cosine, exactly; ties go to the lower number.
@@ -131,17 +115,13 @@ class BlockMaxIndex:
         Blocks are opened from the most promising on, until no bound reaches the
         k-th similarity found.
         """
-        ids, w = list(query), np.array(list(query.values()))
+        ids, w = np.array(list(query), dtype=np.int64), np.array(list(query.values()))
         bound = w @ self.best[ids] * (1 + 1e-12)
         found_d, found_s, least = np.empty(0, np.int64), np.empty(0), 0.0
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or bound[b] < least:
                 break
-            acc = np.zeros(BLOCK)
-            for t, x in zip(ids, w, strict=True):
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if lo < hi:
-                    acc[self.docs[t][lo:hi] - b * BLOCK] += x * self.weights[t][lo:hi]
+            acc = w @ self.tiles[b, ids]
             hit = np.flatnonzero(acc > 0)
             hit = hit[hit + b * BLOCK != skip]
             found_d, found_s = np.concatenate([found_d, hit + b * BLOCK]), np.concatenate([found_s, acc[hit]])
@@ -301,16 +281,16 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> ToxicityMo
         # a bounded sample of short vectors: at most 2 * limit documents of at most VOCABULARY terms
         rows = sorted({(r["doc_id"], r["toxic"], tuple(zip(r["terms"], r["counts"], strict=True))) for r in found.collect()})
     if not rows:
-        return ToxicityModel([], np.empty(0), BlockMaxIndex.build([], 0), np.empty(0), np.empty(0), [], prior, prior)
+        return ToxicityModel([], np.empty(0), BlockMaxIndex([], 0), np.empty(0), np.empty(0), [], prior, prior)
     df, n = _document_frequencies(docs, vocabulary)
     y = np.array([r[1] for r in rows])
     mass = np.array([sizes[c] / max(1, (y == c).sum()) for c in y.tolist()])
     some = np.array([bool(r[2]) for r in rows])
     bare = mass[~some]
     plain = float((bare * y[~some]).sum() + prior) / float(bare.sum() + 1)
-    model = ToxicityModel(vocabulary, np.log((1 + n) / (1 + df)) + 1, BlockMaxIndex.build([], 0), y[some], mass[some], [r[0] for r in rows if r[2]], prior, plain)
+    model = ToxicityModel(vocabulary, np.log((1 + n) / (1 + df)) + 1, BlockMaxIndex([], 0), y[some], mass[some], [r[0] for r in rows if r[2]], prior, plain)
     vectors = [model.vector(dict(r[2])) for r in rows if r[2]]
-    model.index = BlockMaxIndex.build(vectors, len(vocabulary))
+    model.index = BlockMaxIndex(vectors, len(vocabulary))
     votes = np.array([model.vote(model.index.search(v, NEIGHBORS, skip=k)) for k, v in enumerate(vectors)])
     model.slope, model.shift = _fit_calibration(votes, model.labels, model.mass)
     return model
@@ -350,7 +330,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, evidence: bool = Fals
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The documents whose score stays below :data:`REJECT`, all columns as they are. Narrow."""
-    bound_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import bound_batches, lookup, saved, scratch
+from voxelframe.llm.common import lookup, prepare_workers, saved, scratch
 
 SKIPPABLE = 0x184D2A5D
 REVISIT_BYTES = 1000  # payloads below this are always stored
@@ -76,8 +76,9 @@ def read_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             while (line := text.readline().rstrip(b"\r\n")) != b"":
                 key, _, value = line.decode("utf-8").partition(": ")
                 headers[key] = value
-            body = text.read(int(headers["Content-Length"]))
-            text.read(4)
+            body = text.read(int(headers.get("Content-Length", -1)))
+            if len(body) != int(headers.get("Content-Length", -1)) or text.read(4) != b"\r\n\r\n":
+                raise ValueError("the archive ends inside a record")
             yield headers, body
 
 
@@ -145,18 +146,19 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes, level: int
             store.move(f"{inner}/.{name}.part", f"{inner}/{name}")
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([n], pa.int64())})
 
-    bound_batches(pages.sparkSession)
+    prepare_workers(pages.sparkSession)
     return pages.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(run, "path string, records long")
 
 
 def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
-    """One row per record of the archives named in ``path``; digest and length of a stored payload are taken from its bytes."""
+    """One row per record of the archives ``(path, records)``; digest and length of a stored payload are taken from its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column("path").to_pylist():
+            for path, records in zip(b.column("path").to_pylist(), b.column("records").to_pylist(), strict=True):
                 store, inner = filesystem(path)
                 rows: list[tuple] = []
+                n = 0
                 with store.open_input_stream(inner, compression=None) as stream:
                     for h, body in read_archive(stream):
                         revisit = h["WARC-Type"] == "revisit"
@@ -164,14 +166,17 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                         if not revisit and hashlib.sha1(body).hexdigest() != digest:
                             raise ValueError(f"{path}: damaged payload in {h['WARC-Record-ID']}")
                         page, target = (h.get(k, "")[10:-1] for k in ("WARC-Record-ID", "WARC-Refers-To"))
+                        n += 1
                         rows.append((int(page) if page else None, h.get("WARC-Target-URI"), int(h["WARC-Payload-Length"]) if revisit else len(body), digest, h["WARC-Type"], int(target) if target else None, body if with_payload else None))
                         if len(rows) == 1000:
                             yield _rows(rows)
                             rows = []
                 if rows:
                     yield _rows(rows)
+                if n != records:
+                    raise ValueError(f"{path}: {n} records where {records} were written")
 
-    out = archives.select("path").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    out = archives.select("path", "records").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
     return out if with_payload else out.drop("payload")
 
 
