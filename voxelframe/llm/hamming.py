@@ -7,7 +7,7 @@ the last bit free, every 32-bit word being within one bit (the covering radius)
 of an anchor. The word halfway between two halves that are 2 bits apart is one
 bit (the threshold of each side) from both, and within the covering radius of an
 anchor; so both halves lie within radius plus threshold, 2 bits, of this anchor.
-Every fingerprint is copied to all anchors within 2 bits of each half (31 copies
+Every fingerprint is copied to all anchors within 2 bits of each half (33 copies
 on average, of 2**28 anchors), and only fingerprints that share an anchor are
 compared, in full. No link can be missed.
 """
@@ -167,7 +167,7 @@ def fingerprint_links(distinct: DataFrame, threshold: int = THRESHOLD, block: in
     """Links ``(a, b)`` that span the near-duplicate graph of distinct fingerprints ``fp``."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the covering is made for thresholds from 0 to {THRESHOLD}")
-    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small table, but 31 copies of each row
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small table, but 33 copies of each row
     copies = distinct.select("fp").repartition(tasks).mapInArrow(_spread, "anchor long, fp long")
     return in_blocks(copies, ["anchor"], "fp", block).mapInArrow(_compare(threshold), "a long, b long")
 

@@ -52,13 +52,14 @@ def site_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
 def drop_boilerplate(docs: DataFrame, text: Column, site: Column, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_hits: int = LEAST_HITS) -> DataFrame:
     """The input with ``clean_text``, ``n_lines`` and ``n_dropped``.
 
-    Blank lines are kept and not counted. A null text is empty; a null site is
+    Columns ``site``, ``lines``, ``hashes`` and ``kept`` of the input are replaced
+    or dropped. Blank lines are kept and not counted. A null text is empty; a null site is
     one like any other. A site's list has at most (lines per page / ratio)
     entries; all lists are broadcast while their entries number at most
     :data:`BROADCAST_ROWS`, beyond that pages are joined by site, a large site
     being split by adaptive execution. The texts are not shuffled in the first case.
     """
-    named = docs.withColumns({"site": F.coalesce(site, F.lit("")), "lines": F.split(F.coalesce(text, F.lit("")), "\n")})
+    named = docs.drop("hashes").withColumns({"site": F.coalesce(site, F.lit("")), "lines": F.split(F.coalesce(text, F.lit("")), "\n")})
     bad = saved(site_boilerplate(named.select("site", "lines"), ratio, least_pages, least_hits), "boilerplate")
     entries = bad.agg(F.sum(F.size("hashes"))).first()[0] or 0
     joined = named.join(F.broadcast(bad) if entries <= BROADCAST_ROWS else bad, "site", "left")
