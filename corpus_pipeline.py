@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +12,15 @@ from voxelframe.llm.catalog import BYTE_MODEL
 from voxelframe.llm.common import saved, table
 
 
-def _with_text(docs: DataFrame, out: DataFrame, new: str) -> DataFrame:
-    """The columns of ``docs`` with the text (unless null) replaced and its length brought up to date."""
+def _rewrite(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], new: str) -> DataFrame:
+    """The columns of ``docs`` with the text (unless null) replaced by what the operator makes, and its length brought up to date.
+
+    The operator sees the other columns only as one struct, so that none of their names can clash with its own.
+    """
+    out = operator(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "text", "source"))
     text = F.when(F.col("text").isNotNull(), F.col(new))
-    return out.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(docs.columns)
+    made = {"text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*((made[c] if c in made else F.col("__row").getField(c)).alias(c) for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: lines that too many documents of a source share go from its texts."""
-    return _with_text(docs, lines.drop_boilerplate(docs, F.col("text"), F.col("source")), "clean_text")
+    return _rewrite(docs, lambda d: lines.drop_boilerplate(d, F.col("text"), F.col("source")), "clean_text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: every span of personal data is replaced by its kind."""
-    return _with_text(docs, pii.masked(pii.detect(docs)), "masked")
+    return _rewrite(docs, lambda d: pii.masked(pii.detect(d)), "masked")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
