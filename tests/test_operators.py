@@ -178,3 +178,9 @@ def test_streams(spark, spheres, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table(name).count() == want
+
+
+def test_pixel_goldens(spark):
+    one = spark.range(1)
+    got = one.select(to_healpix(512, F.lit(1.0), F.lit(0.0)), to_healpix(512, F.lit(0.0), F.lit(0.0), thetaphi=True), to_healpix(2048, F.lit(np.pi), F.lit(0.0), thetaphi=True)).first()
+    assert got[:] == (1571845, 0, 50331644)
