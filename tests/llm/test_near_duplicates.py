@@ -1,9 +1,10 @@
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from conftest import prose  # noqa: F401
 
-from voxelframe.llm import hamming, lattice
+from voxelframe.llm import catalog, hamming, lattice
 from voxelframe.llm.components import components
 
 
@@ -94,7 +95,7 @@ def test_e8():
 
 
 @pytest.mark.parametrize("block", [16, 2048])
-def test_near_vectors(spark, block):
+def test_near_vectors(spark, block, tmp_path):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(300, 32))
     v[50:110] = v[50] + 0.05 * rng.normal(size=(60, 32))  # near copies
@@ -117,6 +118,11 @@ def test_near_vectors(spark, block):
         else:
             assert (r.n_links, r.component_id, r.kept) == (near[r.vec_id].sum() + (r.vec_id == 0), want[r.vec_id], want[r.vec_id] == r.vec_id)
     assert lattice.near_vectors(df.limit(0)).count() == 0
+    con = duckdb.connect()
+    df.dropDuplicates(["vec_id"]).select("vec_id", "embedding").where("vec_id <> 305").write.parquet(f"{tmp_path}/v")  # the SQL knows no other lengths
+    con.sql(f"create view embeddings as select * from '{tmp_path}/v/*.parquet'")
+    sql = {r[0]: r[1:] for r in con.sql(catalog.ORACLE["op8_embedding_near_dedup"]).fetchall()}
+    assert all(sql[r.vec_id] == (r.n_links - (r.vec_id == 0), r.component_id, r.kept) for r in got if r.vec_id != 305)
 
 
 def test_recall_at_the_threshold():

@@ -153,7 +153,7 @@ def test_toxicity(spark, odd, none):
 def test_query_matches_sql(spark, name):
     df = catalog.QUERIES[name](spark, D)
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
     r = con.sql(catalog.ORACLE[name])
     at = [r.columns.index(c) for c in sorted(r.columns)]

@@ -84,3 +84,15 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# exact here: every linked pair is found on tables of this kind (recall is measured in the tests); a join of all pairs, for small tables only
+ORACLE["op8_embedding_near_dedup"] = """with recursive v as (select vec_id, cast(embedding as double[]) e from embeddings),
+g as (select * from v where e is not null and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (select a.vec_id a, b.vec_id b from g a join g b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+r as (select vec_id a, vec_id b from v union select r.a, l.b from r join l on r.b = l.a),
+n as (select a, count(*) n from l group by 1), c as (select a, min(b) m from r group by 1)
+select vec_id, coalesce(n.n, 0) n_links, c.m component_id, c.m = vec_id kept from v left join n on n.a = vec_id left join c on c.a = vec_id"""
+
+ORACLE["op10_warc"] = """with p as (select page_id, coalesce(html, '') h, octet_length(encode(coalesce(html, ''))) n, max(page_id) over (partition by coalesce(html, '')) m from pages)
+select page_id, n payload_bytes, sha1(h) payload_digest, case when n >= 1000 and page_id <> m then 'revisit' else 'response' end record_type, case when n >= 1000 and page_id <> m then m end refers_to from p"""
