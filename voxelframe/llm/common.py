@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -118,6 +120,20 @@ def prepare_workers(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A worker function that gives memory back: workers are used again, and what they keep adds up over the stages of a job."""
+
+    def lent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # frees large buffers at once
+        yield from run(batches)
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return lent
+
+
 def map_texts(df: DataFrame, function: Callable[[Iterator[tuple]], Iterator[dict]], schema: str, *columns: str) -> DataFrame:
     """Run ``function`` over batches of the named columns in Arrow: it gets tuples of Arrow arrays and yields dicts of columns."""
 
@@ -128,9 +144,8 @@ def map_texts(df: DataFrame, function: Callable[[Iterator[tuple]], Iterator[dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in function(tuple(b.columns) for b in batches):
             yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in kinds], schema=kinds)
-        pa.default_memory_pool().release_unused()  # workers are used again
 
-    return df.select(*columns).mapInArrow(run, wanted)
+    return df.select(*columns).mapInArrow(lean(run), wanted)
 
 
 def _array(values, kind: pa.DataType) -> pa.Array:

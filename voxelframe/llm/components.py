@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import drop_saved, prepare_workers, saved
+from voxelframe.llm.common import drop_saved, lean, prepare_workers, saved
 
 MAX_ROUNDS = 60  # each round removes every node that is not the least among its neighbours
 
@@ -46,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     prepare_workers(spark)
-    left = saved(links.where("a <> b").mapInArrow(_contract, "a long, b long"), "links")
+    left = saved(links.where("a <> b").mapInArrow(lean(_contract), "a long, b long"), "links")
     steps: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
         if left.isEmpty():
@@ -56,7 +56,7 @@ def components(links: DataFrame) -> DataFrame:
         step = saved(least.select("node", F.least("node", "m").alias("up")), "step")
         to_a, to_b = step.select(F.col("node").alias("a"), F.col("up").alias("ua")), step.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         renamed = left.join(to_a, "a").join(to_b, "b").select(F.col("ua").alias("a"), F.col("ub").alias("b")).where("a <> b")
-        following = saved(renamed.distinct().mapInArrow(_contract, "a long, b long"), "links")
+        following = saved(renamed.distinct().mapInArrow(lean(_contract), "a long, b long"), "links")
         drop_saved(left)
         left = following
         steps.append(step)

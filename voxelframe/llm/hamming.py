@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import in_blocks, lookup, map_texts, saved, utf8, whole_groups
+from voxelframe.llm.common import in_blocks, lean, lookup, map_texts, saved, utf8, whole_groups
 from voxelframe.llm.components import components, forest
 
 SEED = 42
@@ -107,8 +107,8 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = b.column(0).to_numpy()
-        for k in range(0, len(fp), 50_000):
-            part = fp[k : k + 50_000]
+        for k in range(0, len(fp), 10_000):
+            part = fp[k : k + 10_000]
             rows, keys = anchors(part.view(np.uint64))
             yield pa.RecordBatch.from_pydict({"anchor": pa.array(keys, pa.int64()), "fp": pa.array(part[rows], pa.int64())})
 
@@ -168,8 +168,8 @@ def fingerprint_links(distinct: DataFrame, threshold: int = THRESHOLD, block: in
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the covering is made for thresholds from 0 to {THRESHOLD}")
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small table, but 33 copies of each row
-    copies = distinct.select("fp").repartition(tasks).mapInArrow(_spread, "anchor long, fp long")
-    return in_blocks(copies, ["anchor"], "fp", block).mapInArrow(_compare(threshold), "a long, b long")
+    copies = distinct.select("fp").repartition(tasks).mapInArrow(lean(_spread), "anchor long, fp long")
+    return in_blocks(copies, ["anchor"], "fp", block).mapInArrow(lean(_compare(threshold)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import in_blocks, lookup, prepare_workers, saved, whole_groups
+from voxelframe.llm.common import in_blocks, lean, lookup, prepare_workers, saved, whole_groups
 from voxelframe.llm.components import components, forest
 
 THRESHOLD = 0.9
@@ -209,9 +209,9 @@ def near_vectors(
                 keys, node = hashing.cells(v), part.column("node").to_numpy()[at]
                 yield pa.RecordBatch.from_pydict({"cell": pa.array(keys.ravel()), "tab": pa.array(np.tile(which, len(at))), "node": pa.array(np.repeat(node, each))})
 
-    members = classes.select("node", "embedding").mapInArrow(spread, "cell long, tab int, node long")
+    members = classes.select("node", "embedding").mapInArrow(lean(spread), "cell long, tab int, node long")
     units = in_blocks(members, ["cell", "tab"], "node", block, attach=classes)
-    found = saved(units.select("cell", "tab", "node", "own", "lo", "hi", "weight", "embedding").mapInArrow(_verify(threshold, dims, make), "node long, links long, other long"), "found")
+    found = saved(units.select("cell", "tab", "node", "own", "lo", "hi", "weight", "embedding").mapInArrow(lean(_verify(threshold, dims, make)), "node long, links long, other long"), "found")
     group = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "n")
     degree = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("node", "weight", one.alias("k1"), two.alias("k2")).join(degree, "node", "left").join(group, F.col("n") == F.col("node"), "left")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import map_texts, prepare_workers, texts
+from voxelframe.llm.common import lean, map_texts, prepare_workers, texts
 
 EXAMPLES = 3000  # most labelled training documents of each class that the model is fitted on
 VOCABULARY = 512  # most terms
@@ -34,7 +34,7 @@ NEIGHBORS = 15
 SHRINK = 0.5  # similarity mass of the prior in a vote
 BLOCK = 64  # examples in a block of the index
 REJECT = 0.7
-CACHED_TOKENS = 150_000  # a worker remembers one to two times as many tokens
+CACHED_TOKENS = 100_000  # a worker remembers one to two times as many tokens
 HEAD = min(PREFIXES)
 TRAILING = ".,;:!?#$%&*|)"
 CACHED_LENGTH = 48
@@ -306,18 +306,13 @@ def score_documents(docs: DataFrame, model: ToxicityModel, evidence: bool = Fals
 
     def run(batches: Iterator[tuple]) -> Iterator[dict]:
         m = shared.value
-        counter, known = TermCounter(m.vocabulary), {}
+        counter = TermCounter(m.vocabulary)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for keys, column in batches:
             scores, why = [], []
             for text in texts(column):
                 counts = counter.count(text)
-                key = tuple(sorted(counts.items()))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = m.score(counts)
-                s, near = known[key]
+                s, near = m.score(counts)
                 scores.append(s)
                 if evidence:
                     why.append([{"doc_id": m.ids[d], "cosine": c, "toxic": int(m.labels[d])} for d, c in near])
@@ -341,4 +336,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             clean = [m.score(counts)[0] < REJECT if (counts := counter.count(t)) else m.plain < REJECT for t in texts(b.column(at))]
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

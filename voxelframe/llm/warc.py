@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import lookup, prepare_workers, saved, scratch
+from voxelframe.llm.common import lean, lookup, prepare_workers, saved, scratch
 
 SKIPPABLE = 0x184D2A5D
 REVISIT_BYTES = 1000  # payloads below this are always stored
@@ -147,7 +147,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes, level: int
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([n], pa.int64())})
 
     prepare_workers(pages.sparkSession)
-    return pages.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(run, "path string, records long")
+    return pages.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(lean(run), "path string, records long")
 
 
 def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -176,7 +176,7 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                 if n != records:
                     raise ValueError(f"{path}: {n} records where {records} were written")
 
-    out = archives.select("path", "records").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    out = archives.select("path", "records").mapInArrow(lean(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
     return out if with_payload else out.drop("payload")
 
 
