@@ -101,7 +101,7 @@ def test_near_vectors(spark, block, tmp_path):
     v[50:110] = v[50] + 0.05 * rng.normal(size=(60, 32))  # near copies
     v[120:125] = v[120]  # copies
     v[126] = -v[120]
-    v[127] = 1e-200 * v[120]
+    v[127] = 1e-3 * v[120]
     unit = v / np.abs(v).max(axis=1)[:, None]
     unit /= np.linalg.norm(unit, axis=1)[:, None]
     near = unit @ unit.T >= 0.9
