@@ -27,7 +27,7 @@ CAPACITY = 1024
 END_ID = 2
 RANK_BUCKETS = 256  # parts in which pieces of one length are numbered
 ROUNDS = 40  # of local search
-CACHED_WORDS = 200_000  # a worker remembers the ids of one to two times as many words; some 80 MB at most
+CACHED_WORDS = 250_000  # a worker remembers the ids of one to two times as many words; some 90 MB at most
 CACHED_LENGTH = 48
 LATIN_END = "\u0250"  # letters below are letters in every Unicode version
 TRAILING = ".,;:!?#$%&*|)"
@@ -50,7 +50,7 @@ class WordEncoder:
         # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
-        self.alphabet = [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+        self.alphabet = "".join(chr(b) if b in printable else chr(next(others)) for b in range(256))
         self.space = self.alphabet[ord(" ")]
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -63,7 +63,7 @@ class WordEncoder:
             if bare.isascii():
                 text = self.space + bare if bare is not text else bare
             else:
-                text = "".join(map(self.alphabet.__getitem__, text.encode()))
+                text = text.encode().decode("latin-1").translate(self.alphabet)
             ids = [u.id for u in self.tokenizer.model.tokenize(text)]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -85,10 +85,9 @@ class WordEncoder:
         got = self.older.get(text)
         if got is None:
             stem = text.rstrip(TRAILING)
-            if stem and len(stem) < len(text) and stem[-1].isalnum():
-                got = (self.words.get(stem) or self._word(stem)) + self._alone(text[len(stem) :])
-            else:
-                got = self._encode(" " + text)
+            if stem and len(stem) < len(text) and stem[-1].isalnum():  # not remembered itself: the room is better used for stems
+                return (self.words.get(stem) or self._word(stem)) + self._alone(text[len(stem) :])
+            got = self._encode(" " + text)
         if len(text) <= CACHED_LENGTH:
             if len(self.words) >= CACHED_WORDS:
                 self.older, self.words = self.words, {}
