@@ -149,6 +149,19 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score_documents(none, empty).count() == 0 and toxicity.score_documents(odd, empty).select("score").distinct().collect()[0][0] == 0.0
 
 
+def test_toxicity_keeps_all_terms(spark):
+    """Each of 700 rude words, in five toxic documents apiece, passes the tests for terms, is one, and has evidence."""
+    words = [f"q{j:03d}" for j in range(700)]
+    ids = [k for k in range(4000) if zlib.crc32(str(k).encode()) % 3 != 1][:2400]
+    docs = [(k, prose(k, 20) + (" " + " ".join(words[i % 80 :: 80]) if i < 400 else "")) for i, k in enumerate(ids)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(i < 400), 1) for i, k in enumerate(ids)], "doc_id long, toxic int, quality int")
+    model = toxicity.fit(df, labels)
+    assert set(words) <= set(model.vocabulary)
+    new = spark.createDataFrame([(10_000 + j, f"such a {w}") for j, w in enumerate(words)], "doc_id long, text string")
+    assert all(r.evidence for r in toxicity.score_documents(new, model, evidence=True).collect())
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_matches_sql(spark, name):
     df = catalog.QUERIES[name](spark, D)

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from voxelframe.llm.common import lean, map_texts, prepare_workers, texts
 
 EXAMPLES = 3000  # most labelled training documents of each class that the model is fitted on
-VOCABULARY = 512  # most terms
 PREFIXES = (4, 5, 6, 7)
 AGAIN = " x"  # marks a term that stands for another one occurring so often in a text
 REPEATS = (2, 3, 5)
@@ -99,15 +98,19 @@ class TermCounter:
 
 
 class BlockMaxIndex:
-    """Postings by term, stored as one tile per term and block of examples, with the largest weight in each tile."""
+    """Postings by term, stored as one tile per term and block of examples where they meet, with the largest weight in each tile."""
 
     def __init__(self, vectors: list[dict[int, float]], terms: int):
         blocks = -(-len(vectors) // BLOCK) or 1
-        self.tiles = np.zeros((blocks, terms, BLOCK))
+        self.at = np.zeros((blocks, terms), dtype=np.int32)  # number of the tile; 0 is the empty one
+        used = sorted({(d // BLOCK, t) for d, v in enumerate(vectors) for t in v})
+        if used:
+            self.at[tuple(np.array(used).T)] = np.arange(1, len(used) + 1)
+        self.tiles = np.zeros((len(used) + 1, BLOCK))
         for d, v in enumerate(vectors):
             for t, w in v.items():
-                self.tiles[d // BLOCK, t, d % BLOCK] = w
-        self.best = self.tiles.max(axis=2).T if terms else np.zeros((0, blocks))  # terms x blocks
+                self.tiles[self.at[d // BLOCK, t], d % BLOCK] = w
+        self.best = self.tiles.max(axis=1)[self.at].T  # terms x blocks
 
     def search(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[int, float]]:
         """The k most similar examples with a positive cosine, exactly; ties go to the lower number.
@@ -121,7 +124,7 @@ class BlockMaxIndex:
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or bound[b] < least:
                 break
-            acc = w @ self.tiles[b, ids]
+            acc = w @ self.tiles[self.at[b, ids]]
             hit = np.flatnonzero(acc > 0)
             hit = hit[hit + b * BLOCK != skip]
             found_d, found_s = np.concatenate([found_d, hit + b * BLOCK]), np.concatenate([found_s, acc[hit]])
@@ -231,7 +234,7 @@ def _choose_terms(examples: DataFrame, sizes: dict[int, int]) -> list[str]:
     n = float(n0 + n1)
     chi2 = n * F.pow(b * (n0 - a) - a * (n1 - b), F.lit(2.0)) / ((a + b) * (n - a - b + 1e-9) * n0 * n1)
     top = both.where((b >= MIN_DOCS) & (b / n1 >= MIN_LIFT * (a + 0.5) / n0)).select("term", chi2.alias("chi2")).where(F.col("chi2") >= MIN_CHI2)
-    return [r["term"] for r in top.orderBy(F.desc("chi2"), "term").limit(VOCABULARY).collect()]
+    return [r["term"] for r in top.orderBy(F.desc("chi2"), "term").collect()]  # bounded by the sample of examples
 
 
 def _counts(seen: dict[int, Counter]) -> dict:
@@ -278,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> ToxicityMo
                 yield {"doc_id": keys, "toxic": toxic, "terms": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]}
 
         found = map_texts(examples, run, "doc_id long, toxic int, terms array<int>, counts array<int>", "doc_id", "text", "toxic")
-        # a bounded sample of short vectors: at most 2 * limit documents of at most VOCABULARY terms
+        # a bounded sample of short vectors: at most 2 * limit documents
         rows = sorted({(r["doc_id"], r["toxic"], tuple(zip(r["terms"], r["counts"], strict=True))) for r in found.collect()})
     if not rows:
         return ToxicityModel([], np.empty(0), BlockMaxIndex([], 0), np.empty(0), np.empty(0), [], prior, prior)
