@@ -125,6 +125,17 @@ def test_near_vectors(spark, block, tmp_path):
     assert all(sql[r.vec_id] == (r.n_links - (r.vec_id == 0), r.component_id, r.kept) for r in got if r.vec_id != 305)
 
 
+def test_each_length_links_on_its_own(spark):
+    rng = np.random.default_rng(6)
+    long, short = rng.normal(size=(30, 32)), rng.normal(size=(6, 16))
+    short[1], short[2] = short[0], short[0] + 0.001 * rng.normal(size=16)
+    long[4] = long[3]
+    rows = [(k, x.tolist()) for k, x in enumerate(long)] + [(100 + k, x.tolist()) for k, x in enumerate(short)] + [(200, [2.0]), (201, [3.0]), (202, [1.0] * 5)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[k] for k in (100, 101, 102)] == [(2, 100, True), (2, 100, False), (2, 100, False)] and got[4] == (1, 3, False)
+    assert got[200] == (1, 200, True) and got[201] == (1, 200, False) and got[202] == (0, 202, True)
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(2)
     a, w = rng.normal(size=(1500, 64)), rng.normal(size=(1500, 64))

@@ -10,6 +10,7 @@ compared exactly, in double precision.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations, product
 
 import numpy as np
@@ -94,6 +95,11 @@ class LatticeHash:
         return out
 
 
+@lru_cache(maxsize=8)
+def lattice_hash(dims: int, tables: int, blocks: int, probes: int, scale: float, seed: int) -> LatticeHash:
+    return LatticeHash(dims, tables, blocks, probes, scale, seed)
+
+
 def _unit(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows that can link, and their vectors scaled to length one."""
     size = column.value_lengths().fill_null(0).to_numpy()
@@ -145,12 +151,21 @@ def _pairs(v: np.ndarray, threshold: float, cut: np.ndarray, own: np.ndarray, wh
         yield np.concatenate(some_i), np.concatenate(some_j)
 
 
-def _verify(threshold: float, dims: int, make):
+def _verify(threshold: float, make):
     """Over sorted units: the weight of what each node links to where it first meets it, and links that span them."""
 
+    def by_length(tables: Iterator[tuple[pa.Table, np.ndarray]]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        for t, cut in tables:
+            cut = cut[cut < t.num_rows]
+            dims = t.column("dims").to_numpy()
+            ends = [0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1), t.num_rows]
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                yield t.slice(lo, hi - lo), cut[(cut >= lo) & (cut < hi)] - lo
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing = make()
-        for t, cut in whole_groups(batches, ["cell", "tab", "lo", "hi"]):
+        for t, cut in by_length(whole_groups(batches, ["dims", "cell", "tab", "lo", "hi"])):
+            dims = t.column("dims")[0].as_py()
+            hashing = make(dims)
             node, weight, tab, cell, own, lo, hi = (t.column(c).to_numpy() for c in ("node", "weight", "tab", "cell", "own", "lo", "hi"))
             at, v = _unit(t.column("embedding").combine_chunks(), dims)
             assert len(at) == len(node), "only vectors that can link have cells"
@@ -181,42 +196,39 @@ def near_vectors(
     that share a cell with it in some table; ``component_id`` is the least id
     that chains of links reach. Equal vectors (copies, repeated rows) always
     link and are hashed once. Vectors that are null, zero, hold a null or
-    non-finite component, or differ from the commonest length link with nothing;
-    rows with a null id neither. Ids must be integers.
+    non-finite component link with nothing; rows with a null id neither. Each
+    length is hashed on its own, so only vectors of equal length link. Ids must be integers.
     """
     prepare_workers(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     usable = F.col("id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    top = rows.where(usable).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if top is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = int(top["d"])
-    good = rows.where(usable & (F.size("embedding") == dims))
+    good = rows.where(usable)
     # one node per distinct vector, named by its least id
     one, two = F.xxhash64("embedding"), F.xxhash64("embedding", F.lit(1))
     classes = saved(good.groupBy("embedding").agg(F.min("id").alias("node"), F.count("*").cast("long").alias("weight")), "vectors")
 
-    def make() -> LatticeHash:
-        return LatticeHash(dims, tables, blocks, probes, scale, seed)
+    def make(dims: int) -> LatticeHash:
+        return lattice_hash(dims, tables, blocks, probes, scale, seed)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing, each = make(), tables * (1 + probes)
+        each = tables * (1 + probes)
         which = np.repeat(np.arange(tables, dtype=np.int32), 1 + probes)
         for b in batches:
             for k in range(0, b.num_rows, 8192):
                 part = b.slice(k, 8192)
-                at, v = _unit(part.column("embedding"), dims)
-                keys, node = hashing.cells(v), part.column("node").to_numpy()[at]
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(keys.ravel()), "tab": pa.array(np.tile(which, len(at))), "node": pa.array(np.repeat(node, each))})
-
-    members = classes.select("node", "embedding").mapInArrow(lean(spread), "cell long, tab int, node long")
-    units = in_blocks(members, ["cell", "tab"], "node", block, attach=classes)
-    found = saved(units.select("cell", "tab", "node", "own", "lo", "hi", "weight", "embedding").mapInArrow(lean(_verify(threshold, dims, make)), "node long, links long, other long"), "found")
+                for dims in np.unique(part.column("embedding").value_lengths().to_numpy()).tolist():
+                    at, v = _unit(part.column("embedding"), dims)
+                    keys, node = make(dims).cells(v), part.column("node").to_numpy()[at]
+                    yield pa.RecordBatch.from_pydict({"dims": pa.array(np.full(len(at) * each, dims, dtype=np.int32)), "cell": pa.array(keys.ravel()), "tab": pa.array(np.tile(which, len(at))), "node": pa.array(np.repeat(node, each))})
+
+    members = classes.select("node", "embedding").mapInArrow(lean(spread), "dims int, cell long, tab int, node long")
+    units = in_blocks(members, ["dims", "cell", "tab"], "node", block, attach=classes)
+    found = saved(units.select("dims", "cell", "tab", "node", "own", "lo", "hi", "weight", "embedding").mapInArrow(lean(_verify(threshold, make)), "node long, links long, other long"), "found")
     group = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "n")
     degree = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("node", "weight", one.alias("k1"), two.alias("k2")).join(degree, "node", "left").join(group, F.col("n") == F.col("node"), "left")
     labels = saved(named.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("component")), "labels")
-    keyed = rows.select("id", F.when(usable & (F.size("embedding") == dims), one).alias("k1"), F.when(usable, two).alias("k2"))
+    keyed = rows.select("id", F.when(usable, one).alias("k1"), F.when(usable, two).alias("k2"))
     return lookup(keyed, labels, ["k1", "k2"]).select(
         F.col("id").alias(id_col),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
