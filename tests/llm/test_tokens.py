@@ -106,6 +106,31 @@ def test_local_search_saves_bins():
     assert least <= sum(last.values()) < sum(first.values())
 
 
+def improvable(kinds, capacity):
+    """Whether moving a piece, or swapping one or two for one, between two bins raises the sum of squared fills."""
+    under = [k for k in kinds if sum(k) < capacity]
+    for a in under:
+        for b in under:
+            if a == b and kinds[a] < 2:
+                continue
+            gives = {(x,) for x in b} | {(x, y) for i, x in enumerate(b) for y in b[i + 1 :]}
+            for give in gives:
+                for take in {0, *a} if len(give) == 1 else set(a):
+                    g = sum(give) - take
+                    if sum(a) + g <= capacity and sum(b) - g <= capacity and (sum(a) + g) ** 2 + (sum(b) - g) ** 2 > sum(a) ** 2 + sum(b) ** 2:
+                        return True
+    return False
+
+
+def test_local_search_ends_at_an_optimum():
+    rng = np.random.default_rng(1)
+    for low, high, n in ((12, 20, 40), (9, 25, 60), (3, 39, 25)) * 10:
+        kinds = {}
+        for x in rng.integers(low, high, n).tolist():  # a poor start: two pieces at most in a bin
+            kinds[(x,)] = kinds.get((x,), 0) + 1
+        assert not improvable(packing.local_search(kinds, 40), 40)
+
+
 def test_two_for_one_and_move():
     assert packing._best_move((6,), (3, 1), 4) == ((3, 1), (), 4) or packing._best_move((6,), (3, 1), 4)[2] == 3
     assert packing.local_search({(6,): 1, (4,): 1}, 10) == {(6, 4): 1}

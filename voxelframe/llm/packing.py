@@ -15,6 +15,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,6 @@ from voxelframe.llm.common import map_texts, saved, texts
 CAPACITY = 1024
 END_ID = 2
 RANK_BUCKETS = 256  # parts in which pieces of one length are numbered
-ROUNDS = 40  # of local search
 CACHED_WORDS = 250_000  # a worker remembers the ids of one to two times as many words; some 90 MB at most
 CACHED_LENGTH = 48
 LATIN_END = "\u0250"  # letters below are letters in every Unicode version
@@ -139,6 +139,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
 
 # packing kinds of bins ------------------------------------------------------------------------------------------------
 
+EXCHANGES = {(1, 0), (1, 1), (2, 1), (1, 2)}  # how many pieces a bin gets and hands back
 Kinds = dict[tuple[int, ...], int]  # lengths in a bin, longest first -> number of such bins
 
 
@@ -173,66 +174,109 @@ def best_fit(counts: dict[int, int], capacity: int) -> Kinds:
 def _best_move(a: tuple[int, ...], b: tuple[int, ...], room: int) -> tuple[tuple[int, ...], tuple[int, ...], int] | None:
     """What to hand from the emptier bin ``b`` to ``a`` (and back) so that ``a`` gains most, within its room."""
     best = None
-    own = (0, *dict.fromkeys(a))
-    singles = list(dict.fromkeys(b))
-    seen = Counter(b)
-    gives = [(x,) for x in singles] + [(x, y) for k, x in enumerate(singles) for y in singles[k:] if x != y or seen[x] > 1]
-    for give in gives:
-        for take in own:
-            gain = sum(give) - take
-            if 0 < gain <= room and (len(give) == 1 or take) and (best is None or gain > best[2]):
-                best = (give, (take,) if take else (), gain)
+    handed = lambda k: [(x,) for x in dict.fromkeys(k)] + _pairs(k)
+    takes = [(), *handed(a)]
+    for give in handed(b):
+        for take in takes:
+            gain = sum(give) - sum(take)
+            if 0 < gain <= room and (len(give), len(take)) in EXCHANGES and (best is None or gain > best[2]):
+                best = (give, take, gain)
     return best
 
 
-def local_search(kinds: Kinds, capacity: int, rounds: int = ROUNDS) -> Kinds:
-    """Move documents, swap one for one or two for one between underfull bins while the sum of squared fills grows.
-
-    Handing ``g`` from a bin to one at least as full raises the sum, so each
-    round feeds the fullest underfull bins from the emptiest; bins that become
-    empty are gone. Equal bins change together.
+def _pairs(kind: tuple[int, ...]) -> list[tuple[int, int]]:
+    seen = Counter(kind)
+    singles = list(seen)
+    return [(x, y) for k, x in enumerate(singles) for y in singles[k:] if x != y or seen[x] > 1]
+
+
+@lru_cache(maxsize=1 << 16)
+def _sums(kind: tuple[int, ...]) -> tuple[int, int]:
+    """What a bin can hand over, as bits: single lengths, and these with the sums of two of its pieces."""
+    one = sum(1 << x for x in set(kind))
+    both = one
+    for x, y in _pairs(kind):
+        both |= 1 << (x + y)
+    return one, both
+
+
+def _can_gain(a: tuple[int, ...], b: tuple[int, ...], least: int, room: int) -> bool:
+    """Whether some exchange hands ``a`` more than ``least`` and at most ``room``."""
+    if room <= least:
+        return False
+    window = (1 << (room - least)) - 1
+    one, both = _sums(b)
+    if one >> (least + 1) & window or any(both >> (t + least + 1) & window for t in set(a)):
+        return True
+    return any(one >> (t + least + 1) & window for t in {x + y for x, y in _pairs(a)} if t + least < b[0])
+
+
+def _exchange(now: Counter, a: tuple[int, ...], b: tuple[int, ...], move: tuple) -> list[tuple[int, ...]]:
+    """Make the move between as many bins of the two kinds as there are pairs; the kinds that were not there before."""
+    give, take, _gain = move
+    n = now[a] // 2 if a == b else min(now[a], now[b])
+    na, nb = Counter(a), Counter(b)
+    na.update(give), na.subtract(take)
+    nb.update(take), nb.subtract(give)
+    for kind in (a, b):
+        now[kind] -= n
+        if not now[kind]:
+            del now[kind]
+    new = []
+    for items in (na, nb):
+        kind = tuple(sorted(items.elements(), reverse=True))
+        if kind:
+            if now[kind] < 2:  # not there, or alone until now
+                new.append(kind)
+            now[kind] += n
+    return new
+
+
+def local_search(kinds: Kinds, capacity: int) -> Kinds:
+    """Move documents, swap one for one or two for one between underfull bins until no exchange raises the sum of squared fills.
+
+    Handing ``g`` from a bin to one that is fuller than it by ``d`` (or emptier,
+    by ``-d``) raises the sum if ``g + d > 0``; the sum is a bounded integer, so
+    the search ends. Equal bins change together. Rounds that feed the fullest
+    underfull bins from the emptiest do most of the work; then every kind meets
+    every other one, the emptiest first, and whatever an exchange makes meets
+    all again.
     """
     now = Counter(kinds)
-    for _ in range(rounds):
+    changed = True
+    while changed:
         under = sorted((k for k in now if sum(k) < capacity), key=sum, reverse=True)
         lo, hi, changed = 0, len(under) - 1, False
         while lo < hi:
             a, b = under[lo], under[hi]
-            move = _best_move(a, b, capacity - sum(a))
+            room = capacity - sum(a)
+            move = _best_move(a, b, room) if _can_gain(a, b, 0, room) else None
             if move is None:
                 lo += 1
                 continue
-            give, take, _gain = move
-            n = min(now[a], now[b])
-            na, nb = Counter(a), Counter(b)
-            na.update(give), na.subtract(take)
-            nb.update(take), nb.subtract(give)
-            for kind, by in ((a, -n), (b, -n)):
-                now[kind] += by
-                if not now[kind]:
-                    del now[kind]
-            for items in (na, nb):
-                kind = tuple(sorted(items.elements(), reverse=True))
-                if kind:
-                    now[kind] += n
+            _exchange(now, a, b, move)
             changed = True
             lo += a not in now
             hi -= b not in now
-        if len(under) == 1 and now[under[0]] > 1:  # equal bins: split the kind so that one half can feed the other
-            kind = under[0]
-            move = _best_move(kind, kind, capacity - sum(kind))
-            if move is not None:
-                n = now[kind] // 2
-                na, nb = Counter(kind), Counter(kind)
-                na.update(move[0]), na.subtract(move[1])
-                nb.update(move[1]), nb.subtract(move[0])
-                now[kind] -= 2 * n
-                for items in (na, nb):
-                    now[tuple(sorted(items.elements(), reverse=True))] += n
-                now += Counter()
-                changed = True
-        if not changed:
-            break
+    fill = {k: sum(k) for k in now}
+    fresh = [(-fill[k], k) for k in now if fill[k] < capacity]
+    heapify(fresh)
+    while fresh:
+        _, x = heappop(fresh)
+        for y in sorted((k for k in now if fill[k] < capacity), key=fill.__getitem__):
+            while x in now and y in now and (x != y or now[x] > 1):
+                for a, b in ((x, y), (y, x)):
+                    least, room = max(0, fill[b] - fill[a]), capacity - fill[a]
+                    if _can_gain(a, b, least, room):
+                        for kind in _exchange(now, a, b, _best_move(a, b, room)):
+                            fill[kind] = sum(kind)
+                            if fill[kind] < capacity:
+                                heappush(fresh, (-fill[kind], kind))
+                        break
+                else:
+                    break
+            if x not in now:
+                break
     return dict(now)
 
 
@@ -249,7 +293,7 @@ def places(kinds: Kinds) -> list[tuple[int, int, int, int, int, int]]:
     return runs
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Every piece of every document with its sequence and offset there.
 
     A null or empty text is one piece that holds just the end id. Repeated rows
@@ -259,7 +303,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     spark = docs.sparkSession
     pieces = saved(cut_documents(docs, tokenizer_path, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    runs = places(local_search(best_fit(counts, capacity), capacity, rounds))
+    runs = places(local_search(best_fit(counts, capacity), capacity))
     order = ["doc_id", "piece", "start", "ids_crc32"]
     part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int")
     dealt = pieces.withColumn("part", part)
