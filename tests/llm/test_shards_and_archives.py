@@ -84,3 +84,16 @@ def test_dictionary_comes_first(spark, tmp_path):
         path.write_bytes(damaged)
         with pytest.raises(Exception, match="archive ends|were written"):
             warc.read_archives(spark.createDataFrame([(str(path), n)], "path string, records long")).collect()
+
+
+def test_dictionary_is_trained_on_records(spark):
+    """Whole records as written: with headers, long pages to their end, revisits without a body; one page_id does not crowd out others."""
+    long = "<html>" + "y" * 40_000 + "the end</html>"
+    rows = [(1, "http://a/", long), *((k, f"http://b/{k}", BODY) for k in range(2, 6)), *((7, f"http://c/{k}", f"page {k}") for k in range(50))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    repeated = warc.repeated_payloads(pages)
+    got = warc.sample_records(pages, repeated)
+    assert sorted(got) == sorted(warc.record(r.page_id, r.url, r.html.encode(), r.payload_digest, r.refers_to) for r in warc.choose_responses(pages, repeated).collect())
+    assert sum(b"WARC-Type: revisit" in x and b"Content-Length: 0\r\n\r\n\r\n\r\n" in x for x in got) == 3 and any(x.endswith(b"the end</html>\r\n\r\n") for x in got)
+    many = spark.range(20_000).selectExpr("1 as page_id", "concat('http://h/', id) as url", "repeat('z', 100) as html")
+    assert 500 < len(warc.sample_records(many, warc.repeated_payloads(many))) < 1500

@@ -2,8 +2,8 @@
 
 An archive begins with a skippable frame that holds the dictionary (magic number
 0x184D2A5D, as in the public WARC-Zstandard proposal), followed by one frame per
-record. The dictionary is trained on a bounded sample of the records to be
-archived. Payloads that repeat an earlier-chosen record are written as revisits
+record. The dictionary is trained on a bounded sample of the records, whole
+and as they are written. Payloads that repeat an earlier-chosen record are written as revisits
 without a body.
 """
 
@@ -25,8 +25,10 @@ from voxelframe.llm.common import lean, lookup, prepare_workers, saved, scratch
 
 SKIPPABLE = 0x184D2A5D
 REVISIT_BYTES = 1000  # payloads below this are always stored
-SAMPLE_ROWS = 1000  # most records the dictionary is trained on (fewer than twice as many are looked at)
-SAMPLE_BYTES = 32_768  # of each
+SAMPLE_ROWS = 1000  # about as many records the dictionary is trained on, at most
+SAMPLE_BYTES = 64 << 20  # about as many bytes of html among them, at most
+SAMPLE_PAGE = 4 << 20  # a longer html is archived like any other, but the dictionary is not trained on it
+SAMPLE_SEED = 10
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 VERSION = "WARC/1.1"
@@ -96,27 +98,38 @@ class _Joined(io.RawIOBase):
         return self.rest.read(n)
 
 
-def choose_responses(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
+def _hashed(pages: DataFrame) -> DataFrame:
+    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    return pages.select("page_id", "url", "html").withColumns({"payload_digest": F.sha1(body), "payload_bytes": F.octet_length(body).cast("long")})
+
+
+PAYLOAD = ["payload_digest", "payload_bytes"]
+
+
+def repeated_payloads(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
+    """``(payload_digest, payload_bytes, chosen)``: the largest page_id of each payload that occurs more than once."""
+    large = _hashed(pages).where(F.col("payload_bytes") >= least_bytes).groupBy(*PAYLOAD)
+    return saved(large.agg(F.max("page_id").alias("chosen"), F.count("*").alias("n")).where("n > 1 and chosen is not null").drop("n"), "responses")
+
+
+def choose_responses(pages: DataFrame, repeated: DataFrame) -> DataFrame:
     """Adds ``payload_digest``, ``payload_bytes`` and ``refers_to``: the largest page_id with an equal payload, null if that is the row's own.
 
     Payloads are compared by SHA-1 and length. Rows that share the largest
     page_id are all responses; a null page_id never is the largest.
     """
-    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    hashed = pages.select("page_id", "url", "html").withColumns({"payload_digest": F.sha1(body), "payload_bytes": F.octet_length(body).cast("long")})
-    keys = ["payload_digest", "payload_bytes"]
-    large = hashed.where(F.col("payload_bytes") >= least_bytes).groupBy(*keys)
-    least_two = large.agg(F.max("page_id").alias("chosen"), F.count("*").alias("n")).where("n > 1 and chosen is not null").drop("n")
-    joined = lookup(hashed, saved(least_two, "responses"), keys)
-    return joined.select("page_id", "url", "html", *keys, F.when(~F.col("chosen").eqNullSafe(F.col("page_id")), F.col("chosen")).alias("refers_to"))
+    joined = lookup(_hashed(pages), repeated, PAYLOAD)
+    return joined.select("page_id", "url", "html", *PAYLOAD, F.when(~F.col("chosen").eqNullSafe(F.col("page_id")), F.col("chosen")).alias("refers_to"))
 
 
-def sample_payloads(pages: DataFrame, rows: int = SAMPLE_ROWS) -> list[bytes]:
-    """A bounded sample of payloads, even over the table."""
-    n = pages.count()
-    every = max(1, n // rows)
-    picked = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select(F.substring(F.coalesce(F.col("html"), F.lit("")), 1, SAMPLE_BYTES).alias("t")).limit(2 * rows)
-    return [r["t"].encode() for r in picked.collect()]
+def sample_records(pages: DataFrame, repeated: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> list[bytes]:
+    """A bounded sample of whole records as they are written, even over the rows, whatever page ids these share."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
+    n, total = pages.agg(F.count("*"), F.sum(F.when(size <= SAMPLE_PAGE, size))).first()
+    share = min(1.0, rows / max(n, 1), most / max(total or 0, 1))
+    picked = pages.select("page_id", "url", "html").where((size <= SAMPLE_PAGE) & (F.rand(SAMPLE_SEED) < share))
+    found = choose_responses(picked, repeated).collect()
+    return [record(r["page_id"], r["url"], (r["html"] or "").encode(), r["payload_digest"], r["refers_to"]) for r in found]
 
 
 def write_archives(pages: DataFrame, folder: str, dictionary: bytes, level: int = LEVEL) -> DataFrame:
@@ -194,7 +207,8 @@ def archive(pages: DataFrame, folder: str | None = None, with_payload: bool = Fa
     table gives no archive and no record.
     """
     folder = folder or scratch(pages.sparkSession, "warc")
-    dictionary = train_dictionary(sample_payloads(pages))
-    manifest = saved(write_archives(choose_responses(pages), folder, dictionary), "manifest")
+    repeated = repeated_payloads(pages)
+    dictionary = train_dictionary(sample_records(pages, repeated))
+    manifest = saved(write_archives(choose_responses(pages, repeated), folder, dictionary), "manifest")
     n = manifest.count()
     return read_archives(manifest.repartition(max(1, n)), with_payload)
