@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -105,13 +106,27 @@ def test_line_dedup(spark, odd, none):
     docs = [(k, f"Site menu\n{prose(k, 12)}\n\n{'Rare ' + str(k % 40)}\nSite menu", "h1") for k in range(60)] + [(100 + k, "Site menu\nsmall site", "h2") for k in range(3)]
     got = {r.doc_id: r for r in lines.drop_boilerplate(spark.createDataFrame(docs, "doc_id long, text string, s string"), F.col("text"), F.col("s")).collect()}
     assert got[5].clean_text == f"{prose(5, 12)}\n\nRare 5" and (got[5].n_lines, got[5].n_dropped) == (4, 2)
-    assert got[101].clean_text == "Site menu\nsmall site"
+    assert got[101].clean_text == "" and got[101].n_dropped == 2  # the ratio decides on a small site too
+    small = [(k, f"own {k}\nshared {k // 2}\nall", "a") for k in range(13)] + [(100 + k, f"own {k}\nshared {k // 2}\nall", "b") for k in range(26)] + [(200, "alone\nalone", "c")]
+    got = {r.doc_id: r.clean_text for r in lines.drop_boilerplate(spark.createDataFrame(small, "doc_id long, text string, s string"), F.col("text"), F.col("s")).collect()}
+    assert got[3] == "own 3" and got[103] == "own 3\nshared 1" and got[12] == "own 12\nshared 6" and got[200] == "alone\nalone"
     assert lines.drop_boilerplate(odd, F.col("text"), F.col("source")).count() == 10 and lines.drop_boilerplate(none, F.col("text"), F.col("source")).count() == 0
     pages = spark.createDataFrame([(None, None, None), (1, "HTTPS://u:p@Host.Example:80/x", "<head>no</head><p>One</p><script>var a='<p>';</script><b>two</b> three<br/>four <!-- <p> -->")], "page_id long, url string, html string")
     rows = {r.page_id: r for r in lines.clean_pages(pages).collect()}
     assert rows[1].site == "host.example" and [x for x in rows[1].clean_text.split("\n") if x.strip()] == ["One", "two three", "four "] and rows[None].clean_text == ""
 
 
+def test_long_pages_in_linear_time(spark):
+    """Pages of some MB: tags that are never closed, and two near copies of many lines."""
+    wide = "\n".join(f"line {k}" for k in range(60_000))
+    rows = [(1, "http://a/", "<script>" * 250_000), (2, "http://a/", "<p " * 700_000), (3, "http://a/", "<" * 2_000_000), (4, "http://a/", "<!-- " * 400_000), (5, "http://b/", wide), (6, "http://b/", wide + "\nmore")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    start = time.time()
+    got = {r.page_id: r for r in lines.clean_pages(pages).collect()}
+    assert time.time() - start < 30
+    assert got[1].clean_text.strip() == "" and got[4].clean_text.strip() == "" and got[5].n_dropped == got[6].n_dropped == 60_000 and got[6].clean_text == "more"
+
+
 def test_index_is_exact():
     rng = np.random.default_rng(4)
     vectors = [{int(t): float(rng.random()) for t in rng.choice(40, 5, replace=False)} for _ in range(300)] + [{1: 1.0}] * 5
