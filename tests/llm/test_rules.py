@@ -93,6 +93,17 @@ def test_quality_against_sql_and_brute_force(spark, odd, none, tmp_path):
     assert quality.quality(none).count() == 0
 
 
+def test_fences_follow_the_group(spark):
+    """The same counts are in order where they are usual and out of order where they are not."""
+    marks = lambda k, n: " ".join(w + ("#" if i < n else "") for i, w in enumerate(prose(k, 100).split()))
+    again = lambda k: f"{prose(k, 90)}\n" + "\n".join(["once more the same"] * 5)
+    docs = [(k, marks(k, 20 + k % 10), "en", "code") for k in range(300)] + [(1000 + k, prose(k, 100), "en", "prose") for k in range(300)] + [(2000 + k, again(k), "en", "verse") for k in range(300)]
+    docs += [(5000 + j, marks(7, 25), "en", s) for j, s in enumerate(("code", "prose"))] + [(5100 + j, again(9), "en", s) for j, s in enumerate(("verse", "prose"))] + [(5200, marks(7, 2), "en", "prose"), (5300, "### " * 60 + prose(3, 60), "en", "code"), (5400, marks(5, 90), "xx", "new")]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[5000] and not got[5001] and got[5100] and not got[5101] and got[5200] and not got[5300]
+    assert all(v for k, v in got.items() if k < 5000)
+
+
 def test_sketches_merge(spark):
     """The sketch of all rows is the sum of the sketches of any parts."""
     m = quality._measures(quality.features(spark.read.parquet(f"{D}/documents.parquet")))

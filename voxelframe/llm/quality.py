@@ -1,10 +1,13 @@
 """Quality rules with adaptive thresholds (operator 5), in DataFrame functions only.
 
-Each document's measures go into quantile sketches per language and source:
-counts of log-linear buckets (the leading five bits of the value), which add up
-when sketches merge, whatever the order. A document fails if a measure lies
-beyond its group's fence; groups too small for a sketch of their own use the
-merged one of the language, or of everything.
+The measures of each document that passes the base rules go into quantile
+sketches per language and source: counts of log-linear buckets (the leading five
+bits of the value), which add up when sketches merge, whatever the order. A
+group's sketch is merged with those of its language and of all documents, each
+scaled down to the weight of a few documents: a large group decides for itself,
+a small one leans on its surroundings, and no size switches the rule. A fence
+lies some spreads beyond a high quantile of that sketch; a document fails if a
+measure lies beyond the fence of its own group.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ WINDOW = 3
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of the words
 BITS = 5  # leading bits that a bucket keeps: within 1/16 of the value
-LEAST_DOCS = 40  # documents a group needs for thresholds of its own
-FEW_LINES = 5  # added to a text's lines, so that one repeated line in a short text is no high rate
-REACH = 3  # interquartile ranges beyond the quartile
-#: Measures in thousandths (word length in hundredths): how far a fence lies from the quartile at least.
-MEASURES = {"symbol_rate": 150, "dup_line_rate": 400, "repeat_rate": 450, "word_length": 300}
-TWO_SIDED = ("word_length",)
+PRIOR_DOCS = 40  # documents that the language's sketch, and that of all documents, weigh in a group's at most
+REACH = 4  # spreads beyond the quantile
+HIGH, MIDDLE, LOW = 90, 50, 10  # percent: a fence is HIGH + REACH * (HIGH - MIDDLE), and likewise below; a spread is one bucket at least
+#: Rates in thousandths: the count, what it is set against, and how many counted things may be chance, so that rounding in short texts decides nothing.
+RATES = {"symbol_rate": ("n_symbols", "n_words", 3), "dup_line_rate": ("n_dup_lines", "n_lines", 3), "repeat_rate": ("n_repeat_words", "n_words", 12)}
+MEASURES = (*RATES, "word_length")  # the last in hundredths of a code point, fenced on both sides
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -71,71 +74,70 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
 def _measures(found: DataFrame) -> DataFrame:
-    words, lines = F.greatest("n_words", F.lit(1)), F.col("n_lines") + FEW_LINES
+    rate = lambda count, size: F.floor(F.col(count) * 1000 / F.greatest(size, F.lit(1)))
     return found.withColumns(
-        {
-            "symbol_rate": F.floor(F.col("n_symbols") * 1000 / words),
-            "dup_line_rate": F.floor(F.col("n_dup_lines") * 1000 / lines),
-            "repeat_rate": F.floor(F.col("n_repeat_words") * 1000 / words),
-            "word_length": F.floor(F.col("word_chars") * 100 / words),
-            "g_lang": F.coalesce("lang", F.lit("")),
-            "g_source": F.coalesce("source", F.lit("")),
-        }
+        {m: rate(count, size) for m, (count, size, _) in RATES.items()}
+        | {"word_length": F.floor(F.col("word_chars") * 100 / F.greatest("n_words", F.lit(1))), "base_failed": _failed(), "g_lang": F.coalesce("lang", F.lit("")), "g_source": F.coalesce("source", F.lit(""))}
     )
 
 
 def sketches(measured: DataFrame) -> DataFrame:
     """``(g_lang, g_source, measure, bucket, n)``: one mergeable sketch per group and measure. Aggregated before the shuffle."""
-    long = measured.select("g_lang", "g_source", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES))).alias("x")).select("g_lang", "g_source", "x.*")
+    long = measured.where("not base_failed").select("g_lang", "g_source", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES))).alias("x")).select("g_lang", "g_source", "x.*")
     shifted = long.withColumn("shift", F.greatest(F.length(F.bin("v")) - BITS, F.lit(0)))
     return shifted.groupBy("g_lang", "g_source", "measure", F.expr("shiftleft(shiftright(v, shift), shift)").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quantile(share: float) -> Column:
-    """Aggregate expression over a sketch with running counts ``upto`` and total ``all``: the bucket that holds the quantile."""
-    return F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * share), F.col("bucket")))
+def _scaled(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Merged over everything but ``keys``, and scaled down to :data:`PRIOR_DOCS` documents (in thousandths)."""
+    merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    whole = merged.groupBy(*keys, "measure").agg(F.sum("n").alias("total"))
+    return merged.join(whole, [*keys, "measure"]).select(*keys, "measure", "bucket", F.expr(f"cast(cast(n as decimal(20,0)) * least(total, {PRIOR_DOCS}) * 1000 div total as bigint)").alias("w"))
+
+
+def quantile(percent: int) -> Column:
+    """Aggregate expression over a sketch with running weights ``upto`` and total ``all``: the bucket that holds the quantile."""
+    return F.min(F.when(F.col("upto") * 100 >= F.col("all") * percent, F.col("bucket")))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """Fences per language and source: ``(g_lang, g_source, <measure>_high, word_length_low)``, from the finest group that is large enough."""
-    key = lambda level, a, b: F.struct(F.lit(level).alias("level"), a.alias("a"), b.alias("b"))
-    lang, source, any_ = F.col("g_lang"), F.col("g_source"), F.lit("")
-    levels = F.explode(F.array(key(2, lang, source), key(1, lang, any_), key(0, any_, any_)))
-    merged = sketch.withColumn("l", levels).groupBy("l.level", "l.a", "l.b", "measure", "bucket").agg(F.sum("n").alias("n"))
-    part = Window.partitionBy("level", "a", "b", "measure")
-    summed = merged.withColumn("upto", F.sum("n").over(part.orderBy("bucket"))).withColumn("all", F.sum("n").over(part))
-    keys = ["level", "a", "b", "measure"]
-    q = summed.groupBy(*keys).agg(quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), F.max("all").alias("docs"))
-    floor = F.create_map(*(F.lit(x) for m, v in MEASURES.items() for x in (m, v)))[F.col("measure")]
-    reach = F.greatest(F.lit(REACH) * (F.col("q3") - F.col("q1")), floor)
-    q = q.withColumn("high", F.col("q3") + reach).withColumn("low", F.col("q1") - reach)
-    wide = q.groupBy("level", "a", "b").agg(F.max("docs").alias("docs"), *(F.max(F.when(F.col("measure") == m, F.col("high"))).alias(f"{m}_high") for m in MEASURES), *(F.max(F.when(F.col("measure") == m, F.col("low"))).alias(f"{m}_low") for m in TWO_SIDED))
-    fences = [c for c in wide.columns if c.endswith(("_high", "_low"))]
-    enough = wide.where((F.col("docs") >= LEAST_DOCS) | (F.col("level") == 0))
-    groups = sketch.select("g_lang", "g_source").distinct()
-    tried = groups.withColumn("l", levels).select("g_lang", "g_source", "l.*").join(enough, ["level", "a", "b"])
-    return tried.groupBy("g_lang", "g_source").agg(F.max_by(F.struct(*fences), "level").alias("f")).select("g_lang", "g_source", "f.*")
+    """Fences per language and source: ``(g_lang, g_source, <measure>_high, word_length_low)``."""
+    names = ["g_lang", "g_source", "measure", "bucket", "w"]
+    groups = sketch.select("g_lang", "g_source", "measure").distinct()
+    own = sketch.select("g_lang", "g_source", "measure", "bucket", (F.col("n") * 1000).alias("w"))
+    of_language = groups.join(_scaled(sketch, ["g_lang"]), ["g_lang", "measure"]).select(*names)
+    of_all = groups.join(F.broadcast(_scaled(sketch, [])), "measure").select(*names)  # a bounded table: the buckets of four measures
+    merged = own.union(of_language).union(of_all).groupBy("g_lang", "g_source", "measure", "bucket").agg(F.sum("w").alias("w"))
+    part = Window.partitionBy("g_lang", "g_source", "measure")
+    summed = merged.withColumn("upto", F.sum("w").over(part.orderBy("bucket"))).withColumn("all", F.sum("w").over(part))
+    q = summed.groupBy("g_lang", "g_source", "measure").agg(quantile(LOW).alias("low"), quantile(MIDDLE).alias("middle"), quantile(HIGH).alias("high"))
+    width = lambda c: F.expr(f"shiftleft(1L, greatest(length(bin({c})) - {BITS}, 0))")
+    q = q.withColumn("up", F.col("high") + REACH * F.greatest(F.col("high") - F.col("middle"), width("high"))).withColumn("down", F.col("low") - REACH * F.greatest(F.col("middle") - F.col("low"), width("low")))
+    at = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
+    return q.groupBy("g_lang", "g_source").agg(*(at(m, "up").alias(f"{m}_high") for m in MEASURES), at("word_length", "down").alias("word_length_low"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id``, the base counts, ``base_failed`` and ``kept``.
 
     ``kept`` is false if the base rules fail, else true unless a measure lies
-    beyond its fence. Empty and null texts have no words and fail. A null
+    beyond its group's fence. Empty and null texts have no words and fail. A null
     language or source counts as a group of its own; repeated rows each count;
     other columns are ignored.
     """
     found = saved(_measures(features(docs)), "quality")
     fences = saved(thresholds(sketches(found)), "fences")
     judged = lookup(found, fences, ["g_lang", "g_source"])
-    inside = F.lit(True)
-    for m in MEASURES:
-        inside = inside & (F.col(m) <= F.col(f"{m}_high"))
-    for m in TWO_SIDED:
-        inside = inside & (F.col(m) >= F.col(f"{m}_low"))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), "n_lines", *MEASURES)
+    inside = F.col("word_length").between(F.col("word_length_low"), F.col("word_length_high"))
+    for m, (count, size, few) in RATES.items():
+        inside = inside & (F.col(count) * 1000 <= F.col(f"{m}_high") * F.col(size) + few * 1000)
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(True)))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lines", *MEASURES)
 
 
 _WS = "[ \x09-\x0D]+"
@@ -148,16 +150,19 @@ cov as (select rid, count(distinct i + o) n from twice, (select unnest([0, 1, 2]
 f as (select w.rid, doc_id, lang, source, cast(len(w) as bigint) n_words, cast(length(regexp_replace(t, '{_WS}', '', 'g')) as bigint) word_chars,
  cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) n_symbols, cast(len(lines) as bigint) n_lines, cast(len(lines)-len(list_distinct(lines)) as bigint) n_dup_lines, cast(coalesce(cov.n, 0) as bigint) n_repeat_words
  from w left join cov on w.rid = cov.rid),
-m as (select *, n_symbols*1000//greatest(n_words, 1) symbol_rate, n_dup_lines*1000//(n_lines+{FEW_LINES}) dup_line_rate, n_repeat_words*1000//greatest(n_words, 1) repeat_rate, word_chars*100//greatest(n_words, 1) word_length from f),
-l as (select lang, source, 'symbol_rate' measure, symbol_rate v, {MEASURES['symbol_rate']} floor_ from m union all select lang, source, 'dup_line_rate', dup_line_rate, {MEASURES['dup_line_rate']} from m
- union all select lang, source, 'repeat_rate', repeat_rate, {MEASURES['repeat_rate']} from m union all select lang, source, 'word_length', word_length, {MEASURES['word_length']} from m),
-b as (select lang, source, measure, floor_, (v >> greatest(length(bin(v))-{BITS}, 0)) << greatest(length(bin(v))-{BITS}, 0) bucket, count(*) n from l group by all),
-lv as (select 2 lvl, lang a, source b, measure, floor_, bucket, n from b union all select 1, lang, '', measure, floor_, bucket, n from b union all select 0, '', '', measure, floor_, bucket, n from b),
-mg as (select lvl, a, b, measure, floor_, bucket, sum(n) n from lv group by all),
-up as (select *, sum(n) over (partition by lvl, a, b, measure order by bucket) upto, sum(n) over (partition by lvl, a, b, measure) al from mg),
-q as (select lvl, a, b, measure, floor_, min(bucket) filter (upto >= ceil(al*0.25)) q1, min(bucket) filter (upto >= ceil(al*0.75)) q3, max(al) docs from up group by all),
-fe as (select lvl, a, b, measure, docs, q3+greatest({REACH}*(q3-q1), floor_) high, q1-greatest({REACH}*(q3-q1), floor_) low from q where docs >= {LEAST_DOCS} or lvl = 0),
-pick as (select m.rid, fe.* from m join fe on (lvl = 2 and a = m.lang and b = m.source) or (lvl = 1 and a = m.lang and b = '') or lvl = 0 qualify row_number() over (partition by m.rid, measure order by lvl desc) = 1),
-bad as (select m.rid, bool_or(case measure when 'symbol_rate' then symbol_rate > high when 'dup_line_rate' then dup_line_rate > high when 'repeat_rate' then repeat_rate > high else word_length > high or word_length < low end) bad from m join pick using (rid) group by 1)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {LEAST_WORDS} or 100*n_repeat_words > {MOST_REPEATED}*n_words base_failed,
- not (n_words < {LEAST_WORDS} or 100*n_repeat_words > {MOST_REPEATED}*n_words) and not bad kept, n_lines, symbol_rate, dup_line_rate, repeat_rate, word_length from m join bad using (rid)"""
+m as (select *, n_symbols*1000//greatest(n_words, 1) symbol_rate, n_dup_lines*1000//greatest(n_lines, 1) dup_line_rate, n_repeat_words*1000//greatest(n_words, 1) repeat_rate, word_chars*100//greatest(n_words, 1) word_length,
+ n_words < {LEAST_WORDS} or 100*n_repeat_words > {MOST_REPEATED}*n_words base_failed from f),
+ok as (select * from m where not base_failed),
+l as (select lang, source, 'symbol_rate' measure, symbol_rate v from ok union all select lang, source, 'dup_line_rate', dup_line_rate from ok union all select lang, source, 'repeat_rate', repeat_rate from ok union all select lang, source, 'word_length', word_length from ok),
+b as (select lang, source, measure, (v >> greatest(length(bin(v))-{BITS}, 0)) << greatest(length(bin(v))-{BITS}, 0) bucket, count(*) n from l group by all),
+g as (select distinct lang, source, measure from b),
+nl as (select lang, measure, bucket, sum(n) n from b group by all), na as (select measure, bucket, sum(n) n from b group by all),
+bl as (select *, sum(n) over (partition by lang, measure) total from nl), ba as (select *, sum(n) over (partition by measure) total from na),
+mg as (select lang, source, measure, bucket, n*1000 w from b union all select g.lang, source, measure, bucket, n*least(total, {PRIOR_DOCS})*1000//total from g join bl using (lang, measure) union all select lang, source, measure, bucket, n*least(total, {PRIOR_DOCS})*1000//total from g join ba using (measure)),
+sm as (select lang, source, measure, bucket, cast(sum(w) as bigint) w from mg group by all),
+up as (select *, sum(w) over (partition by lang, source, measure order by bucket) upto, sum(w) over (partition by lang, source, measure) al from sm),
+q as (select lang, source, measure, min(bucket) filter (upto*100 >= al*{LOW}) q1, min(bucket) filter (upto*100 >= al*{MIDDLE}) q2, min(bucket) filter (upto*100 >= al*{HIGH}) q3 from up group by all),
+fe as (select lang, source, measure, q3+{REACH}*greatest(q3-q2, 1 << greatest(length(bin(q3))-{BITS}, 0)) high, q1-{REACH}*greatest(q2-q1, 1 << greatest(length(bin(q1))-{BITS}, 0)) low from q),
+bad as (select ok.rid, bool_or(case measure when 'symbol_rate' then n_symbols*1000 > high*n_words+{RATES['symbol_rate'][2]}*1000 when 'dup_line_rate' then n_dup_lines*1000 > high*n_lines+{RATES['dup_line_rate'][2]}*1000
+ when 'repeat_rate' then n_repeat_words*1000 > high*n_words+{RATES['repeat_rate'][2]}*1000 else word_length > high or word_length < low end) bad from ok join fe using (lang, source) group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(bad, false) kept, n_lines, symbol_rate, dup_line_rate, repeat_rate, word_length from m left join bad using (rid)"""
