@@ -86,6 +86,20 @@ def test_near_duplicates(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [900, 903, 904, 905, 906, 907] and kept.where("doc_id is null").count() == 1
 
 
+def test_rows_that_share_an_id(spark):
+    """Rows are kept or dropped by themselves: one id with two texts is two documents, copies of one row are one."""
+    a, b, c = prose(1, 200), prose(2, 200), prose(3, 200)
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "x"), (2, a, "x"), (2, c, "x"), (3, b, "y"), (1, a, "y"), (None, a, "z"), (None, a, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "map('k', source) as extra")
+    for parts in (1, 7):
+        kept = [(r.doc_id, r.text, r.source) for r in hamming.keep_one(df.repartition(parts)).collect()]
+        assert sorted(x for x in kept if x[0] and x[1] != a) == [(1, b, "x"), (2, c, "x")] and kept.count((None, a, "z")) == 2
+        first = [x for x in kept if x[0] and x[1] == a]
+        assert len(first) == 1 and first[0][0] == 1
+        again = first if parts == 1 else again
+        assert first == again
+
+
 def test_e8():
     assert lattice.ROOTS.shape == (240, 8) and np.allclose((lattice.ROOTS**2).sum(axis=1), 2)
     y = np.random.default_rng(0).normal(size=(500, 8)) * 2

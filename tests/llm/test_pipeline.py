@@ -9,6 +9,7 @@ from test_rules import base
 from test_tokens import check_packing
 
 from voxelframe.llm import catalog, lines, toxicity
+from voxelframe.llm.common import scratch_so_far
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -70,7 +71,10 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 
     rows = steps["best_fit_packing"](spark, four, str(tmp_path)).collect()
     check_packing(rows, {i: [t or ""] for i, t in masked.items()})
-    ran = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    before = scratch_so_far()
+    ran = corpus_pipeline.run(spark, str(tmp_path))
+    assert scratch_so_far() - before == {ran._scratch}  # nothing else is left behind
+    ran = ran.collect()
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in ran) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows)
 
 

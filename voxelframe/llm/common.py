@@ -28,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or a temporary one where it is unset and there is one machine only (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="voxelframe-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -41,22 +44,46 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []  # scratch tables that are still there
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """The table written to the shared folder and read back: computed once, no lineage, survives lost executors."""
     path = scratch(df.sparkSession, what)
+    _written.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path  # type: ignore[attr-defined]
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete what :func:`saved` wrote, once nothing reads it any more."""
     path = getattr(df, "_scratch", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def scratch_so_far() -> set[str]:
+    return set(_written)
+
+
+def clear_scratch(spark: SparkSession, before: set[str], keep: DataFrame | None = None) -> None:
+    """Delete what was saved since ``before``, but for ``keep``.
+
+    Operators return lazy tables that read what they saved, so they cannot clear
+    up themselves; who has written their result can.
+    """
+    kept = getattr(keep, "_scratch", None)
+    for path in [p for p in _written if p not in before and p != kept]:
+        _delete(spark, path)
 
 
 def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:

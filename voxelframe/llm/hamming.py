@@ -56,13 +56,14 @@ def split_words(text: bytes) -> list[bytes]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``(id, fp)`` per row, the fingerprint as a signed LONG; a null text counts as empty. Narrow."""
+    """``(id, mark, fp)`` per row: the column ``__mark`` of the input (null without one) and the fingerprint as a signed LONG; a null text counts as empty. Narrow."""
 
     def run(batches: Iterator[tuple]) -> Iterator[dict]:
-        for keys, column in batches:
-            yield {"id": keys, "fp": np.array([fingerprint(split_words(t), size) for t in utf8(column)], dtype=np.uint64).view(np.int64)}
+        for keys, marks, column in batches:
+            yield {"id": keys, "mark": marks, "fp": np.array([fingerprint(split_words(t), size) for t in utf8(column)], dtype=np.uint64).view(np.int64)}
 
-    return map_texts(docs, run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long", id_col, text_col)
+    rows = docs if "__mark" in docs.columns else docs.withColumn("__mark", F.lit(None).cast("long"))
+    return map_texts(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, mark long, fp long", id_col, "__mark", text_col)
 
 
 # anchors --------------------------------------------------------------------------------------------------------------
@@ -172,6 +173,17 @@ def fingerprint_links(distinct: DataFrame, threshold: int = THRESHOLD, block: in
     return in_blocks(copies, ["anchor"], "fp", block).mapInArrow(lean(_compare(threshold)), "a long, b long")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int, size: int) -> DataFrame:
+    """``(id, mark, fp, component, component_id)``: ``component`` names the group by a fingerprint, ``component_id`` is its least id."""
+    each = saved(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    classes = saved(each.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    group = components(fingerprint_links(classes, threshold)).select(F.col("node").alias("fp"), "component")
+    named = saved(classes.join(group, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = saved(named.join(least, "component").select("fp", "component", "component_id"), "labels")
+    return lookup(each, labels, ["fp"], "inner")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """``(id, fp, component_id)`` per row: the group of documents that chains of links connect, named by its least id.
 
@@ -179,28 +191,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words) link at once and count as one from then on. Null ids get the group's
     least id, null if it has none. Other columns are ignored.
     """
-    each = saved(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    classes = saved(each.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    group = components(fingerprint_links(classes, threshold)).select(F.col("node").alias("fp"), "component")
-    named = saved(classes.join(group, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "named")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = saved(named.join(least, "component").select("fp", "component_id"), "labels")
-    return lookup(each, labels, ["fp"], "inner").select(F.col("id").alias(id_col), "fp", "component_id")
+    found = _grouped(docs.select(id_col, text_col), id_col, text_col, threshold, size)
+    return found.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """The documents without near-duplicates: of each group the one with the least id stays, all columns as they are.
+    """The documents without near-duplicates: of each group one row with the least id stays, all columns as they are.
 
-    Rows that share an id count as one document, of which one row stays. A row
-    with a null id cannot be named and stays.
+    Rows are judged one by one, by id and content: rows that share an id but
+    belong to different groups each count in their own group, and of the rows of
+    a group that share its least id the one with the least hash over all columns
+    stays. Of rows equal in every column one stays. A row with a null id cannot
+    be named and stays.
     """
-    found = saved(near_duplicates(docs, threshold=threshold, size=size).where("doc_id is not null"), "groups")
-    by_id = saved(found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("n")), "choice")
-    gone = by_id.where("stays = 0").select("doc_id")
-    out = lookup(docs, gone, ["doc_id"], "left_anti")
-    if by_id.where("stays = 1 and n > 1").isEmpty():
-        return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    cells = (F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema)
+    marked = docs.withColumn("__mark", F.xxhash64(*cells))
+    rows = _grouped(marked.select("doc_id", "text", "__mark"), "doc_id", "text", threshold, size).where("id is not null")
+    found = saved(rows.groupBy("id", "mark", "component", "component_id").agg(F.count("*").alias("n")), "groups")
+    best = saved(found.where("id = component_id").groupBy("component").agg(F.min("mark").alias("best")), "best")
+    judged = lookup(found, best, ["component"]).select(F.col("id").alias("doc_id"), F.col("mark").alias("__mark"), "n", F.expr("id = component_id and mark = best").alias("stays"))
+    choice = saved(judged.where("not stays or n > 1"), "choice")
+    keys = ["doc_id", "__mark"]
+    out = lookup(marked, choice.where("not stays").select(*keys), keys, "left_anti")
+    copies = choice.where("stays").select(*keys)  # of rows that are there more than once
+    if not copies.isEmpty():
+        out = lookup(out, copies, keys, "left_anti").unionByName(lookup(out, copies, keys, "left_semi").dropDuplicates(keys))
+    return out.drop("__mark")
 
 
 def hex_fingerprint(fp: Column) -> Column:
