@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.llm import hamming, lines, packing, pii, toxicity
 from voxelframe.llm.catalog import BYTE_MODEL
-from voxelframe.llm.common import saved, table
+from voxelframe.llm.common import clear_scratch, drop_saved, saved, scratch_so_far, table
 
 
 def _rewrite(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], new: str) -> DataFrame:
@@ -63,5 +63,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        before = scratch_so_far()
+        out = saved(stage(spark, docs, sf_dir), name)
+        clear_scratch(spark, before, keep=out)  # what the stage saved on its way
+        drop_saved(docs)  # its input, unless that is the table itself
+        docs = out
     return docs
