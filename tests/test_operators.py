@@ -169,6 +169,148 @@ def test_fits(spark, tmp_path):
     assert generators.many_columns(spark, 5, 6).columns[-1] == "col5" and generators.spheres(spark, 5, "spherical").columns[:3] == ["Z_COSMO", "RA", "DEC"]
 
 
+def test_fits_values(spark, tmp_path):
+    """Scaled, unsigned and missing values, several values in a cell, logicals and text; only the wanted columns."""
+    n = 300
+    k = np.arange(n)
+    columns = {
+        "scaled": k.astype("i2"), "u16": (k - 2**15 + 40_000).astype("i2"), "u32": (k - 2**31 + 3_000_000_000).astype("i4"), "u64": k.astype("i8") + (5 - 2**63), "holes": np.where(k % 3 == 0, -99, k).astype("i4"),
+        "vec": np.stack([k, k * 2, k * 3], axis=1).astype("f4"), "ok": np.where(k % 3 == 0, b"T", np.where(k % 3 == 1, b"F", b"\0")).astype("S1"), "name": np.array([f"s{i}" for i in k], dtype="S5"), "sb": k.astype("u1"), "small": (k % 250).astype("u1"),
+    }
+    write_fits(f"{tmp_path}/t.fits", columns, [("TSCAL1", 0.5), ("TZERO1", 10), ("TZERO2", 32768), ("TZERO3", 2147483648), ("TZERO4", 9223372036854775808), ("TNULL5", -99), ("TZERO9", -128)])
+    df = load(spark, f"{tmp_path}/t.fits", rowspertask=100)
+    assert dict(df.dtypes) == {"scaled": "double", "u16": "int", "u32": "bigint", "u64": "decimal(20,0)", "holes": "int", "vec": "array<float>", "ok": "boolean", "name": "string", "sb": "smallint", "small": "smallint"}
+    rows = df.collect()
+    for i in (0, 1, 2, 150, 299):
+        r = rows[i]
+        assert (r.scaled, r.u16, r.u32, int(r.u64)) == (10 + i / 2, 40_000 + i, 3_000_000_000 + i, 5 + i)
+        assert r.holes == (None if i % 3 == 0 else i) and r.vec == [i, 2 * i, 3 * i] and r.ok == (True, False, None)[i % 3] and r.name == f"s{i}" and r.sb == i % 256 - 128 and r.small == i % 250
+    some = load(spark, f"{tmp_path}/t.fits", columns="vec, u16")
+    assert some.columns == ["vec", "u16"] and some.where("u16 = 40007").first().vec == [7.0, 14.0, 21.0]
+    with pytest.raises(Exception, match="not supported"):
+        write_fits(f"{tmp_path}/bad.fits", {"c": np.zeros(2, dtype="f8")}, [("TFORM1", "1C")])
+        load(spark, f"{tmp_path}/bad.fits")
+
+
+def test_placing_shapes_equals_all_pairs(spark):
+    """Boxes and spheres of all sizes, outside ones, empty ones and nulls, against every leaf, on deep and flat trees."""
+    points = generators.blobs(spark, 3000, seed=3).cache()
+    rng = np.random.default_rng(8)
+    rows = [(i, *map(float, np.r_[c, c + s][[0, 3, 1, 4, 2, 5]])) for i, (c, s) in enumerate(zip(rng.normal(size=(60, 3)) * 6, rng.random((60, 3)) * rng.choice([0, 1, 8], (60, 1)), strict=True))]
+    rows += [(100, 1.0, 0.0, 1.0, 0.0, 1.0, 0.0), (101, None, 1.0, 0.0, 1.0, 0.0, 1.0), (102, 1e6, 1e6, 0.0, 1.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double, d double, e double, f double")
+    for n in (1, 8, 512):
+        grid = fit(points, OCTREE, n)
+        got = sorted(map(tuple, grid.place_objects(df, Box(*"abcdef")).select("k", "partition_id").collect()))
+        want = sorted((r[0], i) for r in rows if None not in r for i in grid.place_object(Box(*r[1:])))
+        assert got == want and grid.place_objects(df, Box(*"abcdef")).columns == [*df.columns, "partition_id"]
+        assert "Join" not in grid.place_objects(df, Box(*"abcdef"))._jdf.queryExecution().toString()
+    with pytest.raises(AssertionError, match="fewer than"):
+        fit(points, OCTREE, 8**7)
+
+
+def test_crowds(spark, monkeypatch):
+    """Copies in front of the nearest neighbours, and a cube that holds almost all rows: the plain results."""
+    from voxelframe.operators import crossmatch, knn as knn_module, repartition
+
+    df = spark.range(6000).select(*(F.when(F.col("id") < 5500, F.col("id") % 7).otherwise(F.col("id")).cast("double").alias(c) for c in "xyz"))
+    want = sorted({tuple([float(i % 7 if i < 5500 else i)] * 3) for i in range(6000)})[:20]
+    assert [tuple(r) for r in knn(df, [0, 0, 0], 20, "cartesian", True).collect()] == want
+    monkeypatch.setattr(knn_module, "LAST_TRY", 10)
+    assert [tuple(r) for r in knn(df, [0, 0, 0], 20, "cartesian", True).collect()] == want
+    a, b = generators.points(spark, 400, seed=1).cache(), generators.points(spark, 300, seed=9).cache()
+    counts = [crossmatch_center(a, b, 0.4, k).count() for k in ("AB", "A", "B")]
+    monkeypatch.setattr(crossmatch, "CROWDED", 5)
+    assert counts == [crossmatch_center(a, b, 0.4, k).count() for k in ("AB", "A", "B")] and counts[0] > 400
+    words = spark.range(40).select(F.when(F.col("id") % 9 > 0, F.concat(F.lit("w"), F.col("id") % 9)).alias("w"))
+    landed = [sorted({tuple(r) for r in repartitionByCol(words, "w", False).select("w", F.spark_partition_id()).collect()}, key=str)]
+    monkeypatch.setattr(repartition, "BROADCAST_LABELS", 3)
+    landed.append(sorted({tuple(r) for r in repartitionByCol(words, "w", False).select("w", F.spark_partition_id()).collect()}, key=str))
+    assert landed[0] == landed[1] == sorted([(None, 0)] + [(f"w{k}", k) for k in range(1, 9)], key=str)
+
+
+def test_knn_on_shapes(spark):
+    rows = spark.createDataFrame([(k, float(k), float(k) + 2.0 * k) for k in range(20)], "k int, lo double, hi double")
+    box = Box("lo", "hi", "lo", "hi", "lo", "hi")
+    got = knn(rows, [6.0, 6.0, 6.0], 3, "cartesian", shape=box).collect()
+    assert [r.k for r in got] == [3, 2, 4] and got[0].asDict().keys() == {"k", "lo", "hi"}
+    assert knn(rows, [0, 0, 0], 1, "cartesian", shape=Shell(Point("lo", "lo", "lo"), 0.0, "hi")).first().k == 0
+
+
+def test_column_shapes_agree_with_plain_ones(spark):
+    rng = np.random.default_rng(4)
+    boxes = [Box.of(*map(float, rng.integers(-3, 5, 6))) for _ in range(5)] + [Box.null()]
+    shells = [Shell.of(float(rng.integers(0, 2)), 0.0, 0.0, False, float(a), float(a + b)) for a, b in rng.integers(0, 4, (5, 2))]
+    p = Point(1.0, 2.0, -1.0)
+    wanted, made = [], []
+    for a in boxes:
+        low, high = P.box_extents(a)
+        made += [low, high, *P.box_center(a).xyz]
+        wanted += [a.min_extent(), a.max_extent(), *a.center.xyz]
+        for shape, plain in [(P.box_expanded(a, 1.0, 2.0, 3.0), a.expanded(1.0, 2.0, 3.0)), (P.box_expanded_outwards(a, 0.5), a.expanded_outwards(0.5)), (P.box_translated(a, 1.0, -1.0, 0.0), a.translated(1.0, -1.0, 0.0)), (P.box_including(a, p), a.including(p)), (P.box_including(a, boxes[0]), a.including(boxes[0]))]:
+            made += shape.bounds
+            wanted += plain.bounds
+        made += [P.box_equals(a, b) for b in boxes]
+        wanted += [a.equals(b) for b in boxes]
+    for s in shells:
+        for shape, plain in [(P.shell_expanded(s, 1.0), s.expanded(1.0)), (P.shell_inner_expanded(s, 2.0), s.inner_expanded(2.0)), (P.shell_outer_expanded(s, 2.0), s.outer_expanded(2.0)), (P.shell_including(s, p), s.including(p)), (P.shell_including(s, Shell(s.center, 1.0, 3.0)), s.including(Shell(s.center, 1.0, 3.0)))]:
+            made += [F.lit(c) for c in (shape.r_in, shape.r_out)]
+            wanted += [plain.r_in, plain.r_out]
+        made += [P.shell_equals(s, o) for o in shells]
+        wanted += [s.equals(o) for o in shells]
+    got = spark.range(1).select(*(F.lit(c).alias(f"c{k}") for k, c in enumerate(made))).first()
+    assert list(got) == pytest.approx(wanted)
+    apart = spark.range(1).select(P.shell_including(shells[0], Shell(Point(9.0, 9.0, 9.0), 0.0, 1.0)).r_in).first()
+    assert apart[0] is None
+
+
+def test_command_lines(spark, spheres, tmp_path, capsys):
+    from voxelframe.examples import knn as knn_line, partition, picture, window
+
+    spheres.write.parquet(f"{tmp_path}/t.parquet")
+    plain, distinct = knn_line.main([f"{tmp_path}/t.parquet", "-k", "3", "--grid", "octree", "--partitions", "8"])
+    assert plain.count() == 3 and distinct.distinct().count() == 3
+    assert window.main([f"{tmp_path}/t.parquet", "--window", "sphere", "--coordinates=1,1,1,2"]).count() == 3
+    out = partition.main([f"{tmp_path}/t.parquet", "--partitions", "3", "--repeats", "1"])
+    assert [r[0] for r in out] == list(partition.MODES) and all(r[1] > 0 for r in out) and out[0][2] == 3
+    assert sum(map(len, picture.main([f"{tmp_path}/t.parquet", "--partitions", "3", "--fraction", "1.0"]).values())) == spheres.count()
+    assert "rows inside" in capsys.readouterr().out
+
+
+def test_accessor_and_session(spark, spheres):
+    import voxelframe.accessor  # noqa: F401
+    from voxelframe.session import load_user_conf
+
+    xyz = spheres.select("x", "y", "z")
+    assert xyz.voxel.window("sphere", [1, 1, 1, 2], "cartesian").count() == 3 and xyz.voxel.knn([0, 0, 0], 50, "cartesian", True).count() == 9
+    labelled = spheres.voxel.prePartition(OCTREE, 8)
+    assert labelled.voxel.repartitionByCol("partition_id", True, 8).voxel.checkLoadBalancing("size").count() == 8
+    assert xyz.voxel.near(xyz, 0.0).count() >= 9
+    conf = load_user_conf(spark)
+    assert conf["spark.master"].startswith("local") and not any(k.startswith("spark.app.") for k in conf)
+
+
+def test_elements_of_a_branch():
+    """Down the cells that hold the shape, everything on the way and below."""
+    from voxelframe.plans.octree import Octree
+
+    rng = np.random.default_rng(6)
+    tree = Octree(Box(0.0, 16.0, 0.0, 16.0, 0.0, 16.0), max_items=3)
+    boxes = [Box(x, x + s, y, y + s, z, z + s) for (x, y, z), s in zip((rng.random((80, 3)) * 13).tolist(), (rng.random(80) * 3).tolist(), strict=True)]
+    for b in boxes:
+        tree.insert(b)
+
+    def holds(node, b):  # the deepest cell of the tree that holds it
+        below = [c for c in node.children if c.box.covers(b)]
+        return [node, *holds(below[0], b)] if below else [node]
+
+    for b in boxes[:30] + [Box(7.0, 9.0, 7.0, 9.0, 7.0, 9.0)]:
+        path = holds(tree, b)
+        want = [x for n in path[:-1] for x in n.elements] + [x for n in path[-1].nodes() for x in n.elements]
+        assert sorted(map(str, tree.elements_near(b))) == sorted(map(str, want))
+    assert sorted(map(str, tree.elements_near(Box(7.0, 9.0, 7.0, 9.0, 7.0, 9.0)))) == sorted(map(str, boxes))  # over the middle planes: all
+
+
 def test_streams(spark, spheres, tmp_path):
     rows = spheres.withColumn("ts", F.timestamp_seconds(F.lit(0)))
     rows.write.parquet(f"{tmp_path}/in")

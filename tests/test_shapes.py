@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 
 from voxelframe.plans.octree import Octree, OctreePartitioner, build_tree
@@ -7,12 +8,18 @@ from voxelframe.plans.onion import OnionPartitioner
 from voxelframe.options import SpatialOptions
 from voxelframe.shapes import Box, Point, Shell
 
-BOX = Box.of_points(Point(-5.6, 3.4, 2.8), Point(7.1, 5.7, 1.2), Point(3.6, 6.8, 9.3))
+BOX = Box.of_points(Point(-2.0, 11.0, 0.5), Point(4.5, 8.0, 2.25), Point(1.0, 9.5, -3.75))
+
+
+def boxes(seed: int, n: int, side: float = 8.0, largest: float = 3.0) -> list[Box]:
+    rng = np.random.default_rng(seed)
+    low = rng.random((n, 3)) * (side - largest)
+    return [Box(*np.c_[a, a + s].ravel().tolist()) for a, s in zip(low, rng.random((n, 3)) * largest, strict=True)]
 
 
 def test_points():
     a, b = Point(0.0, 0.0, 0.0), Point(1.0, 1.0, 1.0)
-    assert a.distance(b) == pytest.approx(math.sqrt(3))
+    assert a.distance(b) == math.dist(a.xyz, b.xyz)
     assert a.volume() == 0.0 and a.center is a and not a.equals(b)
     assert Point(1.0, 0.0, 0.0, True).distance(Point(0.0, 0.0, 0.0, True)) == 1.0
     assert Point(1.0, 1.0, 1.0, True).distance(Point(1.0, 1.0, 1.0, True)) == 0.0  # never NaN
@@ -23,34 +30,38 @@ def test_points():
 
 
 def test_shells():
-    s = Shell.of(0.0, 0.0, 0.0, False, 5.0, 10.0)
-    assert s.area() == pytest.approx(942.477, abs=1e-2)
-    assert s.contains_point(Point(5.0, 0.0, 0.0)) and not s.contains_point(Point(10.0, 0.0, 0.0))
+    s = Shell.of(1.0, -2.0, 0.5, False, 3.0, 7.0)
+    at = lambda d: Point(1.0 + d, -2.0, 0.5)
+    assert s.area() == pytest.approx(4 * math.pi * (7.0**2 - 3.0**2))
+    for d in np.arange(0.0, 9.0, 0.5).tolist():
+        assert s.contains_point(at(d)) == (3.0 <= d < 7.0)
+        grown = s.including(at(d))
+        assert grown.contains_point(at(d)) and (grown == s) == (3.0 <= d < 7.0) and (grown.r_in, grown.r_out) == (min(d, 3.0), 7.0 if d < 7.0 else d + 0.1)
     assert Shell.null().is_null() and Shell.null().area() == 0.0 and s.to_null().is_null()
-    assert s.including(Point(12.0, 0.0, 0.0)).r_out == 12.1 and s.including(Point(1.0, 0.0, 0.0)).r_in == 1.0 and s.including(Point(6.0, 0.0, 0.0)) == s
-    assert s.including(Shell(s.center, 1.0, 20.0)) == Shell(s.center, 1.0, 20.1) and s.including(Shell(s.center, 1.0, 2.0)).r_in == 1.0
-    assert s.expanded(1) == Shell(s.center, 6.0, 11.0) and s.inner_expanded(9).is_null() and s.outer_expanded(2).r_out == 12
-    assert s.contains(Shell.of(0.0, 0.0, 0.0, False, 0.0, 5.0)) and not s.contains(Shell.of(1.0, 0.0, 0.0, False, 0.0, 5.0))
-    assert s.intersects(Shell.of(8.0, 0.0, 0.0, False, 0.0, 1.0)) and not s.intersects(Shell.of(0.0, 0.0, 0.0, False, 0.0, 1.0))
-    assert s.intersects(Box(9.0, 11.0, 0.0, 1.0, 0.0, 1.0)) and s.envelope() == Box(-10.0, 10.0, -10.0, 10.0, -10.0, 10.0)
-    assert s.equals(Shell.of(0.0, 0.0, 0.0, False, 5.0, 10.0)) and not s.equals(Shell.null())
+    for r_in, r_out in ((1.0, 2.0), (1.0, 9.0), (4.0, 9.0), (4.0, 5.0)):
+        assert s.including(Shell(s.center, r_in, r_out)) == Shell(s.center, min(r_in, 3.0), 7.0 if r_out < 7.0 else r_out + 0.1)
+    assert s.expanded(2) == Shell(s.center, 5.0, 9.0) and s.inner_expanded(4.5).is_null() and s.inner_expanded(0.5).r_in == 3.5 and s.outer_expanded(2).r_out == 9.0
+    for d in np.arange(0.0, 14.0, 0.5).tolist():
+        ball = Shell(at(d), 0.0, 1.5)
+        assert s.contains(ball) == (d + 1.5 <= 3.0) and s.intersects(ball) == (d + 1.5 >= 3.0 and d <= 8.5)
+    assert s.intersects(Box(7.5, 9.0, -2.0, -1.0, 0.0, 1.0)) and s.envelope() == Box(-6.0, 8.0, -9.0, 5.0, -6.5, 7.5)
+    assert s.equals(Shell.of(1.0, -2.0, 0.5, False, 3.0, 7.0)) and not s.equals(Shell.null())
     with pytest.raises(AssertionError):
-        s.including(Shell.of(1.0, 0.0, 0.0, False, 1.0, 2.0))
+        s.including(Shell.of(2.0, 0.0, 0.0, False, 1.0, 2.0))
     with pytest.raises(AssertionError):
         s.intersects("x")
 
 
 def test_boxes():
-    assert BOX == Box(-5.6, 7.1, 3.4, 6.8, 1.2, 9.3)
-    assert BOX.min_extent() == pytest.approx(3.4) and BOX.max_extent() == pytest.approx(12.7)
-    assert BOX.volume() == pytest.approx(12.7 * 3.4 * 8.1)
+    assert BOX == Box(-2.0, 4.5, 8.0, 11.0, -3.75, 2.25)
+    assert BOX.min_extent() == 3.0 and BOX.max_extent() == 6.5 and BOX.volume() == 6.5 * 3.0 * 6.0
     assert Box.null().is_null() and Box.null().volume() == 0.0 and Box.null().lengths() == (0.0, 0.0, 0.0)
-    assert BOX.expanded_outwards(1).min_x == -5.6 and BOX.expanded_outwards(1).max_x == 8.1 and BOX.expanded(1, 2, 3).min_z == pytest.approx(-1.8)
-    assert BOX.including(Point(10.0, 4.0, 4.0)).max_x == 10.0 and Box.null().including(BOX) == BOX
-    assert BOX.translated(1, 0, 0).center.x == pytest.approx(1.75)  # the centre moves too
-    unit, far = Box(0.0, 1.0, 0.0, 1.0, 0.0, 1.0), Box(4.0, 5.0, 5.0, 6.0, 1.0, 2.0)
-    assert unit.intersection(far) == Box(0.0, 5.0, 0.0, 6.0, 0.0, 2.0) and unit.overlap(far).is_null() and unit.intersection(Box.null()) is None
-    assert unit.distance(far) == pytest.approx(5.0) and unit.distance(unit) == 0.0
+    assert BOX.expanded_outwards(1).min_x == -2.0 and BOX.expanded_outwards(1).max_x == 5.5 and BOX.expanded(1, 2, 3).min_z == -6.75
+    assert BOX.including(Point(10.0, 9.0, 0.0)).max_x == 10.0 and Box.null().including(BOX) == BOX
+    assert BOX.translated(1, 0, 0).center.x == 2.25  # the centre moves too
+    unit, far = Box(0.0, 1.0, 0.0, 1.0, 0.0, 1.0), Box(3.0, 4.0, 1.0, 2.0, 7.0, 8.0)
+    assert unit.intersection(far) == Box(0.0, 4.0, 0.0, 2.0, 0.0, 8.0) and unit.overlap(far).is_null() and unit.intersection(Box.null()) is None
+    assert unit.distance(far) == pytest.approx(math.sqrt(2.0**2 + 0.0 + 6.0**2)) and unit.distance(unit) == 0.0
     assert not unit.covers(unit) and Box(-1.0, 2.0, -1.0, 2.0, -1.0, 2.0).covers(unit)
     assert unit.contains_point(Point(0.0, 0.0, 0.0)) and not unit.contains_point(Point(1.0, 0.0, 0.0))
     assert not unit.intersects(Box(1.0, 2.0, 0.0, 1.0, 0.0, 1.0)) and unit.intersects(Box(-1.0, 0.0, 0.0, 1.0, 0.0, 1.0))
@@ -64,24 +75,32 @@ def test_boxes():
 
 
 def test_octree_of_boxes():
-    root = Box(0.0, 4.0, 0.0, 4.0, 0.0, 4.0)
-    e = [Box(0.0, 0.9, 0.0, 0.9, 0.0, 0.9), Box(1.0, 2.9, 1.0, 2.9, 1.0, 2.9), Box(1.0, 1.9, 1.0, 1.9, 1.0, 1.9), Box(0.0, 0.9, 1.0, 1.9, 0.0, 0.9)]
-    t = Octree(root, max_items=2)
-    t.insert(e[0]), t.insert(e[1])
-    assert t.is_leaf and len(t.find(Shell.of(1.0, 1.0, 1.0, False, 0.0, 0.9))) == 2 and len(t.leaves()) == 1
-    t.insert(e[2])
-    assert t.find(Box(3.0, 3.9, 3.0, 3.9, 3.0, 3.9)) == [e[1]] and len(t.find(e[0])) == 3
-    t.insert(e[3])
-    assert len(t.find(e[0])) == 2 and len(t.leaves()) == 15
-    wide = build_tree([e[0], Box(1.0, 3.0, 1.0, 3.0, 1.0, 3.0), e[2], e[3]], root, 2)
-    grid = OctreePartitioner(wide, SpatialOptions(), 0)
-    assert grid.numPartitions == 15 and hash(grid) == 15
-    assert grid.place_object(Shell.of(0.5, 0.5, 0.5, False, 0.0, 0.2)) == [13]
-    assert len(grid.place_object(Shell.of(2.0, 2.0, 2.0, False, 0.0, 1.1))) == 15
-    grown = Octree(root, max_items=2)
-    grown.insert(Shell.of(1.0, 1.0, 1.0, False, 0.0, 1.0))
-    grown.grow_to(2)
-    assert len(grown.leaves()) == 64
+    """Against plain loops over its own nodes and elements."""
+    root = Box(0.0, 8.0, 0.0, 8.0, 0.0, 8.0)
+    shapes = boxes(1, 60)
+    tree = Octree(root, max_items=4)
+    for k, b in enumerate(shapes):
+        tree.insert(b)
+        assert sum(len(n.elements) for n in tree.nodes()) == k + 1 and (tree.is_leaf or k >= 4)
+    assert len(list(tree.nodes())) == len(list(tree.depth_first())) > 9
+    for n in tree.nodes():
+        assert all(n is tree or n.box.covers(x) for x in n.elements) and (n.is_leaf or not any(c.box.covers(x) for c in n.children for x in n.elements))
+    leaves = tree.leaves()
+    assert sum(n.box.volume() for n in leaves) == pytest.approx(root.volume())
+    for q in [*boxes(2, 30), Shell.of(4.0, 4.0, 4.0, False, 0.0, 1.0)]:
+        found = tree.find(q)
+        assert all(x in found for x in shapes if x.intersects(q.envelope()) and q.envelope().intersects(x))
+    grid = OctreePartitioner(tree, SpatialOptions(), 0)
+    assert grid.numPartitions == len(leaves) == hash(grid) and [i for i, _ in grid.cells()] == list(range(len(leaves)))
+    for q in boxes(3, 30):
+        assert sorted(grid.place_object(q)) == sorted(n.partition_id for n in leaves if n.box.intersects(q))
+    for n in leaves:
+        beside = [m for m in leaves if m is not n and n.parent.box.covers(Box(*(v for a, b in zip(m.box.bounds[::2], m.box.bounds[1::2]) for v in ((a + b) / 2,) * 2)))]
+        assert {m.partition_id for m in n.leaf_neighbors()} == {m.partition_id for m in beside}
+    wide = build_tree([Shell.of(4.0, 4.0, 4.0, False, 0.0, 3.0)], root, 2)
+    assert wide.is_leaf and wide.leaf_neighbors() == []
+    wide.grow_to(2)
+    assert len(wide.leaves()) == 8**2 and sum(len(n.elements) for n in wide.nodes()) == 1
 
 
 def test_onion_cells():

@@ -14,7 +14,7 @@ from voxelframe.operators.balance import checkLoadBalancing, label_load
 from voxelframe.operators.collapse import collapse_kmeans, collapse_mean
 from voxelframe.operators.crossmatch import crossmatch_center, crossmatch_healpix
 from voxelframe.operators.knn import knn, knn_pruned
-from voxelframe.operators.repartition import repartitionByCol
+from voxelframe.operators.repartition import repartition_as, repartitionByCol
 from voxelframe.operators.window import keep_metadata, window_filter, windowquery
 from voxelframe.options import SpatialOptions
 from voxelframe.plans.octree import data_envelope
@@ -183,6 +183,13 @@ def knn_meta_semi(spark, d):
     return keep_metadata(e, knn(e.select("x", "y", "z"), [0.1, 0.0, -0.1], 20, "cartesian", True), ["x", "y", "z"]).select("k")
 
 
+@query(f"select k from (select k, {dist('x+radius/2 y+radius/2 z+radius/2', '25.0 10.0 25.0')} dd, x+radius/2 cx, y+radius/2 cy, z+radius/2 cz from {BALLS}) order by dd, cx, cy, cz, k limit 40")
+def knn_boxes(spark, d):
+    r = F.col("radius")
+    row = Box("x", F.col("x") + r, "y", F.col("y") + r, "z", F.col("z") + r)
+    return knn(balls(spark, d), [25.0, 10.0, 25.0], 40, "cartesian", shape=row).select("k")
+
+
 # grids ----------------------------------------------------------------------------------------------------------------
 
 
@@ -252,9 +259,44 @@ def neighbors_onion(spark, d):
     return spark.createDataFrame([(i, grid.home(inside.xyz)) for i, _ in grid.neighbor_nodes(inside)], "neighbor int, home int")
 
 
-@query()
+@query("select count(*) n_rows, cast(6 as bigint) n_labels, cast(0 as int) first_label, cast(5 as int) last_label from lineitem")
 def prepartition_current(spark, d):
-    return prePartition(pts(spark, d), {"geometry": "points", "gridtype": "current"}, 6)
+    out = prePartition(pts(spark, d), {"geometry": "points", "gridtype": "current"}, 6)
+    p = F.col("partition_id")
+    return out.agg(F.count("*").alias("n_rows"), F.count_distinct(p).alias("n_labels"), F.min(p).alias("first_label"), F.max(p).alias("last_label"))
+
+
+_CELLS = f"""b as (select min(x-radius) x0, max(x+radius)+0.001 x1, min(y-radius) y0, max(y+radius)+0.001 y1, min(z-radius) z0, max(z+radius)+0.001 z1 from {BALLS}),
+m as (select *, (x0+x1)/2 mx, (y0+y1)/2 my, (z0+z1)/2 mz from b),
+c as (select cast(o as int) partition_id, case when o&1=1 then mx else x0 end a0, case when o&1=1 then x1 else mx end a1, case when o&2=2 then y0 else my end b0, case when o&2=2 then my else y1 end b1,
+case when o&4=4 then z0 else mz end g0, case when o&4=4 then mz else z1 end g1 from m, (select unnest(range(8)) o)),
+h as (select partition_id home from c where 20.5 >= a0 and 20.5 < a1 and 12.5 >= b0 and 12.5 < b1 and 30.5 >= g0 and 30.5 < g1)"""
+
+
+def _ball_grid(spark, d):
+    return fit(balls(spark, d), {"geometry": "spheres", "colnames": "x,y,z,radius", "gridtype": "octree"}, 8)
+
+
+@query(f"with {_CELLS} select partition_id, round(a0, 6) min_x, round(b0, 6) min_y, round(g0, 6) min_z from c where not (18.5 >= a1 or 22.5 < a0 or 10.5 >= b1 or 14.5 < b0 or 28.5 >= g1 or 32.5 < g0)")
+def octree_partition_nodes(spark, d):
+    found = _ball_grid(spark, d).partition_nodes(Shell.of(20.5, 12.5, 30.5, False, 0.0, 2.0))
+    return spark.createDataFrame([(i, *(round(float(v), 6) for v in (b.min_x, b.min_y, b.min_z))) for i, b in found], "partition_id int, min_x double, min_y double, min_z double")
+
+
+@query(f"with {_CELLS} select home, partition_id neighbor from c, h where partition_id <> home")
+def neighbors_octree(spark, d):
+    grid, p = _ball_grid(spark, d), Point(20.5, 12.5, 30.5)
+    return spark.createDataFrame([(grid.home(p.xyz), i) for i, _ in grid.neighbor_nodes(p)], "home int, neighbor int")
+
+
+@query("select * from (values ('onion', 4, 5), ('onion', 4, 3), ('onion', 9, 8)) t(grid, home, neighbor) union all "
+       f"select * from (with {_CELLS} select 'octree', home, partition_id from c, h where partition_id <> home)")
+def neighbors_secondary(spark, d):
+    onion, octree = fit(pts(spark, d), ONION, 10), _ball_grid(spark, d)
+    shells, home = dict(onion.cells()), octree.home((20.5, 12.5, 30.5))
+    rows = [("onion", h, i) for h in (4, 9) for i, _ in onion.secondary_neighbor_nodes(shells[h], h)]
+    rows += [("octree", home, i) for i, _ in octree.secondary_neighbor_nodes(dict(octree.cells())[home], home)]
+    return spark.createDataFrame(rows, "grid string, home int, neighbor int")
 
 
 @query(f"select min(x) min_x, max(x)+0.001 max_x, min(y) min_y, max(y)+0.001 max_y, min(z) min_z, max(z)+0.001 max_z from {PTS}")
@@ -315,6 +357,38 @@ def collapse_kmeans_centers(spark, d):
     return collapse_kmeans(repartitionByCol(grid, "partition_id", True), ["x", "y", "z"], 2)
 
 
+_ONION4 = onion_sql(PTS, "sqrt(x*x+y*y+z*z)", 4, "x, y, z")
+
+
+@query(f"select partition_id, count(*) n, cast(3 as bigint) clusters from ({_ONION4}) group by 1 having count(*) >= 3")
+def collapse_kmeans_sizes(spark, d):
+    """What of k-means SQL can say: k centres for each partition with k rows or more, and the partition's rows."""
+    grid = prePartition(pts(spark, d), ONION, 4)
+    return collapse_kmeans(repartitionByCol(grid, "partition_id", True), ["x", "y", "z"], 3).groupBy("partition_id", "n").agg(F.count_distinct("cluster").alias("clusters"))
+
+
+@query(f"select partition_id, cast(0 as int) as cluster, round(avg(x), 6) x, round(avg(y), 6) y, round(avg(z), 6) z, count(*) n from ({_ONION4}) group by 1")
+def collapse_kmeans_single(spark, d):
+    """With one centre k-means is the mean."""
+    grid = prePartition(pts(spark, d), ONION, 4)
+    out = collapse_kmeans(repartitionByCol(grid, "partition_id", True), ["x", "y", "z"], 1)
+    return out.select("partition_id", "cluster", *(F.round(c, 6).alias(c) for c in "xyz"), "n")
+
+
+MODES = ("col", "range", "order", "rep", "col-no")
+
+
+@query("select m mode, n rows_moved, l labels from (select count(*) n, cast(6 as bigint) l from orders), (select unnest(['col', 'range', 'order', 'rep', 'col-no']) m)")
+def repartition_alternatives(spark, d):
+    """The exact exchange and the ways it is compared with: each keeps all rows and labels."""
+    o = _read(spark, d, "orders").select((F.col("o_orderkey") % 6).cast("int").alias("partition_id"))
+    out = [repartition_as(o, m, 6).select(F.lit(m).alias("mode"), "partition_id") for m in MODES]
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.union(x)
+    return whole.groupBy("mode").agg(F.count("*").alias("rows_moved"), F.count_distinct("partition_id").alias("labels"))
+
+
 # scalars --------------------------------------------------------------------------------------------------------------
 
 
@@ -455,3 +529,35 @@ _D0 = dist("x y z", "25.0 10.0 25.0")
 def shell_predicates(spark, d):
     s, c = Shell(Point(25.0, 10.0, 25.0), 7.123, 12.123), Point("x", "y", "z")
     return balls(spark, d).select("k", P.point_in_shell(c, s).alias("center_in"), P.shell_intersects_shell(s, _ball()).alias("meets"), P.shell_contains_shell(s, _ball()).alias("in_hole"), P.center_close_to(c, s.center, 9.0).alias("near"))
+
+
+@query(f"select k, not (20.25 >= x+radius or 30.25 < x or 9.255 >= y+radius*2.0 or 14.255 < y or 10.25 >= z+radius*3.0 or 35.25 < z) meets from {BALLS}")
+def box_region(spark, d):
+    """Row boxes against the box around three points."""
+    corners = (Point(20.25, 14.255, 12.0), Point(30.25, 9.255, 10.25), Point(25.0, 10.0, 35.25))
+    return balls(spark, d).select("k", P.box_intersects_region(_row_box(), *corners).alias("meets"))
+
+
+@query(
+    f"""select k, round(x-1.5, 6) grown_x0, round(x+radius+1.5, 6) grown_x1, round(y+radius*2.0+0.25, 6) out_y1, round(z+2.0, 6) moved_z0, round(least(x, 25.0), 6) with_x0, round(greatest(y+radius*2.0, 10.0), 6) with_y1,
+round((x+(x+radius))/2, 6) mid_x, round(radius, 6) shortest, round(radius*3.0, 6) longest, round(least(z, 10.25), 6) hull_z0, false same from {BALLS}"""
+)
+def box_transforms(spark, d):
+    b, p = _row_box(), Point(25.0, 10.0, 25.0)
+    grown, out, moved, around, hull = P.box_expanded(b, 1.5), P.box_expanded_outwards(b, 0.25), P.box_translated(b, 0.0, 0.0, 2.0), P.box_including(b, p), P.box_including(b, _W)
+    short, long = P.box_extents(b)
+    made = {"grown_x0": grown.min_x, "grown_x1": grown.max_x, "out_y1": out.max_y, "moved_z0": moved.min_z, "with_x0": around.min_x, "with_y1": around.max_y, "mid_x": P.box_center(b).x, "shortest": short, "longest": long, "hull_z0": hull.min_z}
+    return balls(spark, d).select("k", *(F.round(c, 6).alias(n) for n, c in made.items()), P.box_equals(b, _W).alias("same"))
+
+
+@query(
+    f"""select k, round(radius/2+1.0, 6) grown_in, round(radius+1.0, 6) grown_out, round(case when radius/2+1.0 > radius then -1.0 else radius/2+1.0 end, 6) thin_in, round(radius+2.5, 6) wide_out,
+round(case when d0 < radius/2 then d0 else radius/2 end, 6) with_in, round(case when d0 < radius then radius else d0+0.1 end, 6) with_out,
+round(least(radius/2, 0.5), 6) joined_in, round(case when 3.0 >= radius then 3.0+0.1 else radius end, 6) joined_out, true same from (select *, {dist('x y z', '25.0 10.0 25.0')} d0 from {BALLS})"""
+)
+def shell_transforms(spark, d):
+    c = Point("x", "y", "z")
+    s, p = Shell(c, F.col("radius") / 2, "radius"), Point(25.0, 10.0, 25.0)
+    grown, thin, wide, around, joined = P.shell_expanded(s, 1.0), P.shell_inner_expanded(s, 1.0), P.shell_outer_expanded(s, 2.5), P.shell_including(s, p), P.shell_including(s, Shell(c, 0.5, 3.0))
+    made = {"grown_in": grown.r_in, "grown_out": grown.r_out, "thin_in": thin.r_in, "wide_out": wide.r_out, "with_in": around.r_in, "with_out": around.r_out, "joined_in": joined.r_in, "joined_out": joined.r_out}
+    return balls(spark, d).select("k", *(F.round(v, 6).alias(n) for n, v in made.items()), P.shell_equals(s, s).alias("same"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxelframe.functions.coords import col, distance, spherical_to_cartesian
-from voxelframe.shapes import Box, Point, Shell
+from voxelframe.shapes import MARGIN, Box, Point, Shell
 
 
 def shape_of(kind: str, *fields, spherical: bool = False):
@@ -199,3 +199,86 @@ def box_overlap(a: Box, b: Box) -> Box:
     """The common part; a null box if there is none."""
     p, q = _cols(a.bounds), _cols(b.bounds)
     return Box(*(F.greatest(p[k], q[k]) if k % 2 == 0 else F.least(p[k], q[k]) for k in range(6)))
+
+
+def box_center(b: Box) -> Point:
+    x0, x1, y0, y1, z0, z1 = _cols(b.bounds)
+    return Point((x0 + x1) / 2, (y0 + y1) / 2, (z0 + z1) / 2)
+
+
+def box_extents(b: Box) -> tuple[Column, Column]:
+    """Shortest and longest side; 0 for a null box."""
+    sides = box_lengths(b)
+    return F.least(*sides), F.greatest(*sides)
+
+
+def box_equals(a: Box, b: Box) -> Column:
+    same = F.lit(True)
+    for p, q in zip(_cols(a.bounds), _cols(b.bounds), strict=True):
+        same = same & (p == q)
+    return (box_is_null(a) & box_is_null(b)) | same
+
+
+# shapes made from shapes: each returns a shape of Columns -------------------------------------------------------------
+
+
+def _moved(b: Box, low: tuple, high: tuple) -> Box:
+    null, c = box_is_null(b), _cols(b.bounds)
+    return Box(*(F.when(null, v).otherwise(v + col((low if k % 2 == 0 else high)[k // 2])) for k, v in enumerate(c)))
+
+
+def _by_axis(dx, dy, dz) -> tuple[Column, Column, Column]:
+    return col(dx), col(dx if dy is None else dy), col(dx if dz is None else dz)
+
+
+def box_expanded(b: Box, dx, dy=None, dz=None) -> Box:
+    """By the same amount on both sides of each axis. A null box stays as it is."""
+    d = _by_axis(dx, dy, dz)
+    return _moved(b, tuple(-v for v in d), d)
+
+
+def box_expanded_outwards(b: Box, dx, dy=None, dz=None) -> Box:
+    """On the upper side of each axis only."""
+    return _moved(b, (F.lit(0.0),) * 3, _by_axis(dx, dy, dz))
+
+
+def box_translated(b: Box, dx, dy, dz) -> Box:
+    d = (col(dx), col(dy), col(dz))
+    return _moved(b, d, d)
+
+
+def box_including(b: Box, other: Point | Box) -> Box:
+    """Smallest box around both; a null one counts as nothing."""
+    o = envelope(other)
+    b_null, o_null, hull = box_is_null(b), box_is_null(o), box_hull(b, o)
+    return Box(*(F.when(o_null, p).when(b_null, q).otherwise(h) for p, q, h in zip(_cols(b.bounds), o.bounds, hull.bounds, strict=True)))
+
+
+def shell_equals(a: Shell, b: Shell) -> Column:
+    same = (col(a.r_in) == col(b.r_in)) & (col(a.r_out) == col(b.r_out))
+    return ~shell_is_null(a) & ~shell_is_null(b) & point_equals(a.center, b.center) & same
+
+
+def shell_expanded(s: Shell, d) -> Shell:
+    return Shell(s.center, col(s.r_in) + col(d), col(s.r_out) + col(d))
+
+
+def shell_inner_expanded(s: Shell, d) -> Shell:
+    """Inner radius moved out; a null shell where it passes the outer one."""
+    grown, top = col(s.r_in) + col(d), col(s.r_out)
+    gone = grown > top
+    return Shell(s.center, F.when(gone, -1.0).otherwise(grown), F.when(gone, -1.0).otherwise(top))
+
+
+def shell_outer_expanded(s: Shell, d) -> Shell:
+    return Shell(s.center, col(s.r_in), col(s.r_out) + col(d))
+
+
+def shell_including(s: Shell, other: Point | Shell) -> Shell:
+    """Grown so that the argument is inside; of a shell that is not concentric the radii are null."""
+    lo, hi = col(s.r_in), col(s.r_out)
+    if isinstance(other, Point):
+        d, inside = point_distance(s.center, other), point_in_shell(other, s)
+        return Shell(s.center, F.when(~inside & (d < lo), d).otherwise(lo), F.when(inside | (d < lo), hi).otherwise(d + MARGIN))
+    same, lo2, hi2 = point_equals(s.center, other.center), col(other.r_in), col(other.r_out)
+    return Shell(s.center, F.when(same, F.least(lo, lo2)), F.when(same, F.when(hi2 >= hi, hi2 + MARGIN).otherwise(hi)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.session import ship_package
@@ -23,9 +23,9 @@ def checkLoadBalancing(df: DataFrame, kind: str = "frac", numberOfElements: int
     ``frac``.
     """
     if kind not in ("frac", "size"):
-        raise AssertionError('Wrong value for `kind`! You must choose between "frac": size of each partition relative to the whole (in percent), "size": number of rows in each partition')
+        raise AssertionError(f"Wrong value for `kind`: {kind!r}; take 'frac' (percent of all rows) or 'size' (rows)")
     if numberOfElements != -1 and numberOfElements <= 0:
-        raise AssertionError("Total number of elements in the DataFrame must be Long greater than 0! If you do not know it, set it to -1, and we will compute it for you.")
+        raise AssertionError(f"Total number of elements must be greater than 0, or -1 to have it counted (got {numberOfElements})")
     if kind == "frac" and numberOfElements == -1:
         numberOfElements = df.count()
     # a constant column: only row counts cross to Python, and it keeps the scan from reading the others
@@ -38,6 +38,5 @@ def checkLoadBalancing(df: DataFrame, kind: str = "frac", numberOfElements: int
 
 def label_load(df: DataFrame, label: str = "partition_id") -> DataFrame:
     """Rows and percent per label, in one aggregate; the check to run before the exchange."""
-    total = df.groupBy(label).agg(F.count("*").alias("n_rows"))
-    # over one row per label, that is per partition of the exchange to come
-    return total.select(label, "n_rows", (F.col("n_rows") * 100.0 / F.sum("n_rows").over(Window.partitionBy(F.lit(0)))).alias("load_pct"))
+    rows = df.groupBy(label).agg(F.count("*").alias("n_rows"))
+    return rows.select(label, "n_rows", (F.col("n_rows") * 100.0 / rows.agg(F.sum("n_rows")).scalar()).alias("load_pct"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from voxelframe.session import ship_package
 
 KMEANS_ROUNDS = 100
+CHUNK = 16_384  # rows that are assigned at a time
 
 
 def kmeans_centers(data: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -20,13 +21,19 @@ def kmeans_centers(data: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
         return data.mean(axis=0, keepdims=True)
     rng = np.random.default_rng(seed)
     centers = [data[rng.integers(len(data))]]
+    gap = np.full(len(data), np.inf)
     for _ in range(k - 1):
-        gap = np.min([((data - c) ** 2).sum(axis=1) for c in centers], axis=0)
+        gap = np.minimum(gap, ((data - centers[-1]) ** 2).sum(axis=1))
         centers.append(data[int(gap.argmax())])
     at = np.array(centers, dtype=float)
     for _ in range(KMEANS_ROUNDS):
-        owner = ((data[:, None, :] - at[None]) ** 2).sum(axis=2).argmin(axis=1)
-        moved = np.array([data[owner == j].mean(axis=0) if (owner == j).any() else at[j] for j in range(k)])
+        total, n = np.zeros_like(at), np.zeros(k)
+        for lo in range(0, len(data), CHUNK):  # what a round needs besides the rows does not grow with them
+            part = data[lo : lo + CHUNK]
+            owner = ((part[:, None, :] - at[None]) ** 2).sum(axis=2).argmin(axis=1)
+            np.add.at(total, owner, part)
+            n += np.bincount(owner, minlength=k)
+        moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], at)
         if np.allclose(moved, at):
             break
         at = moved

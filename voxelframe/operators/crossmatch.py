@@ -11,6 +11,7 @@ from voxelframe.functions.coords import distance, spherical_to_cartesian
 from voxelframe.functions.healpix import to_healpix
 from voxelframe.options import is_spherical
 
+CROWDED = 50_000  # rows of one side in a cube, beyond which the cube is dealt out
 _OFFSETS = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
 
@@ -26,7 +27,9 @@ def crossmatch_center(a: DataFrame, b: DataFrame, eps: float, return_type: str =
     """Pairs of rows whose centres are at most ``eps`` apart; exact over the whole of both tables.
 
     Space is cut into cubes of side ``eps``; the second side is sent to the 27
-    cubes around its own and the tables are joined on the cube. ``AB`` returns
+    cubes around its own and the tables are joined on the cube. A cube that holds
+    more than ``CROWDED`` rows of the first side is dealt out: these rows are
+    spread over several keys, and what meets the cube goes to each. ``AB`` returns
     structs ``a`` and ``b`` per pair, ``A`` or ``B`` the rows of one side that
     have a match (each once per row). ``eps = 0`` is coordinate equality.
     """
@@ -47,8 +50,14 @@ def crossmatch_center(a: DataFrame, b: DataFrame, eps: float, return_type: str =
         rdf = rdf.withColumn("__s", F.explode(steps)).withColumns({f"__h{k}": g + F.col(f"__s.s{k}") for k, g in enumerate(rgrid)}).drop("__s")
     else:
         rdf = rdf.withColumns({f"__h{k}": g for k, g in enumerate(rgrid)})
+    crowded = ldf.groupBy("__g0", "__g1", "__g2").agg(F.ceil(F.count("*") / F.lit(CROWDED)).alias("__parts")).where("__parts > 1")
+    told = [F.col(f"{ls}.`{f.name}`") for f in ldf.schema[ls].dataType if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    own = F.pmod(F.xxhash64(*told), F.coalesce("__parts", F.lit(1)))
+    ldf = ldf.join(crowded, ["__g0", "__g1", "__g2"], "left").withColumn("__own", own).drop("__parts")
+    met = crowded.select(*(F.col(f"__g{k}").alias(f"__h{k}") for k in range(3)), "__parts")
+    rdf = rdf.join(met, ["__h0", "__h1", "__h2"], "left").withColumn("__to", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     near = distance([F.col(f"{ls}{k}") for k in range(3)], [F.col(f"{rs}{k}") for k in range(3)]) <= F.lit(float(eps))
-    on = near
+    on = near & (F.col("__own") == F.col("__to"))
     for k in range(3):
         on = (F.col(f"__g{k}") == F.col(f"__h{k}")) & on
     if return_type == "AB":

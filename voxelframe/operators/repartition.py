@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,11 +33,32 @@ def repartitionByCol(df: DataFrame, colname: str, preLabeled: bool, numPartition
     count = labels.count()
     if numPartitions == -1:
         numPartitions = max(1, count)
-    rank = F.dense_rank().over(Window.orderBy(F.col("__value").asc_nulls_first())) - 1
-    ids = labels.select("__value", rank.cast("int").alias("__id"))
-    ids = F.broadcast(ids) if count <= BROADCAST_LABELS else ids
-    joined = df.join(ids, F.col(colname).eqNullSafe(F.col("__value")), "left")
+    ids = _numbered(labels, count)
+    joined = df.join(F.broadcast(ids) if count <= BROADCAST_LABELS else ids, F.col(colname).eqNullSafe(F.col("__value")), "left")
     return joined.repartitionById(numPartitions, F.col("__id")).select(*(df[c] for c in df.columns))
 
 
+def _numbered(labels: DataFrame, count: int) -> DataFrame:
+    """``(__value, __id)``: distinct values numbered from 0 in sorted order, null first, by a distributed sort."""
+    in_order = labels.orderBy(F.col("__value").asc_nulls_first())
+    schema = T.StructType([*labels.schema.fields, T.StructField("__id", T.IntegerType())])
+    if count <= BROADCAST_LABELS:  # a bounded table
+        return labels.sparkSession.createDataFrame([(r[0], k) for k, r in enumerate(in_order.collect())], schema)
+    return in_order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(schema)
+
+
+def repartition_as(df: DataFrame, mode: str, numPartitions: int, label: str = "partition_id") -> DataFrame:
+    """A labelled table dealt out in one of the ways to compare: ``col`` (exact), ``range``, ``order``, ``rep`` (by hash) or ``col-no`` (exact, labels counted first)."""
+    ways = {
+        "col": lambda: repartitionByCol(df, label, True, numPartitions),
+        "range": lambda: df.repartitionByRange(numPartitions, label),
+        "order": lambda: df.orderBy(label),
+        "rep": lambda: df.repartition(numPartitions, label),
+        "col-no": lambda: repartitionByCol(df, label, False),
+    }
+    if mode not in ways:
+        raise AssertionError(f"Mode not understood! You must choose between: {', '.join(ways)} (got {mode!r})")
+    return ways[mode]()
+
+
 repartition_by_col = repartitionByCol

@@ -24,7 +24,7 @@ from voxelframe.shapes import Box, Point, Shell
 
 UPPER_MARGIN = 0.001
 SHRINK = 0.0001
-MAX_LEVEL = 5  # 8**5 cells: as many partitions as a fit describes exactly
+MAX_LEVEL = 6  # 8**6 cells are the most a fit describes
 
 
 def octant(lower_z: bool, lower_y: bool, upper_x: bool) -> int:
@@ -48,6 +48,7 @@ class Octree:
         self.elements: list[Box] = []
         self.children: list[Octree] = []
         self.partition_id = -1
+        self.full = False  # whether more than it can hold has arrived here
 
     @property
     def is_leaf(self) -> bool:
@@ -66,6 +67,7 @@ class Octree:
             self._split()
             for x in held:
                 self.insert(x)
+        self.full = True
         target = next((c for c in self.children if c.box.covers(box)), None)
         if target is None:
             self.elements.append(box)  # it straddles a plane and stays here
@@ -80,6 +82,17 @@ class Octree:
             out += c.find(box)
         return out
 
+    def elements_near(self, shape) -> list[Box]:
+        """What shares a branch with the shape: down the nodes that wholly hold its box, their own elements, and all below the last one.
+
+        Only a node that has overflowed is followed further down.
+        """
+        box, node, out = shape.envelope(), self, []
+        while node.full and (below := next((c for c in node.children if c.box.covers(box)), None)) is not None:
+            out += node.elements
+            node = below
+        return out + [x for n in node.nodes() for x in n.elements]
+
     def nodes(self) -> Iterator[Octree]:
         """Breadth first."""
         queue = deque([self])
@@ -112,22 +125,19 @@ class Octree:
         return [leaf for leaf in self.leaves() if leaf.box.intersects(box) or leaf.box.covers(box)]
 
     def leaf_neighbors(self) -> list[Octree]:
-        """Leaves among the siblings; a split sibling contributes the leaves around its own first child."""
-        return _siblings(self, self.box)
+        """The leaves under the siblings: those of the parent's cells whose path differs in the last step."""
+        beside = [c for c in self.parent.children if c is not self] if self.parent else []
+        return [n for c in beside for n in c.depth_first() if n.is_leaf]
+
+    def depth_first(self) -> Iterator[Octree]:
+        yield self
+        for c in self.children:
+            yield from c.depth_first()
 
     def copy_ids(self) -> list[tuple[int, Box]]:
         return [(leaf.partition_id, leaf.box) for leaf in self.leaves()]
 
 
-def _siblings(node: Octree, asking: Box) -> list[Octree]:
-    found: dict[int, Octree] = {}
-    for other in node.parent.children if node.parent else ():
-        if not other.box.equals(asking):
-            for leaf in [other] if other.is_leaf else _siblings(other.children[0], asking):
-                found.setdefault(id(leaf), leaf)
-    return list(found.values())
-
-
 def data_envelope(df: DataFrame, options: SpatialOptions, margin: float = UPPER_MARGIN) -> Box:
     """Min/max box over all row envelopes, its upper sides moved out by ``margin``: one aggregate, one row."""
     b = envelope(_row_shape(options))
@@ -166,7 +176,9 @@ class OctreePartitioner(Partitioner):
         on a sample instead, scaled up.
         """
         check_positive(num_partitions)
-        depth = min(MAX_LEVEL, int(math.log(num_partitions) / math.log(8) + 1e-9))
+        depth = int(math.log(num_partitions) / math.log(8) + 1e-9)
+        if depth > MAX_LEVEL:
+            raise AssertionError(f"an octree describes fewer than {8 ** (MAX_LEVEL + 1)} partitions (asked for {num_partitions})")
         box = data_envelope(df, options)
         root = Octree(box, max_level=depth)
         out = cls(root, options, depth)
@@ -197,18 +209,23 @@ class OctreePartitioner(Partitioner):
     def _xyz(self, x, y, z) -> tuple[Column, Column, Column]:
         return spherical_to_cartesian(x, y, z) if self.options.spherical else (x.cast("double"), y.cast("double"), z.cast("double"))
 
-    def _code(self, x, y, z) -> Column:
-        """Path of the row's cell at the deepest level, three bits per level; null if a coordinate is null."""
-        xyz, b = self._xyz(x, y, z), self.tree.box
-        steps = []
-        for c, lo, hi in zip(xyz, (b.min_x, b.min_y, b.min_z), (b.max_x, b.max_y, b.max_z), strict=True):
-            cuts = _cuts(lo, hi, self.depth)
-            steps.append(sum(((c >= cut).cast("int") for cut in cuts), F.lit(0)))
+    def _step(self, c: Column, axis: int) -> Column:
+        """Number of a coordinate's cell along an axis at the deepest level."""
+        lo, hi = self.tree.box.bounds[2 * axis : 2 * axis + 2]
+        return sum(((c >= cut).cast("int") for cut in _cuts(lo, hi, self.depth)), F.lit(0))
+
+    def _path(self, steps: Sequence[Column]) -> Column:
+        """Path of a cell at the deepest level, three bits per level, from its numbers along the axes."""
         code = F.lit(0)
         for level in range(self.depth):
             bit = [F.shiftright(s, self.depth - 1 - level).bitwiseAND(1) for s in steps]
             code = code * 8 + (1 - bit[2]) * 4 + (1 - bit[1]) * 2 + bit[0]
-        return F.when(xyz[0].isNotNull() & xyz[1].isNotNull() & xyz[2].isNotNull(), code)
+        return code
+
+    def _code(self, x, y, z) -> Column:
+        """Path of the row's cell; null if a coordinate is null."""
+        xyz = self._xyz(x, y, z)
+        return F.when(xyz[0].isNotNull() & xyz[1].isNotNull() & xyz[2].isNotNull(), self._path([self._step(c, k) for k, c in enumerate(xyz)]))
 
     def _ids_by_code(self) -> list[int]:
         ids = [0] * 8**self.depth
@@ -259,13 +276,23 @@ class OctreePartitioner(Partitioner):
         return spark.createDataFrame(rows, "partition_id int, level int, min_x double, max_x double, min_y double, max_y double, min_z double, max_z double")
 
     def place_objects(self, df: DataFrame, shape) -> DataFrame:
-        """Each row once for every cell its envelope meets (a theta join with the grid).
+        """Each row once for every cell its envelope meets, as ``partition_id``; rows that meet none (or have no envelope) go.
 
-        The grid has at most ``8**MAX_LEVEL`` rows by construction, which bounds the broadcast.
+        Narrow, without a join: the envelope spans a range of cells along each
+        axis, and the leaves of these cells are looked up in a table of fixed size.
         """
-        grid = F.broadcast(self.leaf_table(df.sparkSession).select("partition_id", *(F.col(c).alias(f"__{c}") for c in ("min_x", "max_x", "min_y", "max_y", "min_z", "max_z"))))
-        cell = Box("__min_x", "__max_x", "__min_y", "__max_y", "__min_z", "__max_z")
-        return df.join(grid, box_intersects_box(cell, envelope(shape))).drop("__min_x", "__max_x", "__min_y", "__max_y", "__min_z", "__max_z")
+        e, root = envelope(shape), self.tree.box
+        low, high = (e.min_x, e.min_y, e.min_z), (e.max_x, e.max_y, e.max_z)
+        meets = box_intersects_box(root, e)
+        spans = df.where(meets).withColumns({f"__{n}{k}": self._step(c, k) for n, side in (("lo", low), ("hi", high)) for k, c in enumerate(side)})
+        span = lambda k: F.sequence(F.col(f"__lo{k}"), F.col(f"__hi{k}"))
+        if self.depth == 0:
+            ids = F.array(F.lit(self._leaves[0].partition_id))
+        else:
+            leaf = F.lit(self._ids_by_code())
+            ids = F.flatten(F.flatten(F.transform(span(0), lambda i: F.transform(span(1), lambda j: F.transform(span(2), lambda k: F.get(leaf, self._path([i, j, k])))))))
+        extra = [f"__{n}{k}" for n in ("lo", "hi") for k in range(3)]
+        return spans.withColumn("partition_id", F.explode(F.array_distinct(ids.cast("array<int>")))).drop(*extra)
 
     def partition_nodes(self, shape) -> list[tuple[int, Box]]:
         return [(leaf.partition_id, leaf.box) for leaf in self.tree.matched_leaves(shape)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Mapping
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -15,6 +16,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+OWN_TO_A_RUN = ("spark.app.", "spark.driver.port", "spark.driver.host", "spark.executor.id", "spark.ui.", "spark.repl.", "spark.submit.pyFiles")
 
 
 def get_session(app: str = "voxelframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,7 +29,18 @@ def get_session(app: str = "voxelframe", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
-get_spark_session = get_session
+def get_spark_session(master: str = "local[*]", appname: str = "voxelframe", dicconf: Mapping[str, str] | None = None) -> SparkSession:
+    """The same by master, name and a map of settings."""
+    b = SparkSession.builder.master(master).appName(appname)
+    for k, v in (DEFAULTS | dict(dicconf or {})).items():
+        b = b.config(k, v)
+    return b.getOrCreate()
+
+
+def load_user_conf(spark: SparkSession | None = None) -> dict[str, str]:
+    """The settings of the (active) session that its user gave, for a later :func:`get_spark_session`."""
+    spark = spark or SparkSession.getActiveSession()
+    return {} if spark is None else {k: v for k, v in spark.sparkContext.getConf().getAll() if not k.startswith(OWN_TO_A_RUN)}
 
 
 def set_log_level(spark: SparkSession, level: str = "WARN") -> None:
