@@ -1,10 +1,13 @@
 """Toxicity by nearest labelled examples (operator 6): exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings, and their being repeated, that labelled
-training documents of the two classes use differently; document frequencies come from all documents. The index
-holds a bounded sample of training documents. A document's score is the
-similarity-weighted vote of its nearest examples, calibrated on the examples'
-own leave-one-out votes; the examples are the evidence.
+The vocabulary is every word of the labelled training examples, of both classes,
+and besides those beginnings of words and repetitions that the classes use
+differently beyond chance. A term weighs its inverse document frequency, over
+all documents, times how surely the classes differ in it (plain inverse document
+frequencies let the rare words of invented or topical prose drown everything
+else). The index holds a bounded sample of training documents; a document's
+score is the similarity-weighted vote of its nearest examples, calibrated on the
+examples' own leave-one-out votes, and the examples are the evidence.
 """
 
 from __future__ import annotations
@@ -26,16 +29,14 @@ EXAMPLES = 3000  # most labelled training documents of each class that the model
 PREFIXES = (4, 5, 6, 7)
 AGAIN = " x"  # marks a term that stands for another one occurring so often in a text
 REPEATS = (2, 3, 5)
-MIN_DOCS = 3  # training documents of the toxic class that a term must occur in
-MIN_CHI2 = 12.0
-MIN_LIFT = 3.0
+SURE = 3.0  # standard errors by which the log odds of a term in the two classes are pulled towards none
+BASE = 0.005  # strength of a term in which the classes do not differ
 NEIGHBORS = 15
 SHRINK = 0.5  # similarity mass of the prior in a vote
 BLOCK = 64  # examples in a block of the index
+FREQUENT = 16  # a term in more than one of so many examples is kept as a whole row of weights instead of a list
 REJECT = 0.7
 CACHED_TOKENS = 100_000  # a worker remembers one to two times as many tokens
-HEAD = min(PREFIXES)
-TRAILING = ".,;:!?#$%&*|)"
 CACHED_LENGTH = 48
 WORD = re.compile(r"\w+")
 
@@ -53,25 +54,20 @@ class TermCounter:
     """Counts of vocabulary terms in a text; remembers what tokens mean."""
 
     def __init__(self, vocabulary: list[str]):
-        self.vocabulary = vocabulary
+        self.size = len(vocabulary)
         self.ids = {t: i for i, t in enumerate(vocabulary) if AGAIN not in t}
         self.again: dict[int, list[tuple[int, int]]] = {}
         for i, t in enumerate(vocabulary):
             if AGAIN in t:  # its plain term is counted too, under a number past the vocabulary if it is not part of it
                 plain, times = t.split(AGAIN)
-                self.again.setdefault(self.ids.setdefault(plain, len(vocabulary) + len(self.ids)), []).append((int(times), i))
-        self.heads = {t.rstrip("-")[:HEAD] for t in self.ids}
+                self.again.setdefault(self.ids.setdefault(plain, self.size + len(self.ids)), []).append((int(times), i))
         self.tokens: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
     def _token(self, token: str) -> tuple[int, ...]:
         got = self.older.get(token)
         if got is None:
-            word = token.lower().rstrip(TRAILING)
-            if word.isalpha() and word[:HEAD] not in self.heads:  # no term begins like this word
-                got = ()
-            else:
-                got = tuple(self.ids[t] for t in terms_of(token) if t in self.ids)
+            got = tuple(self.ids[t] for t in terms_of(token) if t in self.ids)
         if len(token) <= CACHED_LENGTH:
             if len(self.tokens) >= CACHED_TOKENS:
                 self.older, self.tokens = self.tokens, {}
@@ -79,60 +75,98 @@ class TermCounter:
         return got
 
     def count(self, text: str) -> dict[int, int]:
-        tokens = text.split()
-        known = list(map(self.tokens.get, tokens))
-        if None in known:
-            known = [self._token(t) if k is None else k for k, t in zip(known, tokens, strict=True)]
         seen: dict[int, int] = {}
-        for found in filter(None, known):
-            for i in found:
-                seen[i] = seen.get(i, 0) + 1
-        if not seen:
+        known, new, has = self.tokens, self._token, seen.get
+        for token, n in Counter(text.split()).items():
+            found = known.get(token)
+            for i in new(token) if found is None else found:
+                seen[i] = has(i, 0) + n
+        extra = self.again.keys() & seen.keys()
+        if not extra:
             return seen
-        out = {i: n for i, n in seen.items() if i < len(self.vocabulary)}
-        for i, n in seen.items():
-            for times, j in self.again.get(i, ()):
-                if n >= times:
-                    out[j] = 1
-        return out
+        for i in extra:
+            for times, j in self.again[i]:
+                if seen[i] >= times:
+                    seen[j] = 1
+        return {i: n for i, n in seen.items() if i < self.size}
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers ``first[k] ... first[k] + count[k] - 1`` for every k, one after the other."""
+    before = np.cumsum(count) - count
+    return np.repeat(first - before, count) + np.arange(int(count.sum()))
 
 
 class BlockMaxIndex:
-    """Postings by term, stored as one tile per term and block of examples where they meet, with the largest weight in each tile."""
-
-    def __init__(self, vectors: list[dict[int, float]], terms: int):
-        blocks = -(-len(vectors) // BLOCK) or 1
-        self.at = np.zeros((blocks, terms), dtype=np.int32)  # number of the tile; 0 is the empty one
-        used = sorted({(d // BLOCK, t) for d, v in enumerate(vectors) for t in v})
-        if used:
-            self.at[tuple(np.array(used).T)] = np.arange(1, len(used) + 1)
-        self.tiles = np.zeros((len(used) + 1, BLOCK))
-        for d, v in enumerate(vectors):
-            for t, w in v.items():
-                self.tiles[self.at[d // BLOCK, t], d % BLOCK] = w
-        self.best = self.tiles.max(axis=1)[self.at].T  # terms x blocks
-
-    def search(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[int, float]]:
+    """Postings by term, cut at blocks of examples, with the largest weight of each piece.
+
+    Terms that many examples hold are whole rows of weights: their part of a
+    similarity is worked out first, for all examples, and tightens the bounds.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+        self.examples = len(vectors)
+        self.blocks = -(-self.examples // BLOCK)
+        doc = np.repeat(np.arange(self.examples, dtype=np.int32), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)])
+        weight = np.concatenate([w for _, w in vectors] or [np.empty(0)]).astype(np.float32)
+        held = np.bincount(term, minlength=terms)
+        often = np.flatnonzero(held * FREQUENT > self.examples)
+        self.row = np.full(terms, -1, dtype=np.int32)  # of the terms that are rows
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.examples))
+        dense = self.row[term] >= 0
+        self.rows[self.row[term[dense]], doc[dense]] = weight[dense]
+        doc, term, weight = doc[~dense], term[~dense], weight[~dense]
+        order = np.lexsort((doc, term))
+        self.doc, self.weight, term = doc[order], weight[order], term[order]
+        block = self.doc // BLOCK
+        new = np.ones(len(term), dtype=bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        self.first = np.flatnonzero(new).astype(np.int32)
+        self.count = np.diff(np.append(self.first, len(term))).astype(np.int32)
+        self.block = block[self.first].astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, self.first) if len(term) else self.weight
+        self.at = np.searchsorted(term[self.first], np.arange(terms + 1)).astype(np.int32)  # first piece of each term
+
+    def search(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> list[tuple[int, float]]:
         """The k most similar examples with a positive cosine, exactly; ties go to the lower number.
 
-        Blocks are opened from the most promising on, until no bound reaches the
-        k-th similarity found.
+        ``ids`` are in order. Blocks are opened from the most promising on, until
+        no bound reaches the k-th similarity found.
         """
-        ids, w = np.array(list(query), dtype=np.int64), np.array(list(query.values()))
-        bound = w @ self.best[ids] * (1 + 1e-12)
+        if not self.examples:
+            return []
+        row = self.row[ids]
+        often = row >= 0
+        part = w[often] @ self.rows[row[often]] if often.any() else np.zeros(self.examples)
+        ids, w = ids[~often], w[~often]
+        pieces = self.at[ids + 1] - self.at[ids]
+        piece, factor = _ranges(self.at[ids], pieces), np.repeat(w, pieces)
+        block = self.block[piece]
+        rest = np.bincount(block, factor * self.most[piece], self.blocks)
+        bound = (np.maximum.reduceat(part, np.arange(0, self.examples, BLOCK)) + rest) * (1 + 1e-9)
         found_d, found_s, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least:
-                break
-            acc = w @ self.tiles[self.at[b, ids]]
-            hit = np.flatnonzero(acc > 0)
-            hit = hit[hit + b * BLOCK != skip]
-            found_d, found_s = np.concatenate([found_d, hit + b * BLOCK]), np.concatenate([found_s, acc[hit]])
+        order, at, step = np.argsort(-bound, kind="stable"), 0, 2
+        while at < self.blocks and bound[order[at]] > 0 and bound[order[at]] >= least:
+            now = order[at : at + step]
+            now = now[(bound[now] >= least) & (bound[now] > 0)]
+            opened = np.zeros(self.blocks, dtype=bool)
+            opened[now] = True
+            chosen = opened[block]
+            picked, size = piece[chosen], self.count[piece[chosen]]
+            posting = _ranges(self.first[picked], size)
+            s = np.bincount(self.doc[posting], np.repeat(factor[chosen], size) * self.weight[posting], self.examples) + part
+            hit = np.flatnonzero(np.repeat(opened, BLOCK)[: self.examples] & (s > 0))
+            hit = hit[hit != skip]
+            found_d, found_s = np.concatenate([found_d, hit]), np.concatenate([found_s, s[hit]])
             if len(found_d) > k:
-                keep = np.lexsort((found_d, -found_s))[:k]
-                found_d, found_s = found_d[keep], found_s[keep]
+                close = np.flatnonzero(found_s >= np.partition(found_s, len(found_s) - k)[len(found_s) - k])
+                close = close[np.lexsort((found_d[close], -found_s[close]))[:k]]
+                found_d, found_s = found_d[close], found_s[close]
             if len(found_d) == k:
                 least = found_s.min()
+            at, step = at + step, step * 4
         order = np.lexsort((found_d, -found_s))
         return [(int(found_d[i]), float(found_s[i])) for i in order]
 
@@ -140,20 +174,22 @@ class BlockMaxIndex:
 @dataclass
 class ToxicityModel:
     vocabulary: list[str]
-    idf: np.ndarray
+    weight: np.ndarray  # of the terms
     index: BlockMaxIndex
     labels: np.ndarray  # of the examples in the index
     mass: np.ndarray  # how many training documents an example stands for
-    ids: list[int]
+    ids: list
     prior: float
     plain: float  # score of a text without any term
     slope: float = 1.0
     shift: float = 0.0
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1.0 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(v * v for v in raw.values()))
-        return {t: v / norm for t, v in raw.items()}
+    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms in order and their weights, of length one."""
+        ids, n = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+        order = np.argsort(ids)
+        raw = (1.0 + np.log(n[order])) * self.weight[ids[order]]
+        return ids[order], raw / math.sqrt(float(raw @ raw))
 
     def vote(self, near: list[tuple[int, float]]) -> float:
         at = [d for d, _ in near]
@@ -169,7 +205,7 @@ class ToxicityModel:
         """Score in (0, 1), and the nearest examples with their similarity."""
         if not counts:
             return self.plain, []
-        near = self.index.search(self.vector(counts), NEIGHBORS)
+        near = self.index.search(*self.vector(counts), NEIGHBORS)
         return (self.calibrated(self.vote(near)), near) if near else (self.plain, [])
 
 
@@ -201,7 +237,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_examples(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
-    """``(doc_id, text, toxic)`` of at most ``limit`` training documents per class (by hash of the id), and the size of each class."""
+    """``(doc_id, text, toxic)`` of at most ``limit`` training documents per class (by hash of the id), and the size of each class.
+
+    An id with several labels is toxic if one of them says so; of an id with
+    several texts the least one counts, so the bound holds for rows as well.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -209,10 +249,21 @@ def training_examples(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES)
     for c in (0, 1):
         part = known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
         picked = part if picked is None else picked.union(part)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), sizes
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), sizes
+
+
+def strength(toxic: Column, clean: Column, n1: int, n0: int) -> Column:
+    """How surely the odds of a term differ between the classes: log odds ratio, less :data:`SURE` standard errors, plus :data:`BASE`."""
+    half = lambda x: x.cast("double") + 0.5
+    b, a, not_b, not_a = half(toxic), half(clean), half(F.lit(n1) - toxic), half(F.lit(n0) - clean)
+    error = F.sqrt(1 / a + 1 / b + 1 / not_a + 1 / not_b)
+    return F.greatest(F.abs(F.log(b / not_b) - F.log(a / not_a)) - SURE * error, F.lit(0.0)) + BASE
+
 
+def _vocabulary(examples: DataFrame, sizes: dict[int, int]) -> tuple[list[str], np.ndarray]:
+    """Terms and their strengths: all words of the examples; beginnings and repetitions if the classes differ in them. Bounded by the sample."""
 
-def _choose_terms(examples: DataFrame, sizes: dict[int, int]) -> list[str]:
     def run(batches: Iterator[tuple]) -> Iterator[dict]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for column, toxic in batches:
@@ -223,18 +274,16 @@ def _choose_terms(examples: DataFrame, sizes: dict[int, int]) -> list[str]:
                         counts[t] += n
                 seen[y].update(list(counts))
                 seen[y].update([f"{t}{AGAIN}{k}" for t, n in counts.items() for k in REPEATS if n >= k])
-            if sum(map(len, seen.values())) > 200_000:
-                yield _counts(seen)
-                seen = {0: Counter(), 1: Counter()}
+                if sum(map(len, seen.values())) > 200_000:
+                    yield _counts(seen)
+                    seen = {0: Counter(), 1: Counter()}
         yield _counts(seen)
 
-    n0, n1 = (max(1, sizes[c]) for c in (0, 1))
     both = map_texts(examples, run, "term string, clean long, toxic long", "text", "toxic").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    n = float(n0 + n1)
-    chi2 = n * F.pow(b * (n0 - a) - a * (n1 - b), F.lit(2.0)) / ((a + b) * (n - a - b + 1e-9) * n0 * n1)
-    top = both.where((b >= MIN_DOCS) & (b / n1 >= MIN_LIFT * (a + 0.5) / n0)).select("term", chi2.alias("chi2")).where(F.col("chi2") >= MIN_CHI2)
-    return [r["term"] for r in top.orderBy(F.desc("chi2"), "term").collect()]  # bounded by the sample of examples
+    strong = both.select("term", strength(F.col("b"), F.col("a"), sizes[1], sizes[0]).alias("s"))
+    derived = F.col("term").contains(AGAIN) | F.col("term").endswith("-")
+    got = sorted((r["term"], r["s"]) for r in strong.where(~derived | (F.col("s") > BASE)).collect())
+    return [t for t, _ in got], np.array([v for _, v in got])
 
 
 def _counts(seen: dict[int, Counter]) -> dict:
@@ -243,16 +292,19 @@ def _counts(seen: dict[int, Counter]) -> dict:
 
 
 def _document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term occurs; one row of counts per task comes back, summed before it reaches the driver."""
+    """In how many of all documents each term occurs; each task counts for itself, and sums of tasks reach the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the sample
 
     def run(batches: Iterator[tuple]) -> Iterator[dict]:
-        counter, df, n = TermCounter(vocabulary), np.zeros(len(vocabulary) + 1, dtype=np.int64), 0
+        terms = shared.value
+        counter, df, n = TermCounter(terms), np.zeros(len(terms) + 1, dtype=np.int64), 0
         for (column,) in batches:
             for text in texts(column):
-                df[list(counter.count(text))] += 1
+                df[np.fromiter(found := counter.count(text), np.int64, len(found))] += 1
                 n += 1
         df[-1] = n
-        yield {"term": np.arange(len(df)), "n": df}
+        some = np.flatnonzero(df)
+        yield {"term": some, "n": df[some]}
 
     sums = map_texts(docs, run, "term int, n long", "text").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(len(vocabulary) + 1)
@@ -262,40 +314,41 @@ def _document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> ToxicityModel:
-    """Fit on training labels. Without labelled documents of both classes every text scores the share of toxic ones (0 if unknown)."""
+    """Fit on training labels. Without labelled documents of both classes every text scores the share of toxic ones (0 if unknown). Ids may be of any type."""
     examples, sizes = training_examples(docs, labels, limit)
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.0
     vocabulary: list[str] = []
-    rows: list[tuple[int, int, dict[int, int]]] = []
+    rows: list[tuple] = []
     if len(sizes) == 2:
         here = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if len(here) == 2:
-            vocabulary = _choose_terms(examples, here)
+            vocabulary, strong = _vocabulary(examples, here)
     if vocabulary:
+        shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
         def run(batches: Iterator[tuple]) -> Iterator[dict]:
-            counter = TermCounter(vocabulary)
+            counter = TermCounter(shared.value)
             for keys, column, toxic in batches:
                 counts = list(map(counter.count, texts(column)))
                 yield {"doc_id": keys, "toxic": toxic, "terms": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]}
 
-        found = map_texts(examples, run, "doc_id long, toxic int, terms array<int>, counts array<int>", "doc_id", "text", "toxic")
-        # a bounded sample of short vectors: at most 2 * limit documents
-        rows = sorted({(r["doc_id"], r["toxic"], tuple(zip(r["terms"], r["counts"], strict=True))) for r in found.collect()})
+        found = map_texts(examples, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, terms array<int>, counts array<int>", "doc_id", "text", "toxic")
+        # a bounded sample: at most 2 * limit documents
+        rows = [(r["doc_id"], r["toxic"], dict(zip(r["terms"], r["counts"], strict=True))) for r in found.collect()]
     if not rows:
         return ToxicityModel([], np.empty(0), BlockMaxIndex([], 0), np.empty(0), np.empty(0), [], prior, prior)
     df, n = _document_frequencies(docs, vocabulary)
-    y = np.array([r[1] for r in rows])
-    mass = np.array([sizes[c] / max(1, (y == c).sum()) for c in y.tolist()])
-    some = np.array([bool(r[2]) for r in rows])
-    bare = mass[~some]
-    plain = float((bare * y[~some]).sum() + prior) / float(bare.sum() + 1)
-    model = ToxicityModel(vocabulary, np.log((1 + n) / (1 + df)) + 1, BlockMaxIndex([], 0), y[some], mass[some], [r[0] for r in rows if r[2]], prior, plain)
-    vectors = [model.vector(dict(r[2])) for r in rows if r[2]]
-    model.index = BlockMaxIndex(vectors, len(vocabulary))
-    votes = np.array([model.vote(model.index.search(v, NEIGHBORS, skip=k)) for k, v in enumerate(vectors)])
+    of_class = Counter(r[1] for r in rows)
+    model = ToxicityModel(vocabulary, strong * (np.log((1 + n) / (1 + df)) + 1), BlockMaxIndex([], 0), np.empty(0), np.empty(0), [], prior, prior)
+    vectors = [(key, y, model.vector(c)) for key, y, c in rows if c]
+    vectors.sort(key=lambda x: (-x[1], int(x[2][0][x[2][1].argmax()]), x[0]))  # examples alike in what weighs most share blocks
+    model.ids, model.labels = [key for key, _, _ in vectors], np.array([y for _, y, _ in vectors])
+    model.mass = np.array([sizes[y] / of_class[y] for _, y, _ in vectors])
+    model.index = BlockMaxIndex([v for _, _, v in vectors], len(vocabulary))
+    votes = np.array([model.vote(model.index.search(*v, NEIGHBORS, skip=k)) for k, (_, _, v) in enumerate(vectors)])
     model.slope, model.shift = _fit_calibration(votes, model.labels, model.mass)
+    model.plain = model.calibrated(model.vote([]))  # no neighbours: the prior alone votes
     return model
 
 
@@ -303,15 +356,16 @@ def score_documents(docs: DataFrame, model: ToxicityModel, evidence: bool = Fals
     """``(doc_id, score, predicted)`` per row, and with ``evidence`` the nearest examples as ``array<struct<doc_id, cosine, toxic>>``.
 
     Whole texts; a null or empty text scores as one without any term. Rows are
-    scored alone, so repeated rows score alike, and no other column matters.
+    scored alone, so repeated rows score alike, and no other column matters. Ids
+    may be of any type.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: at most 2 * EXAMPLES short vectors
 
     def run(batches: Iterator[tuple]) -> Iterator[dict]:
         m = shared.value
         counter = TermCounter(m.vocabulary)
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for keys, column in batches:
+            kind = pa.list_(pa.struct([("doc_id", keys.type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             scores, why = [], []
             for text in texts(column):
                 counts = counter.count(text)
@@ -322,8 +376,9 @@ def score_documents(docs: DataFrame, model: ToxicityModel, evidence: bool = Fals
             out = {"doc_id": keys, "score": scores, "predicted": [int(s >= REJECT) for s in scores]}
             yield out | ({"evidence": pa.array(why, kind)} if evidence else {})
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int"
-    return map_texts(docs, run, schema + (", evidence array<struct<doc_id: long, cosine: double, toxic: int>>" if evidence else ""), "doc_id", "text")
+    key = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {key}, score double, predicted int"
+    return map_texts(docs, run, schema + (f", evidence array<struct<doc_id: {key}, cosine: double, toxic: int>>" if evidence else ""), "doc_id", "text")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
