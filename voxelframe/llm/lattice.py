@@ -10,6 +10,7 @@ compared exactly, in double precision.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations, product
 
@@ -17,20 +18,37 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from voxelframe.llm.common import in_blocks, lean, lookup, prepare_workers, saved, whole_groups
 from voxelframe.llm.components import components, forest
 
 THRESHOLD = 0.9
-TABLES = 8
-BLOCKS = 2  # of eight dimensions in a cell
-PROBES = 4  # neighbouring cells visited in each table
-SCALE = 1.7  # of the lattice, for unit vectors
 SEED = 8
 BLOCK = 2048  # vectors of one cell that are compared as one unit
 ROWS, PAIRS = 256, 200_000  # rows compared at a time; pairs held at a time
 
 
+@dataclass(frozen=True)
+class Plan:
+    """How vectors are hashed: tables, blocks of eight dimensions in a cell, neighbouring cells visited, scale of the lattice for unit vectors."""
+
+    tables: int
+    blocks: int
+    probes: int
+    scale: float
+
+
+#: By the number of distinct vectors (a power of two that it stays below). Unrelated vectors share a cell of a table with
+#: a chance of 5e-5, 7e-6 and 2e-7, so finer cells keep the vectors that each one is compared with to some thousands;
+#: pairs at the threshold meet with a chance of 0.95 to 0.97 in all of them.
+PLANS = ((22, Plan(8, 2, 4, 1.7)), (26, Plan(9, 3, 12, 1.9)), (64, Plan(17, 4, 16, 2.0)))
+
+
+def plan_for(vectors: int) -> Plan:
+    return next(p for bits, p in PLANS if vectors < 1 << bits)
+
+
 def roots() -> np.ndarray:
     """The 240 shortest vectors of E8."""
     whole = []
@@ -66,11 +84,11 @@ def decode_e8(y: np.ndarray) -> np.ndarray:
 
 
 class LatticeHash:
-    def __init__(self, dims: int, tables: int, blocks: int, probes: int, scale: float, seed: int):
+    def __init__(self, dims: int, plan: Plan, seed: int):
         rng = np.random.default_rng(seed)
-        self.tables, self.blocks, self.probes = tables, blocks, probes
-        self.project = rng.standard_normal((tables, blocks, dims, 8)) / scale
-        self.mix = rng.integers(1, 2**62, (tables, blocks, 8), dtype=np.int64) | 1
+        self.tables, self.blocks, self.probes = plan.tables, plan.blocks, plan.probes
+        self.project = rng.standard_normal((self.tables, self.blocks, dims, 8)) / plan.scale
+        self.mix = rng.integers(1, 2**62, (self.tables, self.blocks, 8), dtype=np.int64) | 1
 
     def _key(self, points: np.ndarray, table: int, block: int) -> np.ndarray:
         return (np.rint(points * 2).astype(np.int64) * self.mix[table, block]).sum(axis=-1)
@@ -96,8 +114,8 @@ class LatticeHash:
 
 
 @lru_cache(maxsize=8)
-def lattice_hash(dims: int, tables: int, blocks: int, probes: int, scale: float, seed: int) -> LatticeHash:
-    return LatticeHash(dims, tables, blocks, probes, scale, seed)
+def lattice_hash(dims: int, plan: Plan, seed: int) -> LatticeHash:
+    return LatticeHash(dims, plan, seed)
 
 
 def _unit(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +146,15 @@ def _unseen(keys: np.ndarray, tab: np.ndarray, cell: np.ndarray, i: np.ndarray,
     return fresh
 
 
-def _pairs(v: np.ndarray, threshold: float, cut: np.ndarray, own: np.ndarray, whole: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs of rows inside each unit, ``cut`` telling where units begin; in pieces of bounded size."""
+def _met_before(keys: np.ndarray, tab: int, cell: int) -> bool:
+    """Whether all vectors of a unit share a home cell that comes before the unit's own, so that each pair has met there."""
+    homes = keys[:, :, 0]
+    same = (homes[:, : tab + 1] == homes[0, : tab + 1]).all(axis=0)
+    return bool(same[:tab].any() or (same[tab] and homes[0, tab] < cell))
+
+
+def _pairs(v: np.ndarray, threshold: float, cut: np.ndarray, own: np.ndarray, whole: np.ndarray, keys: np.ndarray, tab: np.ndarray, cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of rows inside each unit, ``cut`` telling where units begin, without those that share the first table's home elsewhere; in pieces of bounded size."""
     first, size = cut[:-1], np.diff(cut)
     two = first[size == 2]
     if len(two):
@@ -137,8 +162,14 @@ def _pairs(v: np.ndarray, threshold: float, cut: np.ndarray, own: np.ndarray, wh
         yield two[good], two[good] + 1
     some_i, some_j, n = [], [], 0
     for k, m in zip(first[size > 2], size[size > 2], strict=True):
+        if _met_before(keys[k : k + m], tab[k], cell[k]):
+            continue
+        home = keys[k : k + m, 0, 0]
         for lo in range(k, k + m, ROWS):
-            i, j = np.nonzero(v[lo : min(lo + ROWS, k + m)] @ v[k : k + m].T >= threshold)
+            near = v[lo : min(lo + ROWS, k + m)] @ v[k : k + m].T >= threshold
+            if tab[k]:
+                near &= home[lo - k : lo - k + len(near), None] != home[None]
+            i, j = np.nonzero(near)
             i, j = i + lo, j + k
             good = (i < j) & (whole[k] | (own[i] != own[j]))
             some_i.append(i[good])
@@ -151,7 +182,7 @@ def _pairs(v: np.ndarray, threshold: float, cut: np.ndarray, own: np.ndarray, wh
         yield np.concatenate(some_i), np.concatenate(some_j)
 
 
-def _verify(threshold: float, make):
+def _verify(threshold: float, plan: Plan):
     """Over sorted units: the weight of what each node links to where it first meets it, and links that span them."""
 
     def by_length(tables: Iterator[tuple[pa.Table, np.ndarray]]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -165,17 +196,13 @@ def _verify(threshold: float, make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cut in by_length(whole_groups(batches, ["dims", "cell", "tab", "lo", "hi"])):
             dims = t.column("dims")[0].as_py()
-            hashing = make(dims)
             node, weight, tab, cell, own, lo, hi = (t.column(c).to_numpy() for c in ("node", "weight", "tab", "cell", "own", "lo", "hi"))
             at, v = _unit(t.column("embedding").combine_chunks(), dims)
             assert len(at) == len(node), "only vectors that can link have cells"
-            keys = None
-            ends = np.r_[cut[cut < len(node)], len(node)]
-            for i, j in _pairs(v, threshold, ends, own, lo == hi):
+            keys = t.column("cells").combine_chunks().flatten().to_numpy().reshape(len(node), plan.tables, 1 + plan.probes)
+            for i, j in _pairs(v, threshold, np.r_[cut[cut < len(node)], len(node)], own, lo == hi, keys, tab, cell):
                 if not len(i):
                     continue
-                if keys is None:
-                    keys = hashing.cells(v)
                 new = _unseen(keys, tab[i], cell[i], i, j)
                 i, j = i[new], j[new]
                 sums = np.bincount(i, weight[j], len(node)) + np.bincount(j, weight[i], len(node))
@@ -187,9 +214,7 @@ def _verify(threshold: float, make):
     return run
 
 
-def near_vectors(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, scale: float = SCALE, seed: int = SEED, block: int = BLOCK
-) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, plan: Plan | None = None, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """``(id, n_links, component_id, kept)`` for every row.
 
     ``n_links`` counts the other rows with a cosine of at least ``threshold``
@@ -197,33 +222,35 @@ def near_vectors(
     that chains of links reach. Equal vectors (copies, repeated rows) always
     link and are hashed once. Vectors that are null, zero, hold a null or
     non-finite component link with nothing; rows with a null id neither. Each
-    length is hashed on its own, so only vectors of equal length link. Ids must be integers.
+    length is hashed on its own, so only vectors of equal length link. Ids must
+    be integers. Without a ``plan`` the number of distinct vectors chooses it.
     """
     prepare_workers(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    kind = vectors.schema[vector_col].dataType
+    kind = "array<float>" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "array<double>"  # cosines are worked out in double precision
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("embedding"))
     usable = F.col("id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     good = rows.where(usable)
     # one node per distinct vector, named by its least id
     one, two = F.xxhash64("embedding"), F.xxhash64("embedding", F.lit(1))
-    classes = saved(good.groupBy("embedding").agg(F.min("id").alias("node"), F.count("*").cast("long").alias("weight")), "vectors")
-
-    def make(dims: int) -> LatticeHash:
-        return lattice_hash(dims, tables, blocks, probes, scale, seed)
+    distinct = saved(good.groupBy("embedding").agg(F.min("id").alias("node"), F.count("*").cast("long").alias("weight")), "vectors")
+    plan = plan_for(distinct.count()) if plan is None else plan
+    each = plan.tables * (1 + plan.probes)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = tables * (1 + probes)
-        which = np.repeat(np.arange(tables, dtype=np.int32), 1 + probes)
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 8192):
-                part = b.slice(k, 8192)
+            for k in range(0, b.num_rows, 4096):
+                part = b.slice(k, 4096)
                 for dims in np.unique(part.column("embedding").value_lengths().to_numpy()).tolist():
                     at, v = _unit(part.column("embedding"), dims)
-                    keys, node = make(dims).cells(v), part.column("node").to_numpy()[at]
-                    yield pa.RecordBatch.from_pydict({"dims": pa.array(np.full(len(at) * each, dims, dtype=np.int32)), "cell": pa.array(keys.ravel()), "tab": pa.array(np.tile(which, len(at))), "node": pa.array(np.repeat(node, each))})
-
-    members = classes.select("node", "embedding").mapInArrow(lean(spread), "dims int, cell long, tab int, node long")
-    units = in_blocks(members, ["dims", "cell", "tab"], "node", block, attach=classes)
-    found = saved(units.select("dims", "cell", "tab", "node", "own", "lo", "hi", "weight", "embedding").mapInArrow(lean(_verify(threshold, make)), "node long, links long, other long"), "found")
+                    some = part.take(pa.array(at))
+                    cells = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * each), pa.array(lattice_hash(dims, plan, seed).cells(v).ravel()))
+                    yield pa.RecordBatch.from_arrays([*some.columns, cells, pa.array(np.full(len(at), dims, dtype=np.int32))], names=["embedding", "node", "weight", "cells", "dims"])
+
+    classes = saved(distinct.select("embedding", "node", "weight").mapInArrow(lean(hashed), f"embedding {kind}, node long, weight long, cells array<long>, dims int"), "cells")
+    members = classes.select("node", "dims", F.posexplode("cells").alias("at", "cell")).select("dims", "cell", F.expr(f"cast(at div {1 + plan.probes} as int)").alias("tab"), "node")
+    units = in_blocks(members, ["dims", "cell", "tab"], "node", block, attach=classes.drop("dims"))
+    found = saved(units.select("dims", "cell", "tab", "node", "own", "lo", "hi", "weight", "embedding", "cells").mapInArrow(lean(_verify(threshold, plan)), "node long, links long, other long"), "found")
     group = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "n")
     degree = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("node", "weight", one.alias("k1"), two.alias("k2")).join(degree, "node", "left").join(group, F.col("n") == F.col("node"), "left")
