@@ -4,7 +4,8 @@ An archive begins with a skippable frame that holds the dictionary (magic number
 0x184D2A5D, as in the public WARC-Zstandard proposal), followed by one frame per
 record. The dictionary is trained on a bounded sample of the records, whole
 and as they are written. Payloads that repeat an earlier-chosen record are written as revisits
-without a body.
+without a body. Records are WARC/1.1: a response holds an HTTP response whose
+entity is the payload.
 """
 
 from __future__ import annotations
@@ -14,19 +15,22 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from voxelframe.llm.common import lean, lookup, prepare_workers, saved, scratch
 
 SKIPPABLE = 0x184D2A5D
 REVISIT_BYTES = 1000  # payloads below this are always stored
 SAMPLE_ROWS = 1000  # about as many records the dictionary is trained on, at most
-SAMPLE_BYTES = 64 << 20  # about as many bytes of html among them, at most
+SAMPLE_BYTES = 16 << 20  # about as many bytes of html among them, at most
 SAMPLE_PAGE = 4 << 20  # a longer html is archived like any other, but the dictionary is not trained on it
 SAMPLE_SEED = 10
 DICTIONARY_BYTES = 65_536
@@ -48,21 +52,27 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
         return b""
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
-    """One WARC record. A revisit keeps the payload's digest and length in its header and has no body."""
-    body = payload if refers_to is None else b""
-    lines = [VERSION, f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
-    if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
-    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]
-    if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
-    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
+NO_URL = "urn:page:"  # stands for a null url, since every record must have a target
+EPOCH = "1970-01-01T00:00:00Z"
+
+
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, refers_to_url: str | None = None, date: str = EPOCH) -> bytes:
+    """One WARC record under an id of its own. A revisit keeps the payload's digest and length in its header and has no body."""
+    target = lambda u: NO_URL if u is None else u.replace("\r", "%0D").replace("\n", "%0A")
+    revisit = refers_to is not None
+    body = b"" if revisit else f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+    lines = [VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Target-URI: {target(url)}"]
+    if page_id is not None:
+        lines.append(f"X-Page-ID: {page_id}")
+    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    if revisit:
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Target-URI: {target(refers_to_url)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {refers_to}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def read_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and body of each record of a compressed archive, frame by frame in bounded memory."""
+    """Headers and payload (of a revisit: none) of each record of a compressed archive, frame by frame in bounded memory."""
     head = stream.read(8)
     dictionary = None
     if len(head) == 8 and struct.unpack("<II", head)[0] == SKIPPABLE:
@@ -81,7 +91,7 @@ def read_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             body = text.read(int(headers.get("Content-Length", -1)))
             if len(body) != int(headers.get("Content-Length", -1)) or text.read(4) != b"\r\n\r\n":
                 raise ValueError("the archive ends inside a record")
-            yield headers, body
+            yield headers, body.partition(b"\r\n\r\n")[2]
 
 
 class _Joined(io.RawIOBase):
@@ -107,19 +117,21 @@ PAYLOAD = ["payload_digest", "payload_bytes"]
 
 
 def repeated_payloads(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """``(payload_digest, payload_bytes, chosen)``: the largest page_id of each payload that occurs more than once."""
+    """``(payload_digest, payload_bytes, chosen, chosen_url)``: the largest page_id of each payload that occurs more than once."""
     large = _hashed(pages).where(F.col("payload_bytes") >= least_bytes).groupBy(*PAYLOAD)
-    return saved(large.agg(F.max("page_id").alias("chosen"), F.count("*").alias("n")).where("n > 1 and chosen is not null").drop("n"), "responses")
+    most = large.agg(F.max(F.struct("page_id", "url")).alias("most"), F.count("*").alias("n")).where("n > 1 and most.page_id is not null")
+    return saved(most.select(*PAYLOAD, F.col("most.page_id").alias("chosen"), F.col("most.url").alias("chosen_url")), "responses")
 
 
 def choose_responses(pages: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Adds ``payload_digest``, ``payload_bytes`` and ``refers_to``: the largest page_id with an equal payload, null if that is the row's own.
+    """Adds ``payload_digest``, ``payload_bytes``, ``refers_to`` and ``refers_to_url``: the largest page_id with an equal payload, null if that is the row's own.
 
     Payloads are compared by SHA-1 and length. Rows that share the largest
     page_id are all responses; a null page_id never is the largest.
     """
     joined = lookup(_hashed(pages), repeated, PAYLOAD)
-    return joined.select("page_id", "url", "html", *PAYLOAD, F.when(~F.col("chosen").eqNullSafe(F.col("page_id")), F.col("chosen")).alias("refers_to"))
+    again = ~F.col("chosen").eqNullSafe(F.col("page_id"))
+    return joined.select("page_id", "url", "html", *PAYLOAD, F.when(again, F.col("chosen")).alias("refers_to"), F.when(again, F.col("chosen_url")).alias("refers_to_url"))
 
 
 def sample_records(pages: DataFrame, repeated: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> list[bytes]:
@@ -129,38 +141,53 @@ def sample_records(pages: DataFrame, repeated: DataFrame, rows: int = SAMPLE_ROW
     share = min(1.0, rows / max(n, 1), most / max(total or 0, 1))
     picked = pages.select("page_id", "url", "html").where((size <= SAMPLE_PAGE) & (F.rand(SAMPLE_SEED) < share))
     found = choose_responses(picked, repeated).collect()
-    return [record(r["page_id"], r["url"], (r["html"] or "").encode(), r["payload_digest"], r["refers_to"]) for r in found]
+    return [record(r["page_id"], r["url"], (r["html"] or "").encode(), r["payload_digest"], r["refers_to"], r["refers_to_url"]) for r in found]
+
 
+WRITTEN = ("page_id", "url", "html", "payload_digest", "refers_to", "refers_to_url")
 
-def write_archives(pages: DataFrame, folder: str, dictionary: bytes, level: int = LEVEL) -> DataFrame:
-    """Write ``(page_id, url, html, payload_digest, refers_to)`` rows, one archive per task; returns ``(path, records)``.
 
-    A task writes under a name of its own attempt and renames at the end, so a
-    lost or repeated task leaves no half archive behind.
+def write_archives(pages: DataFrame, folder: str, dictionary: bytes, run_id: str, level: int = LEVEL) -> DataFrame:
+    """Write rows of :data:`WRITTEN`, one archive per task; returns ``(path, records)``.
+
+    A task writes under the name of its run, partition and attempt and renames
+    at the end. What failed or repeated attempts leave is not in the manifest,
+    and :func:`sweep` removes it.
     """
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, inner = filesystem(folder)
         store.create_dir(inner, recursive=True)
-        name = f"{uuid.uuid4().hex}.warc.zst"
+        task = TaskContext.get()
+        name = f"{run_id}-{task.partitionId():06d}-{task.taskAttemptId()}.warc.zst"
         n, out = 0, None
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=True)
         for b in batches:
-            for key, url, html, digest, target in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "payload_digest", "refers_to")), strict=True):
+            for key, url, html, digest, target, target_url in zip(*(b.column(c).to_pylist() for c in WRITTEN), strict=True):
                 if out is None:
-                    out = store.open_output_stream(f"{inner}/.{name}.part", compression=None)
+                    out = store.open_output_stream(f"{inner}/{name}.part", compression=None)
                     if dictionary:
                         out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
-                out.write(packer.compress(record(key, url, (html or "").encode(), digest, target)))
+                out.write(packer.compress(record(key, url, (html or "").encode(), digest, target, target_url, date)))
                 n += 1
         if out is not None:
             out.close()
-            store.move(f"{inner}/.{name}.part", f"{inner}/{name}")
+            store.move(f"{inner}/{name}.part", f"{inner}/{name}")
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([n], pa.int64())})
 
     prepare_workers(pages.sparkSession)
-    return pages.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(lean(run), "path string, records long")
+    return pages.select(*WRITTEN).mapInArrow(lean(run), "path string, records long")
+
+
+def sweep(folder: str, run_id: str, manifest: DataFrame) -> None:
+    """Remove files of the run that the manifest does not list: one name per task is compared, no record is read."""
+    store, inner = filesystem(folder)
+    listed = {r["path"].rsplit("/", 1)[1] for r in manifest.select("path").collect()}
+    for f in store.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+        if f.base_name.startswith(f"{run_id}-") and f.base_name not in listed:
+            store.delete_file(f.path)
 
 
 def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -178,9 +205,10 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                         digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                         if not revisit and hashlib.sha1(body).hexdigest() != digest:
                             raise ValueError(f"{path}: damaged payload in {h['WARC-Record-ID']}")
-                        page, target = (h.get(k, "")[10:-1] for k in ("WARC-Record-ID", "WARC-Refers-To"))
+                        page, target = (h.get(k) for k in ("X-Page-ID", "X-Refers-To-Page-ID"))
+                        url = h["WARC-Target-URI"]
                         n += 1
-                        rows.append((int(page) if page else None, h.get("WARC-Target-URI"), int(h["WARC-Payload-Length"]) if revisit else len(body), digest, h["WARC-Type"], int(target) if target else None, body if with_payload else None))
+                        rows.append((None if page is None else int(page), None if url == NO_URL else url, int(h["X-Payload-Length"]) if revisit else len(body), digest, h["WARC-Type"], None if target is None else int(target), body if with_payload else None))
                         if len(rows) == 1000:
                             yield _rows(rows)
                             rows = []
@@ -204,11 +232,15 @@ def archive(pages: DataFrame, folder: str | None = None, with_payload: bool = Fa
 
     A null html is an empty payload; null page ids and urls survive; repeated
     rows are written as often as they occur; other columns are ignored. An empty
-    table gives no archive and no record.
+    table gives no archive and no record. Page ids must be integers.
     """
+    if not isinstance(pages.schema["page_id"].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError("page ids must be integers")
     folder = folder or scratch(pages.sparkSession, "warc")
     repeated = repeated_payloads(pages)
     dictionary = train_dictionary(sample_records(pages, repeated))
-    manifest = saved(write_archives(choose_responses(pages, repeated), folder, dictionary), "manifest")
+    run_id = uuid.uuid4().hex
+    manifest = saved(write_archives(choose_responses(pages, repeated), folder, dictionary, run_id), "manifest")
+    sweep(folder, run_id, manifest)
     n = manifest.count()
     return read_archives(manifest.repartition(max(1, n)), with_payload)
