@@ -150,13 +150,30 @@ def test_each_length_links_on_its_own(spark):
     assert got[200] == (1, 200, True) and got[201] == (1, 200, False) and got[202] == (0, 202, True)
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("plan", [p for _, p in lattice.PLANS])
+def test_recall_at_the_threshold(plan):
     rng = np.random.default_rng(2)
-    a, w = rng.normal(size=(1500, 64)), rng.normal(size=(1500, 64))
+    a, w = rng.normal(size=(600, 64)), rng.normal(size=(600, 64))
     a /= np.linalg.norm(a, axis=1)[:, None]
     w -= (w * a).sum(axis=1)[:, None] * a
     w /= np.linalg.norm(w, axis=1)[:, None]
     b = 0.9 * a + np.sqrt(1 - 0.81) * w
-    h = lattice.LatticeHash(64, lattice.TABLES, lattice.BLOCKS, lattice.PROBES, lattice.SCALE, lattice.SEED)
+    h = lattice.lattice_hash(64, plan, lattice.SEED)
     x, y = h.cells(a), h.cells(b)
     assert (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3)).mean() >= 0.9
+
+
+def test_every_plan_counts_links_once(spark):
+    """Tight and loose clusters, in whole and cut units, under the plans for more vectors: degrees are exact."""
+    assert lattice.plan_for(1000) == lattice.PLANS[0][1] and lattice.plan_for(1 << 30) == lattice.PLANS[2][1]
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(260, 48)).astype(np.float32)
+    v[:80] = v[0] + 0.01 * rng.normal(size=(80, 48))
+    v[80:160] = v[80] + 0.15 * rng.normal(size=(80, 48))
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
+    for (_, plan), block in zip(lattice.PLANS, (7, 30, 2048), strict=True):
+        got = {r.vec_id: r.n_links for r in lattice.near_vectors(df, plan=plan, block=block).collect()}
+        assert [got[k] for k in range(260)] == near.sum(axis=1).tolist()

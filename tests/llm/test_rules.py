@@ -59,8 +59,49 @@ def test_pii_adds_and_masks(spark):
     assert [text[s.start : s.end] for s in rows[3].all_spans] == ["password=abc3def45637890", "me3@mail.example.com"]
     assert rows[3].masked == text.replace("password=abc3def45637890", "<secret>").replace("me3@mail.example.com", "<email>")
     assert not rows[105].all_spans and rows[105].masked == docs[35][1]
-    one = spark.createDataFrame([(1, "+1 4111 1111 1111 111 x")], "doc_id long, text string")
-    assert pii.masked(pii.detect(one)).first().masked.count("<") >= 1  # overlapping spans merge
+    one = spark.createDataFrame([(1, "call +378282246310005 now 4111111111111111@x.org")], "doc_id long, text string")
+    row = pii.masked(pii.detect(one)).first()
+    assert [(s.kind, s.start, s.end) for s in row.base] == [("phone", 5, 21), ("card", 6, 21), ("email", 26, 48), ("card", 26, 42)] and row.masked == "call <phone> now <email>"  # overlapping spans merge
+
+
+def test_pii_classifier_judges_both_ways(spark):
+    """Candidates of every kind, real ones and look-alikes that the patterns match as well: posteriors on both sides, and the look-alikes are refused."""
+    good = ["password: q7Rk2mZp94xLw0aB", "\"api_key\": \"9f8e7d6c5b4a39281706fedc\"", "auth-token = sk-A1b2C3d4E5f6G7h8", "Dr. Mary Johnson", "contact Robert Smith"]
+    bad = ["colour: lightblue", "version = 2.10.3-beta", "on 2024-01-15 there", "Apache License", "page: 1044", "see: https://example.invalid/a/b", "New York City Hall", "in 1999-2004 it", "build 20240115", "chapter-12-section-00034"]
+    docs = [(k, f"{prose(k, 12)} {good[k % 5]} {prose(k + 1, 9)} {bad[k % 10]} and mail me{k}@mail.example.com or 4111 1111 1111 1111 not 4111 1111 1111 1112, host 8.8.4.{k % 250}, no 8.8.4.{300 + k}") for k in range(200)]
+    rows = pii.judged(spark.createDataFrame(docs, "doc_id long, text string"))
+    found, n = pii.patterns(rows)
+    post, reliability = pii.label_model(found, n)
+    assert (post < 0.05).sum() >= 5 and (post > 0.95).sum() >= 5
+    assert all(any(0.01 < chance < 0.99 for pair in votes.values() for chance in pair) for votes in reliability.values())  # no labeler is taken to be always right
+    got = {r.doc_id: [(s.kind, r.t[s.start : s.end]) for s in r.all_spans] for r in pii.detect(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    extra = [x for k in got for x in got[k] if x[0] not in pii.BASE]
+    assert not [x for x in extra if any(b in x[1] or x[1] in b for b in bad)]
+    for g in good[:3]:
+        assert sum(x == ("secret", g) for x in extra) == 40
+    assert sum(x[0] == "name" for x in extra) == 80 and not [x for x in extra if "1112" in x[1] or x[1].startswith("8.8.4.")]
+    kinds = {p[0] for p in found}
+    assert {"card", "ip", "email", "secret", "number", "name"} <= kinds
+
+
+@pytest.mark.parametrize("unit,n", [("a@b.co ", 290_000), ("1.2.3.4 ", 250_000), ("k=1a2b3c4d5e6f7 ", 130_000), ("Mary Smith, ", 170_000), ("1 ", 1_000_000), ("a:", 1_000_000)])
+def test_pii_in_long_texts(spark, unit, n):
+    """Two MB of matches in one text take some seconds, and come out whole."""
+    df = spark.createDataFrame([(1, unit * n), (2, "password=abc3def45637890")], "doc_id long, text string")
+    model = pii.train([("secret", 1, 1, 0, 0, 1, 2, 1, 1), ("number", -1, -1, 0, 0, -1, 0, 0, 0)], [10, 10])
+    start = time.time()
+    rows = {r.doc_id: r for r in pii.masked(pii.detect(df, model)).selectExpr("doc_id", "size(base) as n", "length(masked) as length", "substr(masked, 1, 20) as head").collect()}
+    assert time.time() - start < 40
+    if "@" in unit or unit.startswith("1.2"):
+        kind = "<email> " if "@" in unit else "<ip> "
+        assert rows[1].n == n and rows[1].length == n * len(kind) and rows[1].head.startswith(kind)
+
+
+def test_running_totals(spark):
+    for n in (0, 1, 2, 3, 4, 5, 9, 10, 17, 100, 1000):
+        v = [(k * 7919) % 101 for k in range(n)]
+        got = spark.range(1).select(pii.running(F.lit(v).cast("array<int>"), lambda a, b: a + b).alias("s"), pii.running(F.lit(v).cast("array<int>"), F.greatest).alias("m")).first()
+        assert got.s == np.cumsum(v).astype(int).tolist() and got.m == np.maximum.accumulate(np.array(v, dtype=int)).tolist()
 
 
 def test_label_model_finds_reliable_labelers():
@@ -140,19 +181,54 @@ def test_long_pages_in_linear_time(spark):
 
 def test_index_is_exact():
     rng = np.random.default_rng(4)
-    vectors = [{int(t): float(rng.random()) for t in rng.choice(40, 5, replace=False)} for _ in range(300)] + [{1: 1.0}] * 5
-    index = toxicity.BlockMaxIndex(vectors, 40)
-    dense = np.zeros((305, 40))
+    vectors = [{int(t): float(np.float32(rng.random())) for t in rng.choice(80, 5, replace=False, p=np.arange(80, 0, -1) / 3240)} for _ in range(700)] + [{1: 1.0}] * 5 + [{79: 2.0}] * 5
+    index = toxicity.BlockMaxIndex([(np.array(sorted(v)), np.array([v[t] for t in sorted(v)])) for v in vectors], 80)
+    assert 0 < len(index.rows) < 80 and len(index.first)  # both kinds of postings
+    dense = np.zeros((710, 80))
     for d, v in enumerate(vectors):
         for t, w in v.items():
             dense[d, t] = w
-    for _ in range(40):
-        q = {int(t): float(rng.random()) for t in rng.choice(40, 4, replace=False)}
-        s = sum(dense[:, t] * w for t, w in q.items())
-        want = [d for d in np.lexsort((np.arange(305), -s))[:10] if s[d] > 0]
-        got = index.search(q, 10)
+    for _ in range(60):
+        ids = np.sort(rng.choice(80, 6, replace=False))
+        q = rng.random(6)
+        s = dense[:, ids] @ q
+        want = [d for d in np.lexsort((np.arange(710), -s.round(12)))[:10] if s[d] > 0]
+        got = index.search(ids, q, 10)
         assert [d for d, _ in got] == want and np.allclose([x for _, x in got], s[want])
-    assert [d for d, _ in index.search({1: 1.0}, 3)] == [300, 301, 302] and 300 not in [d for d, _ in index.search({1: 1.0}, 3, skip=300)]
+    one = np.array([1.0])
+    assert [d for d, _ in index.search(np.array([79]), one, 3)] == [705, 706, 707] and 705 not in [d for d, _ in index.search(np.array([79]), one, 3, skip=705)]
+    assert toxicity.BlockMaxIndex([], 0).search(np.empty(0, np.int64), np.empty(0), 3) == []
+
+
+def test_scores_equal_a_brute_force_vote(spark):
+    """Every document with a known word: cosines with all examples, the nearest fifteen, their vote, calibrated."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{D}/labels.parquet"))
+    assert 20 < len(model.ids) and {0, 1} == set(model.labels.tolist())
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    counter, size = toxicity.TermCounter(model.vocabulary), len(model.vocabulary)
+
+    def dense(t):
+        out = np.zeros(size)
+        plain = Counter(x for w in t.split() for x in toxicity.terms_of(w))
+        for i, term in enumerate(model.vocabulary):
+            stem, _, times = term.partition(toxicity.AGAIN)
+            n = plain[stem] if not times else int(plain[stem] >= int(times))
+            out[i] = (1 + np.log(n)) * model.weight[i] if n else 0
+        length = np.sqrt(out @ out)
+        return out / length if length else out
+
+    examples = np.array([dense(text[i]).astype(np.float32) for i in model.ids], dtype=float)
+    words = {w for i in model.ids for w in re.findall(r"\w+", text[i].lower())}
+    assert words <= set(model.vocabulary)
+    df = np.array([sum(i in c for c in (counter.count(t) for t in text.values())) for i in range(0, size, 997)])
+    strong = model.weight[::997] / (np.log((1 + len(text)) / (1 + df)) + 1)
+    assert (strong >= toxicity.BASE * 0.999).all()
+    for r in toxicity.score_documents(docs.where("doc_id % 5 = 0"), model, evidence=True).collect():
+        s = examples @ dense(text[r.doc_id])
+        near = [(int(d), float(s[d])) for d in np.lexsort((np.arange(len(s)), -s.round(12)))[:15] if s[d] > 0]
+        assert np.allclose([e.cosine for e in r.evidence], [x for _, x in near]) and bool(near) == bool(set(re.findall(r"\w+", text[r.doc_id].lower())) & words)
+        assert abs(r.score - (model.calibrated(model.vote(near)) if near else model.plain)) < 1e-6
 
 
 def test_toxicity(spark, odd, none):
@@ -171,6 +247,10 @@ def test_toxicity(spark, odd, none):
     assert df.select(toxicity.held_out(F.col("doc_id")).alias("h")).where("h is null").count() == 0
     clean = toxicity.drop_toxic(odd, model)
     assert clean.columns == odd.columns and clean.count() == 10
+    named = toxicity.fit(df.selectExpr("cast(doc_id as string) as doc_id", "text"), labels.selectExpr("cast(doc_id as string) as doc_id", "toxic"))
+    assert {type(x) for x in named.ids} == {str} and len(named.ids) == len(model.ids)
+    again = toxicity.fit(df.union(df).union(df.where("doc_id < 500").selectExpr("doc_id", "concat(text, ' zzz')")), labels)
+    assert sorted(again.ids) == sorted(model.ids)  # repeated ids are one example each
     empty = toxicity.fit(none, labels.limit(0))
     assert toxicity.score_documents(none, empty).count() == 0 and toxicity.score_documents(odd, empty).select("score").distinct().collect()[0][0] == 0.0
 
@@ -183,7 +263,7 @@ def test_toxicity_keeps_all_terms(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(i < 400), 1) for i, k in enumerate(ids)], "doc_id long, toxic int, quality int")
     model = toxicity.fit(df, labels)
-    assert set(words) <= set(model.vocabulary)
+    assert set(words) <= set(model.vocabulary) and {x for k, t in docs for x in t.split()} <= set(model.vocabulary)  # and the clean ones
     new = spark.createDataFrame([(10_000 + j, f"such a {w}") for j, w in enumerate(words)], "doc_id long, text string")
     assert all(r.evidence for r in toxicity.score_documents(new, model, evidence=True).collect())
 

@@ -25,7 +25,7 @@ def query(f):
 
 @query
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.summary(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pii.summary(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
 
 
 @query
