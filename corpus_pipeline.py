@@ -17,7 +17,8 @@ def _rewrite(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], new: s
 
     The operator sees the other columns only as one struct, so that none of their names can clash with its own.
     """
-    out = operator(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "text", "source"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    out = operator(docs.select(row.alias("__row"), "text", "source"))
     text = F.when(F.col("text").isNotNull(), F.col(new))
     made = {"text": text, "n_chars": F.length(text).cast("long")}
     return out.select(*((made[c] if c in made else F.col("__row").getField(c)).alias(c) for c in docs.columns))
