@@ -1,4 +1,4 @@
-"""Piece-merging tokenizer (operator 2): exact encoding by a table of last tokens, and decoding.
+"""Piece-merging tokenizer (operator 2): exact encoding by a table of last tokens, and decoding by the library.
 
 The merge rule is that of a SentencePiece BPE model: of all neighbouring symbols
 whose concatenation is a piece, the pair with the best score merges first, the
@@ -40,7 +40,7 @@ TRAILING = ".,;:!?#$%&*|)"  # tried as separate words when a word is new and no
 
 class PieceModel:
     def __init__(self, path: str):
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.processor = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.bos, self.eos = sp.bos_id(), sp.eos_id()
         control = [sp.is_control(i) or sp.is_unknown(i) for i in range(n)]
@@ -49,8 +49,6 @@ class PieceModel:
         self.score = {p: sp.get_score(i) for p, i in self.pieces.items()}
         self.strings = {i: p for p, i in self.pieces.items()}
         self.length = [len(self.strings.get(i, "")) for i in range(n)]
-        surface = {i: p.replace(SPACE, " ").encode() for p, i in self.pieces.items()} | {i: bytes([b]) for b, i in self.byte_id.items()}
-        self.surface = [surface.get(i, b"") for i in range(n)]
         self.inner_space = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.spans = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.automaton = ahocorasick.Automaton()
@@ -179,11 +177,8 @@ class PieceModel:
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> bytes:
-        """Text of the ids in UTF-8: control ids vanish, and the space put before the text is taken off again."""
-        surface = self.surface
-        out = b"".join(map(surface.__getitem__, ids))
-        first = next((i for i in ids if surface[i]), None)
-        return out[1:] if first is not None and self.strings.get(first, "").startswith(SPACE) else out
+        """Text of the ids in UTF-8, by the library itself."""
+        return self.processor.decode(ids).encode()
 
 
 @lru_cache(maxsize=2)
