@@ -131,6 +131,25 @@ def test_local_search_ends_at_an_optimum():
         assert not improvable(packing.local_search(kinds, 40), 40)
 
 
+def test_no_move_is_left_on_documents(spark):
+    """The lengths of the given documents: every pair of underfull bins is tried for every exchange."""
+    pieces = packing.cut_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), BYTES)
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").count().withColumnRenamed("count", "n").collect()}
+    start = packing.best_fit(counts, 1024)
+    assert not improvable(packing.local_search(start, 1024), 1024)
+    rng = np.random.default_rng(3)
+    many = dict(Counter(rng.choice(list(counts), 1500).tolist()))  # more bins that are not full
+    few = packing.local_search({(k,): n for k, n in list(many.items())[:25]}, 1024)
+    assert not improvable(few, 1024) and sum(n * sum(k) for k, n in few.items()) == sum(k * n for k, n in list(many.items())[:25])
+
+
+def test_hot_lengths_are_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ROWS", 7)
+    texts = {i: ["a " * (i % 3 + 1)] for i in range(200)} | {500: ["a " * 2500] * 3, None: ["b"] * 30}
+    df = spark.createDataFrame([(i, t) for i, many in texts.items() for t in many], "doc_id long, text string")
+    check_packing(packing.pack(df, BYTES).collect(), texts)
+
+
 def test_two_for_one_and_move():
     assert packing._best_move((6,), (3, 1), 4) == ((3, 1), (), 4) or packing._best_move((6,), (3, 1), 4)[2] == 3
     assert packing.local_search({(6,): 1, (4,): 1}, 10) == {(6, 4): 1}

@@ -22,11 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import map_texts, saved, texts
+from voxelframe.llm.common import lookup, map_texts, saved, texts
 
 CAPACITY = 1024
 END_ID = 2
-RANK_BUCKETS = 256  # parts in which pieces of one length are numbered
+PART_ROWS = 100_000  # about as many pieces of one length are numbered together
 CACHED_WORDS = 250_000  # a worker remembers the ids of one to two times as many words; some 90 MB at most
 CACHED_LENGTH = 48
 LATIN_END = "\u0250"  # letters below are letters in every Unicode version
@@ -305,13 +305,14 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = places(local_search(best_fit(counts, capacity), capacity))
     order = ["doc_id", "piece", "start", "ids_crc32"]
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int")
+    parts = F.lit([-(-counts.get(size, 0) // PART_ROWS) or 1 for size in range(capacity + 1)])  # by length: a hot one is numbered in many parts
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(parts, F.col("length").cast("int"))).cast("int")
     dealt = pieces.withColumn("part", part)
     sizes = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))  # at most RANK_BUCKETS * capacity rows
+    offsets = saved(sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("before")), "offsets")  # one row per length and part
     rank = F.row_number().over(Window.partitionBy("length", "part").orderBy(*order)) - 1
-    ranked = dealt.withColumn("local", rank).join(F.broadcast(offsets), ["length", "part"]).withColumn("rank", F.col("before") + F.col("local"))
+    ranked = lookup(dealt.withColumn("local", rank), offsets, ["length", "part"], "inner").withColumn("rank", F.col("before") + F.col("local"))
     # kinds of bins are bounded by the number of lengths, not of documents: a broadcast of fixed size
     where = spark.createDataFrame(runs, "run_length long, first long, ranks long, each long, base long, at long")
     hit = (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("ranks"))
