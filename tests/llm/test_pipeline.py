@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from conftest import prose
 from pyspark.sql import functions as F
 from test_near_duplicates import closure, slow_fingerprint
@@ -9,7 +10,7 @@ from test_rules import base
 from test_tokens import check_packing
 
 from voxelframe.llm import catalog, lines, toxicity
-from voxelframe.llm.common import scratch_so_far
+from voxelframe.llm.common import scratch_so_far, shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -98,3 +99,22 @@ def test_queries_are_registered(spark):
     out = catalog.QUERIES["op6_toxicity"](spark, d)
     assert dict(out.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
     assert out.where((F.col("score") >= toxicity.REJECT).cast("int") != F.col("predicted")).count() == 0
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Session:
+        def __init__(self, **conf):
+            self.values = {k.replace("__", "."): v for k, v in conf.items()}
+            self.conf = self
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+        def set(self, key, value):
+            self.values[key] = value
+
+    assert shared_dir(Session(spark__master="yarn", spark__checkpoint__dir="hdfs:///x/")) == "hdfs:///x"
+    assert shared_dir(Session(spark__master="local[4]")).startswith("file://")
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]", ""):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(Session(spark__master=master))
