@@ -70,6 +70,14 @@ def test_octree_labels(spark, spheres):
         assert deep.home(r[:3]) == r[3] and any(i == r[3] and b.contains_xyz(*r[:3]) for i, b in deep.cells())
 
 
+def test_octree_of_a_sample(spark):
+    """A sample cuts much the same cells, and still labels every row."""
+    rows = generators.blobs(spark, 30_000, seed=4).cache()
+    whole, part = fit(rows, OCTREE, 512), fit(rows, OCTREE, 512, sampled=True)
+    assert 0.5 < part.numPartitions / whole.numPartitions < 2 and part.place(rows).where("partition_id is null").isEmpty()
+    assert fit(rows.limit(100), OCTREE, 8, sampled=True).numPartitions == fit(rows.limit(100), OCTREE, 8).numPartitions  # few rows: all of them
+
+
 def test_prepartition(spark, spheres):
     o = {"geometry": "spheres", "colnames": "x,y,z,radius", "coordSys": "cartesian", "gridtype": "onion"}
     assert prePartition(spheres, o, 4).groupBy("partition_id").count().count() >= 2

@@ -8,16 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.options import SpatialOptions, check_positive
-from voxelframe.plans.base import Partitioner
+from voxelframe.plans.base import Partitioner, sample_size
 from voxelframe.plans.octree import OctreePartitioner
 from voxelframe.plans.onion import OnionPartitioner
 
 FITS = {"onion": OnionPartitioner.fit, "octree": OctreePartitioner.fit}
 
 
-def fit(df: DataFrame, options: Mapping[str, str] | SpatialOptions, numPartitions: int) -> Partitioner:
-    """The partitioner of the options' grid type, fitted by one or two aggregates over the table."""
+def fit(df: DataFrame, options: Mapping[str, str] | SpatialOptions, numPartitions: int, sampled: bool = False) -> Partitioner:
+    """The partitioner of the options' grid type, fitted by one or two aggregates over the table.
+
+    ``sampled`` counts an octree's cells on a sample, as large as the number of
+    partitions asks for, instead of on all rows.
+    """
     o = SpatialOptions.of(options)
+    if sampled and o.gridtype == "octree":
+        total = df.count()
+        return OctreePartitioner.fit(df, o, check_positive(numPartitions), min(1.0, sample_size(total, numPartitions) / max(total, 1)))
     if o.gridtype not in FITS:
         raise AssertionError(f"Unknown grid type! Available grids: {', '.join(FITS)} (got {o.gridtype!r})")
     return FITS[o.gridtype](df, o, check_positive(numPartitions))
