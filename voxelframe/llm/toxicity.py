@@ -34,7 +34,8 @@ BASE = 0.005  # strength of a term in which the classes do not differ
 NEIGHBORS = 15
 SHRINK = 0.5  # similarity mass of the prior in a vote
 BLOCK = 64  # examples in a block of the index
-FREQUENT = 16  # a term in more than one of so many examples is kept as a whole row of weights instead of a list
+OPENED = 6  # blocks opened first
+FREQUENT = 8  # a term in more than one of so many examples is kept as a whole row of weights instead of a list
 REJECT = 0.7
 CACHED_TOKENS = 100_000  # a worker remembers one to two times as many tokens
 CACHED_LENGTH = 48
@@ -75,11 +76,14 @@ class TermCounter:
         return got
 
     def count(self, text: str) -> dict[int, int]:
+        tokens = Counter(text.split())
+        found = list(map(self.tokens.get, tokens))
+        if None in found:
+            found = [self._token(t) if f is None else f for f, t in zip(found, tokens, strict=True)]
         seen: dict[int, int] = {}
-        known, new, has = self.tokens, self._token, seen.get
-        for token, n in Counter(text.split()).items():
-            found = known.get(token)
-            for i in new(token) if found is None else found:
+        has = seen.get
+        for some, n in zip(found, tokens.values(), strict=True):
+            for i in some:
                 seen[i] = has(i, 0) + n
         extra = self.again.keys() & seen.keys()
         if not extra:
@@ -127,47 +131,52 @@ class BlockMaxIndex:
         self.count = np.diff(np.append(self.first, len(term))).astype(np.int32)
         self.block = block[self.first].astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, self.first) if len(term) else self.weight
+        self.block_of = np.arange(self.examples) // BLOCK
+        self.starts = np.arange(0, self.examples, BLOCK)
         self.at = np.searchsorted(term[self.first], np.arange(terms + 1)).astype(np.int32)  # first piece of each term
 
     def search(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> list[tuple[int, float]]:
         """The k most similar examples with a positive cosine, exactly; ties go to the lower number.
 
-        ``ids`` are in order. Blocks are opened from the most promising on, until
-        no bound reaches the k-th similarity found.
+        ``ids`` are in order. The most promising blocks are opened first, and
+        then all whose bound reaches the k-th similarity found in them.
         """
         if not self.examples:
             return []
         row = self.row[ids]
         often = row >= 0
-        part = w[often] @ self.rows[row[often]] if often.any() else np.zeros(self.examples)
+        part = w[often] @ self.rows[row[often]]
         ids, w = ids[~often], w[~often]
-        pieces = self.at[ids + 1] - self.at[ids]
-        piece, factor = _ranges(self.at[ids], pieces), np.repeat(w, pieces)
+        first, pieces = self.at[ids], self.at[ids + 1] - self.at[ids]
+        piece, factor = _ranges(first, pieces), np.repeat(w, pieces)
         block = self.block[piece]
-        rest = np.bincount(block, factor * self.most[piece], self.blocks)
-        bound = (np.maximum.reduceat(part, np.arange(0, self.examples, BLOCK)) + rest) * (1 + 1e-9)
-        found_d, found_s, least = np.empty(0, np.int64), np.empty(0), 0.0
-        order, at, step = np.argsort(-bound, kind="stable"), 0, 2
-        while at < self.blocks and bound[order[at]] > 0 and bound[order[at]] >= least:
-            now = order[at : at + step]
-            now = now[(bound[now] >= least) & (bound[now] > 0)]
+        bound = np.bincount(block, factor * self.most[piece], self.blocks) + np.maximum.reduceat(part, self.starts)
+        bound *= 1 + 1e-9
+        near = bound > 0
+        if not near.any():
+            return []
+        now = np.argpartition(-bound, OPENED)[:OPENED] if self.blocks > OPENED else np.arange(self.blocks)
+        found_d, found_s = np.empty(0, np.int64), np.empty(0)
+        while len(now):
             opened = np.zeros(self.blocks, dtype=bool)
             opened[now] = True
+            opened &= near
             chosen = opened[block]
-            picked, size = piece[chosen], self.count[piece[chosen]]
+            picked = piece[chosen]
+            size = self.count[picked]
             posting = _ranges(self.first[picked], size)
             s = np.bincount(self.doc[posting], np.repeat(factor[chosen], size) * self.weight[posting], self.examples) + part
-            hit = np.flatnonzero(np.repeat(opened, BLOCK)[: self.examples] & (s > 0))
+            hit = np.flatnonzero(opened[self.block_of] & (s > 0))
             hit = hit[hit != skip]
             found_d, found_s = np.concatenate([found_d, hit]), np.concatenate([found_s, s[hit]])
-            if len(found_d) > k:
-                close = np.flatnonzero(found_s >= np.partition(found_s, len(found_s) - k)[len(found_s) - k])
-                close = close[np.lexsort((found_d[close], -found_s[close]))[:k]]
+            least = 0.0
+            if len(found_d) >= k:
+                least = np.partition(found_s, len(found_s) - k)[len(found_s) - k]
+                close = found_s >= least
                 found_d, found_s = found_d[close], found_s[close]
-            if len(found_d) == k:
-                least = found_s.min()
-            at, step = at + step, step * 4
-        order = np.lexsort((found_d, -found_s))
+            near &= ~opened & (bound >= least)
+            now = np.flatnonzero(near)
+        order = np.lexsort((found_d, -found_s))[:k]
         return [(int(found_d[i]), float(found_s[i])) for i in order]
 
 
