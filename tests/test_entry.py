@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -30,3 +34,20 @@ def test_query_matches_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["x", "y", "z"] and set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("missing", ["sentencepiece", "zstandard", "voxelframe.llm"])
+def test_entry_without_optional_modules(missing):
+    """Without a module that only the optional operators need, the other queries are still there."""
+    code = f"""
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == {missing!r}:
+            raise ModuleNotFoundError(f"No module named {{name}}", name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+names = e.queries()
+assert "window_sphere" in names and "op1_pii" not in names and "pipeline" not in names and set(e.oracle_sql()) <= set(names)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(entry.__file__).parent)
