@@ -179,25 +179,30 @@ def test_long_pages_in_linear_time(spark):
     assert got[1].clean_text.strip() == "" and got[4].clean_text.strip() == "" and got[5].n_dropped == got[6].n_dropped == 60_000 and got[6].clean_text == "more"
 
 
-def test_index_is_exact():
+def test_index_is_exact(monkeypatch):
     rng = np.random.default_rng(4)
     vectors = [{int(t): float(np.float32(rng.random())) for t in rng.choice(80, 5, replace=False, p=np.arange(80, 0, -1) / 3240)} for _ in range(700)] + [{1: 1.0}] * 5 + [{79: 2.0}] * 5
-    index = toxicity.BlockMaxIndex([(np.array(sorted(v)), np.array([v[t] for t in sorted(v)])) for v in vectors], 80)
-    assert 0 < len(index.rows) < 80 and len(index.first)  # both kinds of postings
+    for v in vectors[:200]:  # strong terms weigh more
+        v.update({t: 5 * w for t, w in v.items() if t % 7 == 0})
+    index = toxicity.BlockMaxIndex([(np.array(sorted(v)), np.array([v[t] for t in sorted(v)])) for v in vectors], np.arange(80) % 7 == 0)
+    assert 0 < len(index.rows) < 80 and len(index.first) > 80  # both kinds of postings
     dense = np.zeros((710, 80))
     for d, v in enumerate(vectors):
         for t, w in v.items():
             dense[d, t] = w
-    for _ in range(60):
+    for trial in range(200):
+        monkeypatch.setattr(toxicity, "PRUNED", 10_000 * (trial % 2))
         ids = np.sort(rng.choice(80, 6, replace=False))
-        q = rng.random(6)
+        q = rng.random(6) * np.where(ids % 7 == 0, 20.0 ** (trial % 4), 1.0)
         s = dense[:, ids] @ q
         want = [d for d in np.lexsort((np.arange(710), -s.round(12)))[:10] if s[d] > 0]
         got = index.search(ids, q, 10)
         assert [d for d, _ in got] == want and np.allclose([x for _, x in got], s[want])
+        others = [d for d in np.lexsort((np.arange(710), -s.round(12)))[:11] if s[d] > 0 and d != want[0]][:10]
+        assert [d for d, _ in index.search(ids, q, 10, skip=int(want[0]))] == others
     one = np.array([1.0])
     assert [d for d, _ in index.search(np.array([79]), one, 3)] == [705, 706, 707] and 705 not in [d for d, _ in index.search(np.array([79]), one, 3, skip=705)]
-    assert toxicity.BlockMaxIndex([], 0).search(np.empty(0, np.int64), np.empty(0), 3) == []
+    assert toxicity.BlockMaxIndex([], np.empty(0, bool)).search(np.empty(0, np.int64), np.empty(0), 3) == []
 
 
 def test_scores_equal_a_brute_force_vote(spark):

@@ -17,10 +17,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.llm.common import lean, map_texts, prepare_workers, texts
@@ -34,8 +36,10 @@ BASE = 0.005  # strength of a term in which the classes do not differ
 NEIGHBORS = 15
 SHRINK = 0.5  # similarity mass of the prior in a vote
 BLOCK = 64  # examples in a block of the index
+PRUNED = 30_000  # postings of a query's strong terms from which on blocks are bounded first
 OPENED = 6  # blocks opened first
-FREQUENT = 8  # a term in more than one of so many examples is kept as a whole row of weights instead of a list
+READ = 10  # where fewer than one of so many examples is left, these are read instead of postings
+FREQUENT = 8  # a weak term in more than one of so many examples is kept as a whole row of weights instead of a list
 REJECT = 0.7
 CACHED_TOKENS = 100_000  # a worker remembers one to two times as many tokens
 CACHED_LENGTH = 48
@@ -62,6 +66,8 @@ class TermCounter:
             if AGAIN in t:  # its plain term is counted too, under a number past the vocabulary if it is not part of it
                 plain, times = t.split(AGAIN)
                 self.again.setdefault(self.ids.setdefault(plain, self.size + len(self.ids)), []).append((int(times), i))
+        self.repeats = np.zeros(self.size + len(self.ids) + 1, dtype=bool)  # terms whose repetition is a term
+        self.repeats[list(self.again)] = True
         self.tokens: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -75,24 +81,32 @@ class TermCounter:
             self.tokens[token] = got
         return got
 
-    def count(self, text: str) -> dict[int, int]:
+    def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of a text in order, and how often each occurs."""
         tokens = Counter(text.split())
         found = list(map(self.tokens.get, tokens))
         if None in found:
             found = [self._token(t) if f is None else f for f, t in zip(found, tokens, strict=True)]
-        seen: dict[int, int] = {}
-        has = seen.get
-        for some, n in zip(found, tokens.values(), strict=True):
-            for i in some:
-                seen[i] = has(i, 0) + n
-        extra = self.again.keys() & seen.keys()
-        if not extra:
-            return seen
-        for i in extra:
-            for times, j in self.again[i]:
-                if seen[i] >= times:
-                    seen[j] = 1
-        return {i: n for i, n in seen.items() if i < self.size}
+        flat = np.fromiter(chain.from_iterable(found), np.int64)
+        if not len(flat):
+            return flat, flat.astype(float)
+        times = np.repeat(np.fromiter(tokens.values(), np.float64, len(tokens)), list(map(len, found)))
+        order = np.argsort(flat)
+        flat = flat[order]
+        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        ids, n = flat[first], np.add.reduceat(times[order], first)
+        extra = [j for i, k in zip(*(x[self.repeats[ids]].tolist() for x in (ids, n)), strict=True) for least, j in self.again[i] if k >= least]
+        if extra:
+            ids, n = np.append(ids, extra), np.append(n, np.ones(len(extra)))
+        if extra or ids[-1] >= self.size:
+            order = np.argsort(ids)
+            order = order[ids[order] < self.size]
+            ids, n = ids[order], n[order]
+        return ids, n
+
+    def count(self, text: str) -> dict[int, int]:
+        ids, n = self.arrays(text)
+        return dict(zip(ids.tolist(), n.astype(int).tolist(), strict=True))
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -104,17 +118,29 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Postings by term, cut at blocks of examples, with the largest weight of each piece.
 
-    Terms that many examples hold are whole rows of weights: their part of a
-    similarity is worked out first, for all examples, and tightens the bounds.
+    Terms are strong or weak. The postings of strong ones are read first; what
+    the weak ones can add is bounded by the lengths of their parts (of the query
+    and, at most, in each block), so few blocks are left where strong terms
+    matter. In these the examples themselves are read; where too many are left,
+    the postings of the weak terms are. Weak terms that many examples hold are
+    whole rows of weights.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], strong: np.ndarray):
+        terms = len(strong)
         self.examples = len(vectors)
         self.blocks = -(-self.examples // BLOCK)
-        doc = np.repeat(np.arange(self.examples, dtype=np.int32), [len(t) for t, _ in vectors])
-        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)])
+        self.strong = strong
+        length = np.array([len(t) for t, _ in vectors], dtype=np.int64)
+        doc = np.repeat(np.arange(self.examples, dtype=np.int32), length)
+        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int32)
         weight = np.concatenate([w for _, w in vectors] or [np.empty(0)]).astype(np.float32)
-        held = np.bincount(term, minlength=terms)
+        weak = ~strong[term]
+        # the weak parts of the examples, one after the other, and how long they are
+        self.of_example = np.append(0, np.cumsum(np.bincount(doc[weak], minlength=self.examples)))
+        self.weak_term, self.weak_weight = term[weak], weight[weak]
+        self.rest = np.sqrt(np.bincount(doc[weak], weight[weak].astype(float) ** 2, self.examples))
+        held = np.bincount(term[weak], minlength=terms)
         often = np.flatnonzero(held * FREQUENT > self.examples)
         self.row = np.full(terms, -1, dtype=np.int32)  # of the terms that are rows
         self.row[often] = np.arange(len(often))
@@ -128,56 +154,94 @@ class BlockMaxIndex:
         new = np.ones(len(term), dtype=bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         self.first = np.flatnonzero(new).astype(np.int32)
-        self.count = np.diff(np.append(self.first, len(term))).astype(np.int32)
         self.block = block[self.first].astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, self.first) if len(term) else self.weight
-        self.block_of = np.arange(self.examples) // BLOCK
-        self.starts = np.arange(0, self.examples, BLOCK)
         self.at = np.searchsorted(term[self.first], np.arange(terms + 1)).astype(np.int32)  # first piece of each term
+        self.first = np.append(self.first, len(term)).astype(np.int32)
+        self.starts = np.arange(0, self.examples, BLOCK)
+        self.rest_most = np.maximum.reduceat(self.rest, self.starts) if self.examples else self.rest
+
+    def _postings(self, ids: np.ndarray, w: np.ndarray, opened: np.ndarray | None = None) -> np.ndarray:
+        """What listed terms add to the similarity of each example; of examples in other blocks than the opened ones, nothing."""
+        if opened is None:  # all pieces of a term lie one after the other
+            lo, hi = self.first[self.at[ids]], self.first[self.at[ids + 1]]
+            factor = np.repeat(w, hi - lo)
+        else:
+            pieces = self.at[ids + 1] - self.at[ids]
+            piece = _ranges(self.at[ids], pieces)
+            chosen = opened[self.block[piece]]
+            piece = piece[chosen]
+            lo, hi = self.first[piece], self.first[piece + 1]
+            factor = np.repeat(np.repeat(w, pieces)[chosen], hi - lo)
+        posting = _ranges(lo, hi - lo)
+        return np.bincount(self.doc[posting], factor * self.weight[posting], self.examples)
+
+    def _reach(self, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """By block, what the listed terms can add at most: from the largest weights of the pieces."""
+        pieces = self.at[ids + 1] - self.at[ids]
+        piece = _ranges(self.at[ids], pieces)
+        return np.bincount(self.block[piece], np.repeat(w, pieces) * self.most[piece], self.blocks)
 
     def search(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> list[tuple[int, float]]:
-        """The k most similar examples with a positive cosine, exactly; ties go to the lower number.
-
-        ``ids`` are in order. The most promising blocks are opened first, and
-        then all whose bound reaches the k-th similarity found in them.
-        """
+        """The k most similar examples with a positive cosine, exactly; ties go to the lower number. ``ids`` are in order."""
         if not self.examples:
             return []
-        row = self.row[ids]
-        often = row >= 0
-        part = w[often] @ self.rows[row[often]]
-        ids, w = ids[~often], w[~often]
-        first, pieces = self.at[ids], self.at[ids + 1] - self.at[ids]
-        piece, factor = _ranges(first, pieces), np.repeat(w, pieces)
-        block = self.block[piece]
-        bound = np.bincount(block, factor * self.most[piece], self.blocks) + np.maximum.reduceat(part, self.starts)
-        bound *= 1 + 1e-9
-        near = bound > 0
-        if not near.any():
-            return []
-        now = np.argpartition(-bound, OPENED)[:OPENED] if self.blocks > OPENED else np.arange(self.blocks)
-        found_d, found_s = np.empty(0, np.int64), np.empty(0)
-        while len(now):
-            opened = np.zeros(self.blocks, dtype=bool)
-            opened[now] = True
-            opened &= near
-            chosen = opened[block]
-            picked = piece[chosen]
-            size = self.count[picked]
-            posting = _ranges(self.first[picked], size)
-            s = np.bincount(self.doc[posting], np.repeat(factor[chosen], size) * self.weight[posting], self.examples) + part
-            hit = np.flatnonzero(opened[self.block_of] & (s > 0))
-            hit = hit[hit != skip]
-            found_d, found_s = np.concatenate([found_d, hit]), np.concatenate([found_s, s[hit]])
-            least = 0.0
-            if len(found_d) >= k:
-                least = np.partition(found_s, len(found_s) - k)[len(found_s) - k]
-                close = found_s >= least
-                found_d, found_s = found_d[close], found_s[close]
-            near &= ~opened & (bound >= least)
-            now = np.flatnonzero(near)
-        order = np.lexsort((found_d, -found_s))[:k]
-        return [(int(found_d[i]), float(found_s[i])) for i in order]
+        strong = self.strong[ids]
+        ids_s, w_s, ids, w = ids[strong], w[strong], ids[~strong], w[~strong]
+        left = math.sqrt(float(w @ w))
+        candidates = None
+        if len(ids_s):
+            if int((self.first[self.at[ids_s + 1]] - self.first[self.at[ids_s]]).sum()) < PRUNED:  # reading them is less work than bounding them
+                s = self._postings(ids_s, w_s)
+                least = self._kth(s, k, skip)
+            else:
+                s, least = self._by_blocks(ids_s, w_s, left, k, skip)
+            bound = s + left * self.rest
+            bound *= 1 + 1e-9
+            near = np.flatnonzero((bound >= least) & (bound > 0))
+            if len(near) * READ < self.examples:
+                candidates = near
+        else:
+            s = np.zeros(self.examples)
+        if len(ids):
+            if candidates is None:
+                often = self.row[ids] >= 0
+                s = s + self._postings(ids[~often], w[~often])
+                if often.any():
+                    s += w[often] @ self.rows[self.row[ids[often]]]
+            else:
+                query = self.__dict__.setdefault("_query", np.zeros(len(self.strong)))  # used again, all zero in between
+                query[ids] = w
+                size = self.of_example[candidates + 1] - self.of_example[candidates]
+                at = _ranges(self.of_example[candidates], size)
+                s[candidates] += np.bincount(np.repeat(np.arange(len(candidates)), size), query[self.weak_term[at]] * self.weak_weight[at], len(candidates))
+                query[ids] = 0
+        hit = np.flatnonzero(s > 0) if candidates is None else candidates[s[candidates] > 0]
+        hit = hit[hit != skip]
+        if len(hit) > k:
+            hit = hit[s[hit] >= np.partition(s[hit], len(hit) - k)[len(hit) - k]]
+        order = hit[np.lexsort((hit, -s[hit]))[:k]]
+        return [(int(d), float(s[d])) for d in order]
+
+    def _by_blocks(self, ids: np.ndarray, w: np.ndarray, left: float, k: int, skip: int) -> tuple[np.ndarray, float]:
+        """What the terms add, and the k-th largest of it; complete in all blocks that with at most ``left`` of weak terms reach that."""
+        reach = self._reach(ids, w)
+        opened = np.zeros(self.blocks, dtype=bool)
+        top = min(OPENED, self.blocks)
+        opened[np.argpartition(-reach, top - 1)[:top]] = True
+        s = self._postings(ids, w, opened)
+        least = self._kth(s, k, skip)
+        more = ~opened & (reach * (1 + 1e-9) + left * self.rest_most >= least) & (reach > 0)
+        if more.any():
+            s += self._postings(ids, w, more)
+            least = self._kth(s, k, skip)
+        return s, least
+
+    def _kth(self, s: np.ndarray, k: int, skip: int) -> float:
+        """The k-th largest, the skipped one apart; 0 where there are not so many."""
+        if skip >= 0:
+            s = np.delete(s, skip)
+        return float(np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else 0.0
 
 
 @dataclass
@@ -192,13 +256,16 @@ class ToxicityModel:
     plain: float  # score of a text without any term
     slope: float = 1.0
     shift: float = 0.0
+    shared: Broadcast | None = None  # the vocabulary, for workers
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    def __getstate__(self) -> dict:
+        """What goes to workers; the vocabulary goes on its own, once."""
+        return self.__dict__ | {"vocabulary": [], "shared": None}
+
+    def vector(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms in order and their weights, of length one."""
-        ids, n = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
-        order = np.argsort(ids)
-        raw = (1.0 + np.log(n[order])) * self.weight[ids[order]]
-        return ids[order], raw / math.sqrt(float(raw @ raw))
+        raw = (1.0 + np.log(n)) * self.weight[ids]
+        return ids, raw / math.sqrt(float(raw @ raw))
 
     def vote(self, near: list[tuple[int, float]]) -> float:
         at = [d for d, _ in near]
@@ -210,11 +277,11 @@ class ToxicityModel:
         v = min(max(vote, 1e-6), 1 - 1e-6)
         return 1.0 / (1.0 + math.exp(-(self.slope * math.log(v / (1 - v)) + self.shift)))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float]]]:
+    def score(self, ids: np.ndarray, n: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
         """Score in (0, 1), and the nearest examples with their similarity."""
-        if not counts:
+        if not len(ids):
             return self.plain, []
-        near = self.index.search(*self.vector(counts), NEIGHBORS)
+        near = self.index.search(*self.vector(ids, n), NEIGHBORS)
         return (self.calibrated(self.vote(near)), near) if near else (self.plain, [])
 
 
@@ -291,8 +358,8 @@ def _vocabulary(examples: DataFrame, sizes: dict[int, int]) -> tuple[list[str],
     both = map_texts(examples, run, "term string, clean long, toxic long", "text", "toxic").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
     strong = both.select("term", strength(F.col("b"), F.col("a"), sizes[1], sizes[0]).alias("s"))
     derived = F.col("term").contains(AGAIN) | F.col("term").endswith("-")
-    got = sorted((r["term"], r["s"]) for r in strong.where(~derived | (F.col("s") > BASE)).collect())
-    return [t for t, _ in got], np.array([v for _, v in got])
+    got = strong.where(~derived | (F.col("s") > BASE)).orderBy("term").toArrow()
+    return got["term"].to_pylist(), got["s"].to_numpy()
 
 
 def _counts(seen: dict[int, Counter]) -> dict:
@@ -300,25 +367,23 @@ def _counts(seen: dict[int, Counter]) -> dict:
     return {"term": terms, "clean": [seen[0][t] for t in terms], "toxic": [seen[1][t] for t in terms]}
 
 
-def _document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
+def _document_frequencies(docs: DataFrame, shared: Broadcast, size: int) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs; each task counts for itself, and sums of tasks reach the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the sample
 
     def run(batches: Iterator[tuple]) -> Iterator[dict]:
         terms = shared.value
         counter, df, n = TermCounter(terms), np.zeros(len(terms) + 1, dtype=np.int64), 0
         for (column,) in batches:
             for text in texts(column):
-                df[np.fromiter(found := counter.count(text), np.int64, len(found))] += 1
+                df[counter.arrays(text)[0]] += 1
                 n += 1
         df[-1] = n
         some = np.flatnonzero(df)
         yield {"term": some, "n": df[some]}
 
-    sums = map_texts(docs, run, "term int, n long", "text").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(vocabulary) + 1)
-    for r in sums:
-        df[r["term"]] = r["n"]
+    sums = map_texts(docs, run, "term int, n long", "text").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(size + 1)
+    df[sums["term"].to_numpy()] = sums["n"].to_numpy()
     return df[:-1], int(df[-1])
 
 
@@ -327,40 +392,49 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> ToxicityMo
     examples, sizes = training_examples(docs, labels, limit)
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.0
-    vocabulary: list[str] = []
-    rows: list[tuple] = []
-    if len(sizes) == 2:
-        here = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        if len(here) == 2:
-            vocabulary, strong = _vocabulary(examples, here)
-    if vocabulary:
-        shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-        def run(batches: Iterator[tuple]) -> Iterator[dict]:
-            counter = TermCounter(shared.value)
-            for keys, column, toxic in batches:
-                counts = list(map(counter.count, texts(column)))
-                yield {"doc_id": keys, "toxic": toxic, "terms": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]}
-
-        found = map_texts(examples, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, terms array<int>, counts array<int>", "doc_id", "text", "toxic")
-        # a bounded sample: at most 2 * limit documents
-        rows = [(r["doc_id"], r["toxic"], dict(zip(r["terms"], r["counts"], strict=True))) for r in found.collect()]
-    if not rows:
-        return ToxicityModel([], np.empty(0), BlockMaxIndex([], 0), np.empty(0), np.empty(0), [], prior, prior)
-    df, n = _document_frequencies(docs, vocabulary)
-    of_class = Counter(r[1] for r in rows)
-    model = ToxicityModel(vocabulary, strong * (np.log((1 + n) / (1 + df)) + 1), BlockMaxIndex([], 0), np.empty(0), np.empty(0), [], prior, prior)
-    vectors = [(key, y, model.vector(c)) for key, y, c in rows if c]
+    none = ToxicityModel([], np.empty(0), BlockMaxIndex([], np.empty(0, bool)), np.empty(0), np.empty(0), [], prior, prior)
+    here = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()} if len(sizes) == 2 else {}
+    if len(here) < 2:
+        return none
+    vocabulary, strong = _vocabulary(examples, here)
+    if not vocabulary:
+        return none
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the sample
+
+    def run(batches: Iterator[tuple]) -> Iterator[dict]:
+        counter = TermCounter(shared.value)
+        for keys, column, toxic in batches:
+            counts = list(map(counter.arrays, texts(column)))
+            yield {"doc_id": keys, "toxic": toxic, "terms": [i for i, _ in counts], "counts": [n.astype(np.int32) for _, n in counts]}
+
+    # a bounded sample: at most 2 * limit documents
+    found = map_texts(examples, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, terms array<int>, counts array<int>", "doc_id", "text", "toxic").toArrow()
+    df, n = _document_frequencies(docs, shared, len(vocabulary))
+    weight = strong * (np.log((1 + n) / (1 + df)) + 1)
+    model = ToxicityModel(vocabulary, weight, none.index, np.empty(0), np.empty(0), [], prior, prior, shared=shared)
+    y, keys = found["toxic"].to_numpy(), found["doc_id"].to_pylist()
+    terms, counts = (found[c].combine_chunks() for c in ("terms", "counts"))
+    size = terms.value_lengths().to_numpy()
+    ends, terms, counts = np.cumsum(size), terms.flatten().to_numpy(), counts.flatten().to_numpy()
+    of_class = Counter(y.tolist())
+    vectors = [(keys[k], int(y[k]), model.vector(terms[e - m : e], counts[e - m : e].astype(float))) for k, (e, m) in enumerate(zip(ends.tolist(), size.tolist(), strict=True)) if m]
     vectors.sort(key=lambda x: (-x[1], int(x[2][0][x[2][1].argmax()]), x[0]))  # examples alike in what weighs most share blocks
     model.ids, model.labels = [key for key, _, _ in vectors], np.array([y for _, y, _ in vectors])
     model.mass = np.array([sizes[y] / of_class[y] for _, y, _ in vectors])
-    model.index = BlockMaxIndex([v for _, _, v in vectors], len(vocabulary))
+    model.index = BlockMaxIndex([v for _, _, v in vectors], strong > BASE)
     votes = np.array([model.vote(model.index.search(*v, NEIGHBORS, skip=k)) for k, (_, _, v) in enumerate(vectors)])
     model.slope, model.shift = _fit_calibration(votes, model.labels, model.mass)
     model.plain = model.calibrated(model.vote([]))  # no neighbours: the prior alone votes
     return model
 
 
+def _for_workers(model: ToxicityModel, spark: SparkSession) -> tuple[Broadcast, Broadcast]:
+    """The vocabulary and the rest of the model; both are bounded by the sample."""
+    if model.shared is None:
+        model.shared = spark.sparkContext.broadcast(model.vocabulary)
+    return model.shared, spark.sparkContext.broadcast(model)
+
+
 def score_documents(docs: DataFrame, model: ToxicityModel, evidence: bool = False) -> DataFrame:
     """``(doc_id, score, predicted)`` per row, and with ``evidence`` the nearest examples as ``array<struct<doc_id, cosine, toxic>>``.
 
@@ -368,17 +442,15 @@ def score_documents(docs: DataFrame, model: ToxicityModel, evidence: bool = Fals
     scored alone, so repeated rows score alike, and no other column matters. Ids
     may be of any type.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: at most 2 * EXAMPLES short vectors
+    vocabulary, shared = _for_workers(model, docs.sparkSession)
 
     def run(batches: Iterator[tuple]) -> Iterator[dict]:
-        m = shared.value
-        counter = TermCounter(m.vocabulary)
+        m, counter = shared.value, TermCounter(vocabulary.value)
         for keys, column in batches:
             kind = pa.list_(pa.struct([("doc_id", keys.type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             scores, why = [], []
             for text in texts(column):
-                counts = counter.count(text)
-                s, near = m.score(counts)
+                s, near = m.score(*counter.arrays(text))
                 scores.append(s)
                 if evidence:
                     why.append([{"doc_id": m.ids[d], "cosine": c, "toxic": int(m.labels[d])} for d, c in near])
@@ -393,14 +465,13 @@ def score_documents(docs: DataFrame, model: ToxicityModel, evidence: bool = Fals
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The documents whose score stays below :data:`REJECT`, all columns as they are. Narrow."""
     prepare_workers(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    vocabulary, shared = _for_workers(model, docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        counter = TermCounter(m.vocabulary)
+        m, counter = shared.value, TermCounter(vocabulary.value)
         for b in batches:
-            clean = [m.score(counts)[0] < REJECT if (counts := counter.count(t)) else m.plain < REJECT for t in texts(b.column(at))]
+            clean = [m.score(*counter.arrays(t))[0] < REJECT for t in texts(b.column(at))]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(lean(run), docs.schema)
