@@ -223,6 +223,7 @@ def test_scores_equal_a_brute_force_vote(spark):
         length = np.sqrt(out @ out)
         return out / length if length else out
 
+    assert all(set(counter.present(t).tolist()) == set(counter.count(t)) == set(np.flatnonzero(dense(t)).tolist()) for t in text.values())
     examples = np.array([dense(text[i]).astype(np.float32) for i in model.ids], dtype=float)
     words = {w for i in model.ids for w in re.findall(r"\w+", text[i].lower())}
     assert words <= set(model.vocabulary)

@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -43,6 +43,8 @@ FREQUENT = 8  # a weak term in more than one of so many examples is kept as a wh
 REJECT = 0.7
 CACHED_TOKENS = 100_000  # a worker remembers one to two times as many tokens
 CACHED_LENGTH = 48
+HEAD = min(PREFIXES)
+TRAILING = ".,;:!?#$%&*|)"
 WORD = re.compile(r"\w+")
 
 
@@ -66,43 +68,64 @@ class TermCounter:
             if AGAIN in t:  # its plain term is counted too, under a number past the vocabulary if it is not part of it
                 plain, times = t.split(AGAIN)
                 self.again.setdefault(self.ids.setdefault(plain, self.size + len(self.ids)), []).append((int(times), i))
-        self.repeats = np.zeros(self.size + len(self.ids) + 1, dtype=bool)  # terms whose repetition is a term
-        self.repeats[list(self.again)] = True
+        self.heads: dict[str, list[tuple[str, int]]] = {}  # beginnings that are terms, by how they begin
+        for t, i in self.ids.items():
+            if t.endswith("-"):
+                self.heads.setdefault(t[:HEAD], []).append((t[:-1], i))
         self.tokens: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
     def _token(self, token: str) -> tuple[int, ...]:
         got = self.older.get(token)
         if got is None:
-            got = tuple(self.ids[t] for t in terms_of(token) if t in self.ids)
+            word = token.lower().rstrip(TRAILING)
+            if word.isalpha():  # one word
+                plain = self.ids.get(word)
+                got = () if plain is None else (plain,)
+                for start, i in self.heads.get(word[:HEAD], ()):
+                    if word.startswith(start) and len(word) > len(start):
+                        got += (i,)
+            else:
+                got = tuple(self.ids[t] for t in terms_of(token) if t in self.ids)
         if len(token) <= CACHED_LENGTH:
             if len(self.tokens) >= CACHED_TOKENS:
                 self.older, self.tokens = self.tokens, {}
             self.tokens[token] = got
         return got
 
-    def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of a text in order, and how often each occurs."""
-        tokens = Counter(text.split())
+    def _ids(self, tokens: Collection[str]) -> list[tuple[int, ...]]:
         found = list(map(self.tokens.get, tokens))
         if None in found:
             found = [self._token(t) if f is None else f for f, t in zip(found, tokens, strict=True)]
-        flat = np.fromiter(chain.from_iterable(found), np.int64)
-        if not len(flat):
-            return flat, flat.astype(float)
-        times = np.repeat(np.fromiter(tokens.values(), np.float64, len(tokens)), list(map(len, found)))
-        order = np.argsort(flat)
-        flat = flat[order]
-        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-        ids, n = flat[first], np.add.reduceat(times[order], first)
-        extra = [j for i, k in zip(*(x[self.repeats[ids]].tolist() for x in (ids, n)), strict=True) for least, j in self.again[i] if k >= least]
-        if extra:
-            ids, n = np.append(ids, extra), np.append(n, np.ones(len(extra)))
-        if extra or ids[-1] >= self.size:
-            order = np.argsort(ids)
-            order = order[ids[order] < self.size]
-            ids, n = ids[order], n[order]
-        return ids, n
+        return found
+
+    def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of a text in order, and how often each occurs."""
+        seen = Counter(chain.from_iterable(self._ids(text.split())))
+        for i in self.again.keys() & seen.keys():
+            for least, j in self.again[i]:
+                if seen[i] >= least:
+                    seen[j] = 1
+        ids, n = np.fromiter(seen, np.int64, len(seen)), np.fromiter(seen.values(), np.float64, len(seen))
+        order = np.argsort(ids)
+        ids, n = ids[order], n[order]
+        past = len(ids) - np.searchsorted(ids, self.size)  # numbers past the vocabulary
+        return (ids[:-past], n[:-past]) if past else (ids, n)
+
+    def present(self, text: str) -> np.ndarray:
+        """Terms of a text, in any order."""
+        tokens = Counter(text.split())
+        found = self._ids(tokens)
+        seen = set(chain.from_iterable(found))
+        if again := self.again.keys() & seen:
+            times = dict.fromkeys(again, 0)
+            for some, n in zip(found, tokens.values(), strict=True):
+                for i in some:
+                    if i in again:
+                        times[i] += n
+            seen.update(j for i, k in times.items() for least, j in self.again[i] if k >= least)
+        ids = np.fromiter(seen, np.int64, len(seen))
+        return ids[ids < self.size]
 
     def count(self, text: str) -> dict[int, int]:
         ids, n = self.arrays(text)
@@ -165,7 +188,11 @@ class BlockMaxIndex:
         """What listed terms add to the similarity of each example; of examples in other blocks than the opened ones, nothing."""
         if opened is None:  # all pieces of a term lie one after the other
             lo, hi = self.first[self.at[ids]], self.first[self.at[ids + 1]]
-            factor = np.repeat(w, hi - lo)
+            lists = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            if not lists:
+                return np.zeros(self.examples)
+            weight = np.concatenate([self.weight[x] for x in lists]) * np.repeat(w, hi - lo)
+            return np.bincount(np.concatenate([self.doc[x] for x in lists]), weight, self.examples)
         else:
             pieces = self.at[ids + 1] - self.at[ids]
             piece = _ranges(self.at[ids], pieces)
@@ -375,7 +402,7 @@ def _document_frequencies(docs: DataFrame, shared: Broadcast, size: int) -> tupl
         counter, df, n = TermCounter(terms), np.zeros(len(terms) + 1, dtype=np.int64), 0
         for (column,) in batches:
             for text in texts(column):
-                df[counter.arrays(text)[0]] += 1
+                df[counter.present(text)] += 1
                 n += 1
         df[-1] = n
         some = np.flatnonzero(df)
