@@ -153,17 +153,17 @@ class BlockMaxIndex:
         terms = len(strong)
         self.examples = len(vectors)
         self.blocks = -(-self.examples // BLOCK)
-        self.strong = strong
         length = np.array([len(t) for t, _ in vectors], dtype=np.int64)
         doc = np.repeat(np.arange(self.examples, dtype=np.int32), length)
         term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int32)
         weight = np.concatenate([w for _, w in vectors] or [np.empty(0)]).astype(np.float32)
+        held = np.bincount(term, minlength=terms)
+        self.strong = strong = strong & (held * FREQUENT <= self.examples)  # long lists decide little and cost most
         weak = ~strong[term]
         # the weak parts of the examples, one after the other, and how long they are
         self.of_example = np.append(0, np.cumsum(np.bincount(doc[weak], minlength=self.examples)))
         self.weak_term, self.weak_weight = term[weak], weight[weak]
         self.rest = np.sqrt(np.bincount(doc[weak], weight[weak].astype(float) ** 2, self.examples))
-        held = np.bincount(term[weak], minlength=terms)
         often = np.flatnonzero(held * FREQUENT > self.examples)
         self.row = np.full(terms, -1, dtype=np.int32)  # of the terms that are rows
         self.row[often] = np.arange(len(often))
@@ -237,7 +237,9 @@ class BlockMaxIndex:
                 if often.any():
                     s += w[often] @ self.rows[self.row[ids[often]]]
             else:
-                query = self.__dict__.setdefault("_query", np.zeros(len(self.strong)))  # used again, all zero in between
+                query = self.__dict__.get("_query")  # used again, all zero in between
+                if query is None:
+                    query = self._query = np.zeros(len(self.strong))
                 query[ids] = w
                 size = self.of_example[candidates + 1] - self.of_example[candidates]
                 at = _ranges(self.of_example[candidates], size)
