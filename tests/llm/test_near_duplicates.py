@@ -2,6 +2,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from conftest import prose  # noqa: F401
 
 from voxelframe.llm import catalog, hamming, lattice
@@ -177,3 +178,24 @@ def test_every_plan_counts_links_once(spark):
     for (_, plan), block in zip(lattice.PLANS, (7, 30, 2048), strict=True):
         got = {r.vec_id: r.n_links for r in lattice.near_vectors(df, plan=plan, block=block).collect()}
         assert [got[k] for k in range(260)] == near.sum(axis=1).tolist()
+
+
+@pytest.mark.parametrize("attached", [False, True])
+def test_keys_of_unknown_number_are_not_broadcast(spark, attached):
+    """Spark takes what Python or an explode makes to be as small as its input, and would broadcast a million keys of near copies."""
+    from voxelframe.llm.common import in_blocks
+
+    rows = spark.range(100).select((F.col("id") % 7).alias("cell"), F.col("id").alias("node"))
+    units = in_blocks(rows, ["cell"], "node", 4096, attach=rows.select("node", F.lit("v").alias("v")) if attached else None)
+    assert "Broadcast" not in units._jdf.queryExecution().executedPlan().toString()
+    assert units.count() == 100
+
+
+def test_lookup_beyond_its_limit_is_not_broadcast(spark):
+    from voxelframe.llm.common import lookup
+
+    rows = spark.range(1000).select((F.col("id") % 50).alias("k"))
+    small = spark.range(50).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    plans = [lookup(rows, small, ["k"], limit=n)._jdf.queryExecution().executedPlan().toString() for n in (49, 50)]
+    assert ["BroadcastHashJoin" in p for p in plans] == [False, True]
+    assert lookup(rows, small, ["k"], limit=49).where("v = 1").count() == 1000

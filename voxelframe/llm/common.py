@@ -93,7 +93,12 @@ def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", li
     shuffle, and adaptive execution splits a key that holds a large part of the
     rows over several tasks. Both ways give the same rows.
     """
-    return df.join(F.broadcast(small) if small.count() <= limit else small, on, how)
+    return df.join(bounded(small, small.count(), limit), on, how)
+
+
+def bounded(small: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, of at most so many rows, with the hint by which a join broadcasts it up to ``limit`` and never beyond: without one Spark goes by the bytes of compressed files."""
+    return F.broadcast(small) if rows <= limit else small.hint("merge")
 
 
 def in_blocks(rows: DataFrame, keys: list[str], member: str, block: int, attach: DataFrame | None = None) -> DataFrame:
@@ -104,15 +109,18 @@ def in_blocks(rows: DataFrame, keys: list[str], member: str, block: int, attach:
     ``(lo, hi)`` is a unit, so no task ever holds more than about two blocks,
     however large a group is. ``attach`` is joined by ``member`` to what is left.
     The result is partitioned by unit and sorted, ready for :func:`whole_groups`.
+
+    Both joins shuffle: the size of what Python or an explode makes is not known
+    to Spark, which takes it for that of its input and would broadcast millions of keys.
     """
     counts = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1")
     parts = F.ceil(F.col("__n") / F.lit(block))
     own, other = F.pmod(F.xxhash64(member), F.col("__parts")), F.col("__other")
-    cut = rows.join(counts, keys).withColumn("__parts", parts).withColumn("__own", own)
+    cut = rows.join(counts.hint("merge"), keys).withColumn("__parts", parts).withColumn("__own", own)
     cut = cut.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)))
     cut = cut.select(*rows.columns, F.col("__own").cast("int").alias("own"), F.least("__own", other).cast("int").alias("lo"), F.greatest("__own", other).cast("int").alias("hi"))
     if attach is not None:
-        cut = cut.join(attach, member)
+        cut = cut.join(attach.hint("merge"), member)
     return cut.repartition(*keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi")
 
 

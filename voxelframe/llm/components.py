@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import drop_saved, lean, prepare_workers, saved
+from voxelframe.llm.common import bounded, drop_saved, lean, prepare_workers, saved
 
 MAX_ROUNDS = 60  # each round removes every node that is not the least among its neighbours
 
@@ -48,13 +48,16 @@ def components(links: DataFrame) -> DataFrame:
     prepare_workers(spark)
     left = saved(links.where("a <> b").mapInArrow(lean(_contract), "a long, b long"), "links")
     steps: list[DataFrame] = []
+    sizes: list[int] = []
     for _ in range(MAX_ROUNDS):
         if left.isEmpty():
             break
         both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
         step = saved(least.select("node", F.least("node", "m").alias("up")), "step")
-        to_a, to_b = step.select(F.col("node").alias("a"), F.col("up").alias("ua")), step.select(F.col("node").alias("b"), F.col("up").alias("ub"))
+        sizes.append(step.count())
+        hinted = bounded(step, sizes[-1])
+        to_a, to_b = hinted.select(F.col("node").alias("a"), F.col("up").alias("ua")), hinted.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         renamed = left.join(to_a, "a").join(to_b, "b").select(F.col("ua").alias("a"), F.col("ub").alias("b")).where("a <> b")
         following = saved(renamed.distinct().mapInArrow(lean(_contract), "a long, b long"), "links")
         drop_saved(left)
@@ -65,6 +68,6 @@ def components(links: DataFrame) -> DataFrame:
     if not steps:
         return spark.createDataFrame([], "node long, component long")
     out = steps[-1].select("node", F.col("up").alias("component"))
-    for step in reversed(steps[:-1]):
-        out = step.join(out.select(F.col("node").alias("up"), "component"), "up", "left").select("node", F.coalesce("component", "up").alias("component"))
+    for step, size in zip(reversed(steps[:-1]), reversed(sizes[1:]), strict=True):  # `out` has the rows of the step after
+        out = step.join(bounded(out.select(F.col("node").alias("up"), "component"), size), "up", "left").select("node", F.coalesce("component", "up").alias("component"))
     return out

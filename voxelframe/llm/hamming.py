@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import in_blocks, lean, lookup, map_texts, saved, utf8, whole_groups
+from voxelframe.llm.common import bounded, in_blocks, lean, lookup, map_texts, saved, utf8, whole_groups
 from voxelframe.llm.components import components, forest
 
 SEED = 42
@@ -178,9 +178,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int, size:
     each = saved(fingerprints(docs, id_col, text_col, size), "fingerprints")
     classes = saved(each.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     group = components(fingerprint_links(classes, threshold)).select(F.col("node").alias("fp"), "component")
-    named = saved(classes.join(group, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "named")
+    count = classes.count()  # the tables joined have no more rows
+    named = saved(classes.join(bounded(group, count), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = saved(named.join(least, "component").select("fp", "component", "component_id"), "labels")
+    labels = saved(named.join(bounded(least, count), "component").select("fp", "component", "component_id"), "labels")
     return lookup(each, labels, ["fp"], "inner")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from voxelframe.llm.common import in_blocks, lean, lookup, prepare_workers, saved, whole_groups
+from voxelframe.llm.common import bounded, in_blocks, lean, lookup, prepare_workers, saved, whole_groups
 from voxelframe.llm.components import components, forest
 
 THRESHOLD = 0.9
@@ -234,7 +234,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # one node per distinct vector, named by its least id
     one, two = F.xxhash64("embedding"), F.xxhash64("embedding", F.lit(1))
     distinct = saved(good.groupBy("embedding").agg(F.min("id").alias("node"), F.count("*").cast("long").alias("weight")), "vectors")
-    plan = plan_for(distinct.count()) if plan is None else plan
+    size = distinct.count()
+    plan = plan_for(size) if plan is None else plan
     each = plan.tables * (1 + plan.probes)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +254,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     found = saved(units.select("dims", "cell", "tab", "node", "own", "lo", "hi", "weight", "embedding", "cells").mapInArrow(lean(_verify(threshold, plan)), "node long, links long, other long"), "found")
     group = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "n")
     degree = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.select("node", "weight", one.alias("k1"), two.alias("k2")).join(degree, "node", "left").join(group, F.col("n") == F.col("node"), "left")
+    named = classes.select("node", "weight", one.alias("k1"), two.alias("k2")).join(bounded(degree, size), "node", "left").join(bounded(group, size), F.col("n") == F.col("node"), "left")
     labels = saved(named.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("component")), "labels")
     keyed = rows.select("id", F.when(usable, one).alias("k1"), F.when(usable, two).alias("k2"))
     return lookup(keyed, labels, ["k1", "k2"]).select(
