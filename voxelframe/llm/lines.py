@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import BROADCAST_ROWS, saved
+from voxelframe.llm.common import bounded, saved
 
 RATIO = 0.08  # share of a site's pages above which a line is dropped
 
@@ -69,7 +69,7 @@ def drop_boilerplate(docs: DataFrame, text: Column, site: Column, ratio: float =
     input are replaced or dropped. Blank lines are kept and not counted. A null
     text is empty; a null site is one like any other. A site's list has at most
     (lines per page / ratio) entries; all lists are broadcast while their entries
-    number at most :data:`BROADCAST_ROWS`, beyond that pages are joined by site,
+    number at most ``common.BROADCAST_ROWS``, beyond that pages are joined by site,
     a large site being split by adaptive execution. The texts are not shuffled in
     the first case.
     """
@@ -77,7 +77,7 @@ def drop_boilerplate(docs: DataFrame, text: Column, site: Column, ratio: float =
     named = named.withColumn("keys", F.transform("lines", lambda x: F.when(F.trim(x) != "", _key(x))))
     boilerplate = saved(site_boilerplate(named.select("site", "keys"), ratio), "boilerplate")
     entries = boilerplate.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    joined = named.join(F.broadcast(boilerplate) if entries <= BROADCAST_ROWS else boilerplate, "site", "left")
+    joined = named.join(bounded(boilerplate, entries), "site", "left")
     joined = joined.withColumn("bad", F.when(F.col("hashes").isNotNull(), F.array_intersect(F.array_compact("keys"), "hashes")))
     joined = joined.withColumn("bad", F.when(F.size("bad") > 0, _buckets(F.col("bad"))))
     kept = F.filter("lines", lambda x, i: ~F.coalesce(_member(F.col("bad"), F.get("keys", i)), F.lit(False)))
