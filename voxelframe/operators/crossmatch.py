@@ -12,57 +12,108 @@ from voxelframe.functions.healpix import to_healpix
 from voxelframe.options import is_spherical
 
 CROWDED = 50_000  # rows of one side in a cube, beyond which the cube is dealt out
-_OFFSETS = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+BROADCAST_ROWS = 200_000  # most rows that are broadcast
+FINENESS = ((1000, 3), (100, 2))  # where an occupied cube of side epsilon holds so many rows on average, it is cut so finely along each axis
+FURTHEST = 4e18  # number of the last cube
 
 
-def _cells(df: DataFrame, names: Sequence[str], spherical: bool, eps: float, side: str) -> tuple[DataFrame, list[Column]]:
+def _located(df: DataFrame, names: Sequence[str], spherical: bool, side: str) -> DataFrame:
+    """The rows as a struct, and their cartesian coordinates. Rows without a place, which match nothing, are left out."""
     cols = [F.col(f"`{n}`").cast("double") for n in names]
     xyz = spherical_to_cartesian(*cols) if spherical else cols
     out = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(side), *(c.alias(f"{side}{k}") for k, c in enumerate(xyz)))
-    grid = [F.floor(F.col(f"{side}{k}") / eps) if eps > 0 else F.col(f"{side}{k}") for k in range(3)]
-    return out, grid
+    for k in range(3):
+        out = out.where(F.col(f"{side}{k}").isNotNull() & ~F.isnan(f"{side}{k}"))
+    return out
+
+
+def _number(x: Column, edge: float) -> Column:
+    return F.floor(F.greatest(F.least(x / edge, F.lit(FURTHEST)), F.lit(-FURTHEST)))
+
+
+def _occupancy(a: DataFrame, b: DataFrame, edge: float) -> dict[str, tuple[int, int, int]]:
+    """Of each side: rows, occupied cubes, and most rows of a cube."""
+    both = [df.select(F.lit(s).alias("s"), *(_number(F.col(f"{s}{k}"), edge).alias(f"g{k}") for k in range(3))) for s, df in (("a", a), ("b", b))]
+    cubes = both[0].union(both[1]).groupBy("s", "g0", "g1", "g2").agg(F.count("*").alias("n"))
+    found = cubes.groupBy("s").agg(F.sum("n"), F.count("*"), F.max("n")).collect()
+    return {"a": (0, 0, 0), "b": (0, 0, 0)} | {r[0]: tuple(r[1:]) for r in found}
+
+
+def _reached(df: DataFrame, side: str, eps: float, cuts: int) -> DataFrame:
+    """Each row once per cube that its sphere meets; rounding may add a cube, but takes none away."""
+    edge, axes = eps / cuts, [F.col(f"{side}{k}") for k in range(3)]
+    slack = [F.abs(x) * 1e-15 + eps * 1e-15 for x in axes]
+    for k, x in enumerate(axes):
+        own = _number(x, edge)
+        lo = F.greatest(_number(x - slack[k] - eps, edge), own - (cuts + 1))
+        hi = F.least(_number(x + slack[k] + eps, edge), own + (cuts + 1))
+        df = df.withColumn(f"__h{k}", F.explode(F.sequence(lo, hi)))
+    gaps = [F.greatest(F.greatest(F.col(f"__h{k}") * F.lit(edge) - x, x - (F.col(f"__h{k}") + 1) * F.lit(edge)) - 4 * slack[k], F.lit(0.0)) for k, x in enumerate(axes)]
+    meets = F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]) <= eps * (1 + 1e-12)
+    beyond = F.greatest(*(F.abs(x) for x in axes)) >= edge * FURTHEST
+    return df.where(meets | beyond)
 
 
 def crossmatch_center(a: DataFrame, b: DataFrame, eps: float, return_type: str = "AB", coords_a: Sequence[str] | None = None, coords_b: Sequence[str] | None = None, coordSys: str = "cartesian") -> DataFrame:
     """Pairs of rows whose centres are at most ``eps`` apart; exact over the whole of both tables.
 
-    Space is cut into cubes of side ``eps``; the second side is sent to the 27
-    cubes around its own and the tables are joined on the cube. A cube that holds
-    more than ``CROWDED`` rows of the first side is dealt out: these rows are
-    spread over several keys, and what meets the cube goes to each. ``AB`` returns
-    structs ``a`` and ``b`` per pair, ``A`` or ``B`` the rows of one side that
-    have a match (each once per row). ``eps = 0`` is coordinate equality.
+    Space is cut into cubes of side ``eps``, or finer ones where rows are dense;
+    the side with fewer rows is sent to the cubes its spheres meet and the tables
+    are joined on the cube. A cube that holds more than ``CROWDED`` rows of the
+    other side is dealt out: these rows are spread over several keys, and what
+    meets the cube goes to each. Rows and cubes are counted beforehand, and
+    nothing beyond ``BROADCAST_ROWS`` rows is broadcast. ``AB`` returns structs
+    ``a`` and ``b`` per pair, ``A`` or ``B`` the rows of one side that have a
+    match (each once per row). ``eps = 0`` is coordinate equality.
     """
     if return_type not in ("AB", "A", "B"):
         raise AssertionError(f"returnType must be AB, A or B (got {return_type!r})")
     if eps < 0:
         raise AssertionError(f"epsilon must not be negative (got {eps})")
-    spherical = is_spherical(coordSys)
-    left, right = (a, coords_a or a.columns[:3]), (b, coords_b or b.columns[:3])
-    if return_type == "B":
-        left, right = right, left
-    ls, rs = ("b", "a") if return_type == "B" else ("a", "b")
-    ldf, lgrid = _cells(*left, spherical, eps, ls)
-    rdf, rgrid = _cells(*right, spherical, eps, rs)
-    ldf = ldf.withColumns({f"__g{k}": g for k, g in enumerate(lgrid)})
-    if eps > 0:
-        steps = F.array(*(F.struct(*(F.lit(v).cast("long").alias(f"s{n}") for n, v in enumerate(o))) for o in _OFFSETS))
-        rdf = rdf.withColumn("__s", F.explode(steps)).withColumns({f"__h{k}": g + F.col(f"__s.s{k}") for k, g in enumerate(rgrid)}).drop("__s")
+    spherical, eps = is_spherical(coordSys), float(eps)
+    sides = {"a": _located(a, coords_a or a.columns[:3], spherical, "a"), "b": _located(b, coords_b or b.columns[:3], spherical, "b")}
+    celled = 0 < eps < float("inf")
+    held = _occupancy(sides["a"], sides["b"], eps if celled else 1.0)
+    few, many = ("a", "b") if held["a"][0] < held["b"][0] else ("b", "a")
+    rows, cubes, most = held[many]
+    wanted = return_type.lower()
+    few_rows = sides[few]
+    if wanted == few:  # equal places share their matches
+        few_rows = few_rows.select(*(f"{few}{k}" for k in range(3))).distinct()
+    if celled:
+        cuts = next((n for least, n in FINENESS if rows >= least * cubes > 0), 1)
+        few_rows = _reached(few_rows, few, eps, cuts)
+        grid, copies = [_number(F.col(f"{many}{k}"), eps / cuts) for k in range(3)], (2 * cuts + 3) ** 3
     else:
-        rdf = rdf.withColumns({f"__h{k}": g for k, g in enumerate(rgrid)})
-    crowded = ldf.groupBy("__g0", "__g1", "__g2").agg(F.ceil(F.count("*") / F.lit(CROWDED)).alias("__parts")).where("__parts > 1")
-    told = [F.col(f"{ls}.`{f.name}`") for f in ldf.schema[ls].dataType if "map<" not in f.dataType.simpleString()]  # maps have no hash
-    own = F.pmod(F.xxhash64(*told), F.coalesce("__parts", F.lit(1)))
-    ldf = ldf.join(crowded, ["__g0", "__g1", "__g2"], "left").withColumn("__own", own).drop("__parts")
-    met = crowded.select(*(F.col(f"__g{k}").alias(f"__h{k}") for k in range(3)), "__parts")
-    rdf = rdf.join(met, ["__h0", "__h1", "__h2"], "left").withColumn("__to", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-    near = distance([F.col(f"{ls}{k}") for k in range(3)], [F.col(f"{rs}{k}") for k in range(3)]) <= F.lit(float(eps))
-    on = near & (F.col("__own") == F.col("__to"))
+        same = eps == 0
+        few_rows = few_rows.withColumns({f"__h{k}": F.col(f"{few}{k}") if same else F.lit(0) for k in range(3)})
+        grid, copies = [F.col(f"{many}{k}") if same else F.lit(0) for k in range(3)], 1
+    many_rows = sides[many].withColumns({f"__g{k}": g for k, g in enumerate(grid)})
+    on = distance([F.col(f"{many}{k}") for k in range(3)], [F.col(f"{few}{k}") for k in range(3)]) <= F.lit(eps)
+    if most > CROWDED or not celled:
+        many_rows, few_rows = _dealt(many_rows, few_rows, many)
+        on = on & (F.col("__own") == F.col("__to"))
     for k in range(3):
         on = (F.col(f"__g{k}") == F.col(f"__h{k}")) & on
-    if return_type == "AB":
-        return ldf.join(rdf, on).select("a", "b")
-    return ldf.join(rdf, on, "left_semi").select(f"{ls}.*")
+    bounded = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
+    if wanted == "ab":
+        return many_rows.join(bounded(few_rows, held[few][0] * copies), on).select("a", "b")
+    if wanted == many:
+        return many_rows.join(bounded(few_rows, held[few][0] * copies), on, "left_semi").select(f"{many}.*")
+    met = few_rows.join(bounded(many_rows, rows), on, "left_semi").select(*(F.col(f"{few}{k}").alias(f"__m{k}") for k in range(3))).distinct()
+    place = [F.col(f"{few}{k}") == F.col(f"__m{k}") for k in range(3)]
+    return sides[few].join(bounded(met, held[few][0]), place, "left_semi").select(f"{few}.*")
+
+
+def _dealt(many_rows: DataFrame, few_rows: DataFrame, many: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of crowded cubes get one of several numbers ``__own``; what meets such a cube goes there once for each as ``__to``."""
+    crowded = many_rows.groupBy("__g0", "__g1", "__g2").agg(F.ceil(F.count("*") / F.lit(CROWDED)).alias("__parts")).where("__parts > 1")
+    told = [F.col(f"{many}.`{f.name}`") for f in many_rows.schema[many].dataType if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    own = F.pmod(F.xxhash64(*told), F.coalesce("__parts", F.lit(1)))
+    left = many_rows.join(crowded, ["__g0", "__g1", "__g2"], "left").withColumn("__own", own).drop("__parts")
+    met = crowded.select(*(F.col(f"__g{k}").alias(f"__h{k}") for k in range(3)), "__parts")
+    right = few_rows.join(met, ["__h0", "__h1", "__h2"], "left").withColumn("__to", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return left, right
 
 
 def crossmatch_healpix(a: DataFrame, b: DataFrame, nside: int, return_type: str = "AB", coords_a: Sequence[str] | None = None, coords_b: Sequence[str] | None = None, thetaphi: bool = False) -> DataFrame:
