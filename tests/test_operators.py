@@ -126,6 +126,36 @@ def test_crossmatch_against_brute_force(spark):
     assert crossmatch_center(a, a, 0.0).count() == 300
 
 
+@pytest.mark.parametrize("fineness", [(), ((1, 2),), ((1, 3),)])
+def test_crossmatch_of_dense_and_odd_tables(spark, monkeypatch, fineness):
+    """Whichever side is larger and however fine the cubes, on their borders, between huge and missing coordinates; nothing beyond a count is broadcast."""
+    from voxelframe.operators import crossmatch
+
+    monkeypatch.setattr(crossmatch, "BROADCAST_ROWS", 20)
+    monkeypatch.setattr(crossmatch, "FINENESS", fineness)
+    rng = np.random.default_rng(5)
+    odd = [[1e300, 0.0, 0.0], [float("inf"), 1.0, 1.0], [float("nan"), 1.0, 1.0], [1e16, 1e16, 0.0], [-0.0, 0.0, 1.0], [5.999999999999999, 0.6, 0.7]]
+    pa = np.array(odd + (rng.integers(-6, 7, (400, 3)) / 2).tolist() + [[1.0, 1.0, 1.0]] * 3)
+    pb = np.array(odd + rng.normal(0, 2, (60, 3)).tolist() + [[1.0, 1.0, 1.0], [0.0, 0.0, 1.0]])
+    a = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(pa)] + [(-1, None, 1.0, 1.0)], "i int, x double, y double, z double")
+    b = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(pb)] + [(-1, None, 1.0, 1.0)], "j int, x double, y double, z double")
+    for eps in (0.0, 1.0, 3.0):
+        with np.errstate(all="ignore"):
+            d = pa[:, None] - pb[None]
+            near = np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]) <= eps
+        want = list(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+        for flip in (False, True):
+            left, right = (b, a) if flip else (a, b)
+            one, other = ("j", "i") if flip else ("i", "j")
+            got = {kind: crossmatch_center(left, right, eps, kind, ("x", "y", "z"), ("x", "y", "z")) for kind in ("AB", "A", "B")}
+            pairs = [(r[0], r[1]) for r in got["AB"].select(f"a.{one}", f"b.{other}").collect()]
+            assert sorted((j, i) if flip else (i, j) for i, j in pairs) == sorted((i, j) for i, j in want)
+            sides = [sorted({i for i, _ in want}), sorted({j for _, j in want})]
+            assert [sorted(r[0] for r in got[k].select(c).collect()) for k, c in (("A", one), ("B", other))] == (sides[::-1] if flip else sides)
+            if eps:
+                assert all("Broadcast" not in got[k]._jdf.queryExecution().executedPlan().toString() for k in ("AB", "A", "B"))
+
+
 def test_collapse(spark):
     rows = [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0], [7.0, 8.0], [9.0, 10.0]]
     cf = CollapseFunctions()
