@@ -26,7 +26,8 @@ def _rewrite(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], new: s
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that the nearest labelled examples call toxic go."""
-    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
+    return toxicity.drop_toxic(docs if model.counted is None else model.counted, model)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

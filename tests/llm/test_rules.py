@@ -261,6 +261,20 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score_documents(none, empty).count() == 0 and toxicity.score_documents(odd, empty).select("score").distinct().collect()[0][0] == 0.0
 
 
+def test_toxicity_counts_terms_once(spark, odd):
+    """Terms saved by the fit give the scores that texts give, row by row, and no text is read again."""
+    df = odd.select("doc_id", "text").union(spark.createDataFrame([(k, prose(k, 30) + (" vile scum" if k % 5 == 0 else "")) for k in range(200)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, keep=["doc_id", "text"])
+    plain = toxicity.fit(df, labels)
+    assert plain.counted is None and model.counted.columns == ["doc_id", "text", toxicity.TERMS, toxicity.COUNTS]
+    rows = lambda m, d: sorted(map(tuple, toxicity.score_documents(d, m).collect()), key=str)
+    assert rows(model, model.counted.drop("text")) == rows(plain, df) and len(rows(model, model.counted)) == 210
+    kept = [toxicity.drop_toxic(d, model) for d in (df, model.counted)]
+    assert kept[0].columns == kept[1].columns and sorted(map(str, kept[0].collect())) == sorted(map(str, kept[1].collect())) and 0 < kept[0].count() < 210
+    assert toxicity.score_documents(model.counted.limit(0), model).count() == 0
+
+
 def test_toxicity_keeps_all_terms(spark):
     """Each of 700 rude words, in five toxic documents apiece, passes the tests for terms, is one, and has evidence."""
     words = [f"q{j:03d}" for j in range(700)]

@@ -57,8 +57,8 @@ ORACLE["op5_quality_rules"] = quality.ORACLE_SQL
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return toxicity.score_documents(docs if model.counted is None else model.counted, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 @query

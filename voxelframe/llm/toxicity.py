@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from voxelframe.llm.common import lean, map_texts, prepare_workers, texts
+from voxelframe.llm.common import lean, map_texts, prepare_workers, saved, texts
 
 EXAMPLES = 3000  # most labelled training documents of each class that the model is fitted on
 PREFIXES = (4, 5, 6, 7)
+TERMS, COUNTS = "__terms", "__counts"  # columns of counted documents
 AGAIN = " x"  # marks a term that stands for another one occurring so often in a text
 REPEATS = (2, 3, 5)
 SURE = 3.0  # standard errors by which the log odds of a term in the two classes are pulled towards none
@@ -286,10 +288,11 @@ class ToxicityModel:
     slope: float = 1.0
     shift: float = 0.0
     shared: Broadcast | None = None  # the vocabulary, for workers
+    counted: DataFrame | None = None  # the documents of the fit with their terms, if it was to keep them
 
     def __getstate__(self) -> dict:
         """What goes to workers; the vocabulary goes on its own, once."""
-        return self.__dict__ | {"vocabulary": [], "shared": None}
+        return self.__dict__ | {"vocabulary": [], "shared": None, "counted": None}
 
     def vector(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms in order and their weights, of length one."""
@@ -410,14 +413,54 @@ def _document_frequencies(docs: DataFrame, shared: Broadcast, size: int) -> tupl
         some = np.flatnonzero(df)
         yield {"term": some, "n": df[some]}
 
-    sums = map_texts(docs, run, "term int, n long", "text").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    return _summed(map_texts(docs, run, "term int, n long", "text"), size)
+
+
+def _summed(counts: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    sums = counts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(size + 1)
     df[sums["term"].to_numpy()] = sums["n"].to_numpy()
     return df[:-1], int(df[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> ToxicityModel:
-    """Fit on training labels. Without labelled documents of both classes every text scores the share of toxic ones (0 if unknown). Ids may be of any type."""
+def _counted(docs: DataFrame, shared: Broadcast, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` with the terms of each text and how often they occur, saved."""
+    prepare_workers(docs.sparkSession)
+    kept, at = [docs.columns.index(c) for c in keep], docs.columns.index("text")
+    schema = StructType([docs.schema[k] for k in kept] + [StructField(c, ArrayType(IntegerType())) for c in (TERMS, COUNTS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = TermCounter(shared.value)
+        for b in batches:
+            found = list(map(counter.arrays, texts(b.column(at))))
+            ends = pa.array(np.cumsum([0, *(len(i) for i, _ in found)]).astype(np.int32))
+            both = [np.concatenate([x[k] for x in found] or [np.empty(0)]).astype(np.int32) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in both)], names=[*keep, TERMS, COUNTS])
+
+    return saved(docs.mapInArrow(lean(run), schema), "terms")
+
+
+def _frequencies(counted: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """The same as :func:`_document_frequencies`, of terms counted before."""
+
+    def run(batches: Iterator[tuple]) -> Iterator[dict]:
+        df = np.zeros(size + 1, dtype=np.int64)
+        for (column,) in batches:
+            df[:-1] += np.bincount(column.flatten().to_numpy(), minlength=size)
+            df[-1] += len(column)
+        some = np.flatnonzero(df)
+        yield {"term": some, "n": df[some]}
+
+    return _summed(map_texts(counted, run, "term int, n long", TERMS), size)
+
+
+def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES, keep: Sequence[str] | None = None) -> ToxicityModel:
+    """Fit on training labels. Without labelled documents of both classes every text scores the share of toxic ones (0 if unknown). Ids may be of any type.
+
+    With ``keep`` these columns and the terms of all documents are saved as
+    ``counted``, which :func:`score_documents` and :func:`drop_toxic` take in
+    place of the documents: no text is split into terms a second time.
+    """
     examples, sizes = training_examples(docs, labels, limit)
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.0
@@ -438,9 +481,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> ToxicityMo
 
     # a bounded sample: at most 2 * limit documents
     found = map_texts(examples, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, terms array<int>, counts array<int>", "doc_id", "text", "toxic").toArrow()
-    df, n = _document_frequencies(docs, shared, len(vocabulary))
+    counted = None if keep is None else _counted(docs, shared, keep)
+    df, n = _document_frequencies(docs, shared, len(vocabulary)) if counted is None else _frequencies(counted, len(vocabulary))
     weight = strong * (np.log((1 + n) / (1 + df)) + 1)
-    model = ToxicityModel(vocabulary, weight, none.index, np.empty(0), np.empty(0), [], prior, prior, shared=shared)
+    model = ToxicityModel(vocabulary, weight, none.index, np.empty(0), np.empty(0), [], prior, prior, shared=shared, counted=counted)
     y, keys = found["toxic"].to_numpy(), found["doc_id"].to_pylist()
     terms, counts = (found[c].combine_chunks() for c in ("terms", "counts"))
     size = terms.value_lengths().to_numpy()
@@ -472,14 +516,16 @@ def score_documents(docs: DataFrame, model: ToxicityModel, evidence: bool = Fals
     may be of any type.
     """
     vocabulary, shared = _for_workers(model, docs.sparkSession)
+    source = [TERMS, COUNTS] if TERMS in docs.columns else ["text"]
 
     def run(batches: Iterator[tuple]) -> Iterator[dict]:
-        m, counter = shared.value, TermCounter(vocabulary.value)
-        for keys, column in batches:
+        m = shared.value
+        read = _reader(source, vocabulary)
+        for keys, *columns in batches:
             kind = pa.list_(pa.struct([("doc_id", keys.type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             scores, why = [], []
-            for text in texts(column):
-                s, near = m.score(*counter.arrays(text))
+            for ids, n in read(*columns):
+                s, near = m.score(ids, n)
                 scores.append(s)
                 if evidence:
                     why.append([{"doc_id": m.ids[d], "cosine": c, "toxic": int(m.labels[d])} for d, c in near])
@@ -488,19 +534,37 @@ def score_documents(docs: DataFrame, model: ToxicityModel, evidence: bool = Fals
 
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, score double, predicted int"
-    return map_texts(docs, run, schema + (f", evidence array<struct<doc_id: {key}, cosine: double, toxic: int>>" if evidence else ""), "doc_id", "text")
+    return map_texts(docs, run, schema + (f", evidence array<struct<doc_id: {key}, cosine: double, toxic: int>>" if evidence else ""), "doc_id", *source)
+
+
+def _reader(source: list[str], vocabulary: Broadcast):
+    """What gives terms and counts of each row: of texts, or of what :func:`_counted` made of them."""
+    if source == ["text"]:
+        counter = TermCounter(vocabulary.value)
+        return lambda column: map(counter.arrays, texts(column))
+
+    def read(terms: pa.Array, counts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not len(terms):
+            return iter(())
+        ends = np.cumsum(terms.value_lengths().to_numpy())
+        return zip(np.split(terms.flatten().to_numpy().astype(np.int64), ends[:-1]), np.split(counts.flatten().to_numpy().astype(float), ends[:-1]), strict=True)
+
+    return read
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The documents whose score stays below :data:`REJECT`, all columns as they are. Narrow."""
+    """The documents whose score stays below :data:`REJECT`, all columns as they are (but for counted terms, which go). Narrow."""
     prepare_workers(docs.sparkSession)
     vocabulary, shared = _for_workers(model, docs.sparkSession)
-    at = docs.columns.index("text")
+    source = [TERMS, COUNTS] if TERMS in docs.columns else ["text"]
+    at = [docs.columns.index(c) for c in source]
+    kept = [k for k, c in enumerate(docs.columns) if c not in (TERMS, COUNTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, counter = shared.value, TermCounter(vocabulary.value)
+        m = shared.value
+        read = _reader(source, vocabulary)
         for b in batches:
-            clean = [m.score(*counter.arrays(t))[0] < REJECT for t in texts(b.column(at))]
-            yield b.filter(pa.array(clean, pa.bool_()))
+            clean = [m.score(ids, n)[0] < REJECT for ids, n in read(*(b.column(k) for k in at))]
+            yield b.select(kept).filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return docs.mapInArrow(lean(run), StructType([docs.schema[k] for k in kept]))
