@@ -56,6 +56,7 @@ class WordEncoder:
         self.older: dict[str, bytes] = {}
         self.starts: dict[str, bytes] = {}
         self.newline = self._encode("\n")
+        self.marks = {c: self._encode(c) for c in TRAILING}
 
     def _encode(self, text: str) -> bytes:
         bare = text[1:] if text[:1] == " " else text
@@ -82,6 +83,12 @@ class WordEncoder:
 
     def _word(self, text: str) -> bytes:
         """A word after a space; what was seen before the last ``CACHED_WORDS`` new words is forgotten."""
+        mark = self.marks.get(text[-1])
+        if mark is not None:  # most words that are not remembered: a remembered one and a mark
+            stem = text[:-1]
+            got = self.words.get(stem)
+            if got is not None and stem[-1].isalnum():
+                return got + mark
         got = self.older.get(text)
         if got is None:
             stem = text.rstrip(TRAILING)
