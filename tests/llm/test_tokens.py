@@ -164,10 +164,10 @@ def test_only_the_first_piece_is_short(spark, n):
 
 
 def test_a_known_word_and_a_mark_is_looked_up_at_once(monkeypatch):
-    encoder = packing.WordEncoder(catalog.BYTE_MODEL)
+    encoder = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     encoder.encode("so some words were seen")
     monkeypatch.setattr(encoder, "_alone", lambda text: {"so": encoder.tokenizer.encode("so").ids}.get(text) and encoder._encode(text))
     text = "so some, words. were: seen;"
     assert encoder.encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
     for text in ("so words., seen", "so . , words!? seen", "so some$ words) ,seen ."):
-        assert packing.WordEncoder(catalog.BYTE_MODEL).encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")).encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
