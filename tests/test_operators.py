@@ -156,6 +156,25 @@ def test_crossmatch_of_dense_and_odd_tables(spark, monkeypatch, fineness):
                 assert all("Broadcast" not in got[k]._jdf.queryExecution().executedPlan().toString() for k in ("AB", "A", "B"))
 
 
+@pytest.mark.parametrize("broadcast,crowded", [(200_000, 50_000), (20, 50_000), (20, 5)])
+def test_crossmatch_tasks_follow_the_pairs(spark, monkeypatch, broadcast, crowded):
+    """Small tables with many pairs: the pairs are made in many tasks, whatever few bytes are read, and none is lost."""
+    from voxelframe.operators import crossmatch
+
+    for name, value in (("BROADCAST_ROWS", broadcast), ("CROWDED", crowded), ("PAIRS_A_TASK", 2000)):
+        monkeypatch.setattr(crossmatch, name, value, raising=False)
+    rng = np.random.default_rng(11)
+    pa, pb = rng.random((2000, 3)), rng.random((300, 3))
+    a, b = (spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(x)], f"{c} int, x double, y double, z double").coalesce(1) for c, x in (("i", pa), ("j", pb)))
+    near = np.sqrt(((pa[:, None] - pb[None]) ** 2).sum(axis=2)) <= 0.4
+    for left, right in ((a, b), (b, a)):
+        got = crossmatch_center(left, right, 0.4, "AB", ("x", "y", "z"), ("x", "y", "z"))
+        one, other = ("a.i", "b.j") if left is a else ("b.i", "a.j")
+        rows = got.select(F.col(one), F.col(other), F.spark_partition_id()).collect()
+        assert sorted((i, j) for i, j, _ in rows) == list(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+        assert len({p for *_, p in rows}) > 20
+
+
 def test_collapse(spark):
     rows = [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0], [7.0, 8.0], [9.0, 10.0]]
     cf = CollapseFunctions()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,10 @@ CROWDED = 50_000  # rows of one side in a cube, beyond which the cube is dealt o
 BROADCAST_ROWS = 200_000  # most rows that are broadcast
 FINENESS = ((1000, 3), (100, 2))  # where an occupied cube of side epsilon holds so many rows on average, it is cut so finely along each axis
 FURTHEST = 4e18  # number of the last cube
+PAIRS_A_TASK = 5_000_000  # expected pairs of a task, where pairs are many beside rows
+COPIES_A_TASK = 1_000_000  # of the smaller side
+MOST_TASKS = 20_000
+SPHERE = 4 / 3 * math.pi  # pairs within epsilon for one within a cube
 
 
 def _located(df: DataFrame, names: Sequence[str], spherical: bool, side: str) -> DataFrame:
@@ -31,12 +36,17 @@ def _number(x: Column, edge: float) -> Column:
     return F.floor(F.greatest(F.least(x / edge, F.lit(FURTHEST)), F.lit(-FURTHEST)))
 
 
-def _occupancy(a: DataFrame, b: DataFrame, edge: float) -> dict[str, tuple[int, int, int]]:
-    """Of each side: rows, occupied cubes, and most rows of a cube."""
-    both = [df.select(F.lit(s).alias("s"), *(_number(F.col(f"{s}{k}"), edge).alias(f"g{k}") for k in range(3))) for s, df in (("a", a), ("b", b))]
-    cubes = both[0].union(both[1]).groupBy("s", "g0", "g1", "g2").agg(F.count("*").alias("n"))
-    found = cubes.groupBy("s").agg(F.sum("n"), F.count("*"), F.max("n")).collect()
-    return {"a": (0, 0, 0), "b": (0, 0, 0)} | {r[0]: tuple(r[1:]) for r in found}
+def _occupancy(a: DataFrame, b: DataFrame, edge: float) -> tuple[dict[str, tuple[int, int, int]], float]:
+    """Of each side: rows, occupied cubes, and most rows of a cube; and how many pairs share a cube."""
+    both = [df.select(*(F.lit(int(s == t)).alias(t) for t in "ab"), *(_number(F.col(f"{s}{k}"), edge).alias(f"g{k}") for k in range(3))) for s, df in (("a", a), ("b", b))]
+    cubes = both[0].union(both[1]).groupBy("g0", "g1", "g2").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = cubes.agg(*(f(s) for s in "ab" for f in (F.sum, lambda s: F.count_if(F.col(s) > 0), F.max)), F.sum(F.col("a").cast("double") * F.col("b"))).first()
+    return {"a": tuple(n or 0 for n in found[:3]), "b": tuple(n or 0 for n in found[3:6])}, found[6] or 0.0
+
+
+def _tasks(pairs: float, rows: float) -> int:
+    """How many tasks so many pairs ask for; none in particular where they are few beside the rows that would have to move."""
+    return min(math.ceil(pairs / PAIRS_A_TASK), MOST_TASKS) if pairs > 16 * rows else 0
 
 
 def _reached(df: DataFrame, side: str, eps: float, cuts: int) -> DataFrame:
@@ -62,9 +72,11 @@ def crossmatch_center(a: DataFrame, b: DataFrame, eps: float, return_type: str =
     are joined on the cube. A cube that holds more than ``CROWDED`` rows of the
     other side is dealt out: these rows are spread over several keys, and what
     meets the cube goes to each. Rows and cubes are counted beforehand, and
-    nothing beyond ``BROADCAST_ROWS`` rows is broadcast. ``AB`` returns structs
-    ``a`` and ``b`` per pair, ``A`` or ``B`` the rows of one side that have a
-    match (each once per row). ``eps = 0`` is coordinate equality.
+    nothing beyond ``BROADCAST_ROWS`` rows is broadcast. Where ``AB`` has many
+    pairs beside the rows, their expected number decides on the number of tasks,
+    not the bytes that these read. ``AB`` returns structs ``a`` and ``b`` per
+    pair, ``A`` or ``B`` the rows of one side that have a match (each once per
+    row). ``eps = 0`` is coordinate equality.
     """
     if return_type not in ("AB", "A", "B"):
         raise AssertionError(f"returnType must be AB, A or B (got {return_type!r})")
@@ -73,21 +85,25 @@ def crossmatch_center(a: DataFrame, b: DataFrame, eps: float, return_type: str =
     spherical, eps = is_spherical(coordSys), float(eps)
     sides = {"a": _located(a, coords_a or a.columns[:3], spherical, "a"), "b": _located(b, coords_b or b.columns[:3], spherical, "b")}
     celled = 0 < eps < float("inf")
-    held = _occupancy(sides["a"], sides["b"], eps if celled else 1.0)
+    held, shared = _occupancy(sides["a"], sides["b"], eps if celled else 1.0)
     few, many = ("a", "b") if held["a"][0] < held["b"][0] else ("b", "a")
     rows, cubes, most = held[many]
     wanted = return_type.lower()
+    cuts = next((n for least, n in FINENESS if rows >= least * cubes > 0), 1)
+    copies = (2 * cuts + 3) ** 3 if celled else 1
+    tasks = _tasks(SPHERE * shared, rows + held[few][0]) if celled and wanted == "ab" else 0
     few_rows = sides[few]
     if wanted == few:  # equal places share their matches
         few_rows = few_rows.select(*(f"{few}{k}" for k in range(3))).distinct()
     if celled:
-        cuts = next((n for least, n in FINENESS if rows >= least * cubes > 0), 1)
+        if tasks:  # its copies are many, its files may be few
+            few_rows = few_rows.repartition(min(tasks, math.ceil(held[few][0] * copies / COPIES_A_TASK)))
         few_rows = _reached(few_rows, few, eps, cuts)
-        grid, copies = [_number(F.col(f"{many}{k}"), eps / cuts) for k in range(3)], (2 * cuts + 3) ** 3
+        grid = [_number(F.col(f"{many}{k}"), eps / cuts) for k in range(3)]
     else:
         same = eps == 0
         few_rows = few_rows.withColumns({f"__h{k}": F.col(f"{few}{k}") if same else F.lit(0) for k in range(3)})
-        grid, copies = [F.col(f"{many}{k}") if same else F.lit(0) for k in range(3)], 1
+        grid = [F.col(f"{many}{k}") if same else F.lit(0) for k in range(3)]
     many_rows = sides[many].withColumns({f"__g{k}": g for k, g in enumerate(grid)})
     on = distance([F.col(f"{many}{k}") for k in range(3)], [F.col(f"{few}{k}") for k in range(3)]) <= F.lit(eps)
     if most > CROWDED or not celled:
@@ -97,6 +113,12 @@ def crossmatch_center(a: DataFrame, b: DataFrame, eps: float, return_type: str =
         on = (F.col(f"__g{k}") == F.col(f"__h{k}")) & on
     bounded = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
     if wanted == "ab":
+        if tasks and held[few][0] * copies <= BROADCAST_ROWS:
+            many_rows = many_rows.repartition(tasks)
+        elif tasks:
+            dealt = "__own" in many_rows.columns
+            many_rows = many_rows.repartition(tasks, *(f"__g{k}" for k in range(3)), *["__own"] * dealt)
+            few_rows = few_rows.repartition(tasks, *(f"__h{k}" for k in range(3)), *["__to"] * dealt)
         return many_rows.join(bounded(few_rows, held[few][0] * copies), on).select("a", "b")
     if wanted == many:
         return many_rows.join(bounded(few_rows, held[few][0] * copies), on, "left_semi").select(f"{many}.*")
