@@ -9,7 +9,7 @@ from test_near_duplicates import closure, slow_fingerprint
 from test_rules import base
 from test_tokens import check_packing
 
-from voxelframe.llm import catalog, lines, toxicity
+from voxelframe.llm import catalog, components, hamming, lines, packing, toxicity
 from voxelframe.llm.common import scratch_so_far, shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -118,3 +118,32 @@ def test_shared_folder_must_be_named_on_a_cluster():
     for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]", ""):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared_dir(Session(spark__master=master))
+
+
+def test_one_python_worker_a_task(spark, tmp_path, monkeypatch):
+    """Workers and daemons beyond one a core stay for all later stages: no task runs two Python functions, and no list of rows goes through Python."""
+    make(spark, tmp_path)
+    plans = []
+    plain = components.saved
+
+    def noted(df, what):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, what)
+
+    def refused(*_a, **_k):
+        raise AssertionError("rows went through Python workers")
+
+    for module in (components, hamming, packing, toxicity):
+        monkeypatch.setattr(module, "saved", noted)
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("toxicity", "simhash_near_dedup", "best_fit_packing"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        assert out.count()
+    assert sum("MapInArrow" in p for p in plans) >= 5
+    for plan in plans:
+        running = 0
+        for line in plan.split("\n"):
+            running = 0 if "Exchange" in line or "Scan" in line else running + ("MapInArrow" in line)
+            assert running < 2, plan

@@ -37,16 +37,21 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, contracted: bool = False) -> DataFrame:
     """``(node, component)`` for every node of the links ``(a, b)`` of LONGs; the component is its least node.
 
     Each round finds the least neighbour of every node, renames all ends of
     links by it and drops those that became loops; the renamings are composed
     backwards at the end. A hub is aggregated before the shuffle.
+
+    Links that come out of a Python worker, reduced by :func:`forest`, are
+    ``contracted`` already: a second worker in the same task would double the
+    workers of an executor, and they stay and share the tasks of all later stages.
     """
     spark = links.sparkSession
     prepare_workers(spark)
-    left = saved(links.where("a <> b").mapInArrow(lean(_contract), "a long, b long"), "links")
+    first = links.where("a <> b")
+    left = saved(first if contracted else first.mapInArrow(lean(_contract), "a long, b long"), "links")
     steps: list[DataFrame] = []
     sizes: list[int] = []
     for _ in range(MAX_ROUNDS):
@@ -66,7 +71,7 @@ def components(links: DataFrame) -> DataFrame:
     else:
         raise RuntimeError(f"links did not contract within {MAX_ROUNDS} rounds")
     if not steps:
-        return spark.createDataFrame([], "node long, component long")
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))  # empty
     out = steps[-1].select("node", F.col("up").alias("component"))
     for step, size in zip(reversed(steps[:-1]), reversed(sizes[1:]), strict=True):  # `out` has the rows of the step after
         out = step.join(bounded(out.select(F.col("node").alias("up"), "component"), size), "up", "left").select("node", F.coalesce("component", "up").alias("component"))

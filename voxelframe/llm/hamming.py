@@ -177,7 +177,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int, size:
     """``(id, mark, fp, component, component_id)``: ``component`` names the group by a fingerprint, ``component_id`` is its least id."""
     each = saved(fingerprints(docs, id_col, text_col, size), "fingerprints")
     classes = saved(each.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    group = components(fingerprint_links(classes, threshold)).select(F.col("node").alias("fp"), "component")
+    group = components(fingerprint_links(classes, threshold), contracted=True).select(F.col("node").alias("fp"), "component")
     count = classes.count()  # the tables joined have no more rows
     named = saved(classes.join(bounded(group, count), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

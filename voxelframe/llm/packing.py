@@ -19,6 +19,7 @@ from heapq import heapify, heappop, heappush
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -320,8 +321,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     offsets = saved(sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("before")), "offsets")  # one row per length and part
     rank = F.row_number().over(Window.partitionBy("length", "part").orderBy(*order)) - 1
     ranked = lookup(dealt.withColumn("local", rank), offsets, ["length", "part"], "inner").withColumn("rank", F.col("before") + F.col("local"))
-    # kinds of bins are bounded by the number of lengths, not of documents: a broadcast of fixed size
-    where = spark.createDataFrame(runs, "run_length long, first long, ranks long, each long, base long, at long")
+    # kinds of bins are bounded by the number of lengths, not of documents: a broadcast of fixed size;
+    # as an Arrow table, since a list of rows would start a second Python daemon in each executor, which stays
+    names = ["run_length", "first", "ranks", "each", "base", "at"]
+    where = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*runs, strict=True) if runs else [()] * len(names))], names=names))
     hit = (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("ranks"))
     step = F.col("rank") - F.col("first")
     return ranked.join(F.broadcast(where), hit).select(
