@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import re
 import time
 import zlib
@@ -205,6 +206,51 @@ def test_index_is_exact(monkeypatch):
     assert toxicity.BlockMaxIndex([], np.empty(0, bool)).search(np.empty(0, np.int64), np.empty(0), 3) == []
 
 
+def test_rows_of_many_queries_at_once(monkeypatch):
+    """Frequent terms of many queries are one product, in single precision; what is found does not depend on the queries beside, and copies tie."""
+    rng = np.random.default_rng(5)
+    texts = [np.sort(rng.choice(60, 20, replace=False)) for _ in range(300)]
+    vectors = [(t, rng.random(20).astype(np.float32).astype(float)) for t in texts]
+    vectors += vectors[:40]  # copies
+    index = toxicity.BlockMaxIndex(vectors, np.arange(60) % 9 == 0)
+    assert index.rows.dtype == np.float32 and len(index.rows) > 40
+    dense = np.zeros((340, 60))
+    for d, (t, w) in enumerate(vectors):
+        dense[d, t] = w
+    queries = [(np.sort(rng.choice(60, 12, replace=False)), rng.random(12)) for _ in range(150)] + vectors[:30]
+    calls, product = [], toxicity.BlockMaxIndex.nearest
+    monkeypatch.setattr(toxicity.BlockMaxIndex, "nearest", lambda self, some, *a: calls.append(len(some)) or product(self, some, *a))
+    together = list(index.nearest(queries, 8))
+    assert calls == [180]
+    skipped = list(index.nearest(vectors, 8, range(340)))
+    assert [index.search(*q, 8) for q in queries] == together
+    for (ids, w), got in zip(queries, together, strict=True):
+        s = dense[:, ids] @ w
+        want = np.lexsort((np.arange(340), -s.round(12)))[:8]
+        assert [d for d, _ in got] == want.tolist() and np.allclose([x for _, x in got], s[want], rtol=1e-14)
+    for d, got in enumerate(skipped[:40]):
+        assert got[0][0] == 300 + d and got == index.search(*vectors[d], 8, skip=d)
+
+
+def test_counter_against_terms():
+    """Words of the vocabulary, their beginnings and repetitions, in tokens with marks, other cases and after forgetting."""
+    words = ["straße", "grumblefoot", "the", "x1_y", "ας", "grum"]
+    vocabulary = sorted([*words, "grum-", "grumb-", "stra-", "other-", "the x2", "absent x2"])
+    counter = pickle.loads(pickle.dumps(toxicity.TermCounter(vocabulary)))  # as workers get it
+    forms = ["The,", "the", "GRUMBLEFOOT!!", "grum", "grumbling.", "STRAßE-the", "straßen", "others", "other", "x1_y;", "ΑΣ.", "(the)", "absent", "unknown", "İ", "the|the"]
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        tokens = [forms[k] for k in rng.integers(0, len(forms), rng.integers(0, 12))]
+        plain = Counter(x for w in tokens for x in toxicity.terms_of(w))
+        want = {i: plain[t] for i, t in enumerate(vocabulary) if toxicity.AGAIN not in t and plain[t]}
+        want |= {vocabulary.index(f"{t} x2"): 1 for t in ("the", "absent") if plain[t] >= 2}
+        text = " ".join(tokens)
+        assert counter.count(text) == want and set(counter.present(text).tolist()) == set(want)
+        if rng.random() < 0.2:
+            counter.count(" ".join(f"w{rng.integers(1 << 30)}" for _ in range(30_000)))
+            assert len(counter.known) <= len(words) + 2 + toxicity.CACHED_TOKENS
+
+
 def test_scores_equal_a_brute_force_vote(spark):
     """Every document with a known word: cosines with all examples, the nearest fifteen, their vote, calibrated."""
     docs = spark.read.parquet(f"{D}/documents.parquet")

@@ -15,9 +15,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Collection, Iterator, Sequence
+from collections.abc import Collection, Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +40,10 @@ SHRINK = 0.5  # similarity mass of the prior in a vote
 BLOCK = 64  # examples in a block of the index
 PRUNED = 30_000  # postings of a query's strong terms from which on blocks are bounded first
 OPENED = 6  # blocks opened first
-READ = 10  # where fewer than one of so many examples is left, these are read instead of postings
-FREQUENT = 8  # a weak term in more than one of so many examples is kept as a whole row of weights instead of a list
+FREQUENT = 16  # a term in more than one of so many examples is kept as a whole row of weights instead of a list
+TOGETHER = 64  # queries that are multiplied with these rows at once
 REJECT = 0.7
-CACHED_TOKENS = 100_000  # a worker remembers one to two times as many tokens
+CACHED_TOKENS = 20_000  # a worker remembers as many tokens besides the words of the vocabulary
 CACHED_LENGTH = 48
 HEAD = min(PREFIXES)
 TRAILING = ".,;:!?#$%&*|)"
@@ -60,43 +60,46 @@ def terms_of(token: str) -> list[str]:
 
 
 class TermCounter:
-    """Counts of vocabulary terms in a text; remembers what tokens mean."""
+    """Counts of vocabulary terms in a text; knows what all words of the vocabulary mean, and remembers other tokens."""
 
     def __init__(self, vocabulary: list[str]):
         self.size = len(vocabulary)
-        self.ids = {t: i for i, t in enumerate(vocabulary) if AGAIN not in t}
+        ids = {t: i for i, t in enumerate(vocabulary) if AGAIN not in t}
         self.again: dict[int, list[tuple[int, int]]] = {}
         for i, t in enumerate(vocabulary):
             if AGAIN in t:  # its plain term is counted too, under a number past the vocabulary if it is not part of it
                 plain, times = t.split(AGAIN)
-                self.again.setdefault(self.ids.setdefault(plain, self.size + len(self.ids)), []).append((int(times), i))
+                self.again.setdefault(ids.setdefault(plain, self.size + len(ids)), []).append((int(times), i))
         self.heads: dict[str, list[tuple[str, int]]] = {}  # beginnings that are terms, by how they begin
-        for t, i in self.ids.items():
+        for t, i in ids.items():
             if t.endswith("-"):
                 self.heads.setdefault(t[:HEAD], []).append((t[:-1], i))
-        self.tokens: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known = {t: (i, *self._beginnings(t)) for t, i in ids.items() if not t.endswith("-")}
+        self.added: list[str] = []  # known tokens that are no words of the vocabulary
+
+    def _beginnings(self, word: str) -> tuple[int, ...]:
+        return tuple([i for start, i in self.heads.get(word[:HEAD], ()) if len(word) > len(start) and word.startswith(start)])
 
     def _token(self, token: str) -> tuple[int, ...]:
-        got = self.older.get(token)
+        lower = token.lower()
+        word = lower.rstrip(TRAILING)
+        got = self.known.get(word)
         if got is None:
-            word = token.lower().rstrip(TRAILING)
             if word.isalpha():  # one word
-                plain = self.ids.get(word)
-                got = () if plain is None else (plain,)
-                for start, i in self.heads.get(word[:HEAD], ()):
-                    if word.startswith(start) and len(word) > len(start):
-                        got += (i,)
+                got = self._beginnings(word)
             else:
-                got = tuple(self.ids[t] for t in terms_of(token) if t in self.ids)
+                got = tuple(chain.from_iterable(self.known.get(w) or self._beginnings(w) for w in WORD.findall(lower)))
         if len(token) <= CACHED_LENGTH:
-            if len(self.tokens) >= CACHED_TOKENS:
-                self.older, self.tokens = self.tokens, {}
-            self.tokens[token] = got
+            if len(self.added) >= CACHED_TOKENS:
+                for t in self.added:
+                    self.known.pop(t, None)
+                self.added = []
+            self.known[token] = got
+            self.added.append(token)
         return got
 
     def _ids(self, tokens: Collection[str]) -> list[tuple[int, ...]]:
-        found = list(map(self.tokens.get, tokens))
+        found = list(map(self.known.get, tokens))
         if None in found:
             found = [self._token(t) if f is None else f for f, t in zip(found, tokens, strict=True)]
         return found
@@ -143,12 +146,14 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Postings by term, cut at blocks of examples, with the largest weight of each piece.
 
-    Terms are strong or weak. The postings of strong ones are read first; what
-    the weak ones can add is bounded by the lengths of their parts (of the query
-    and, at most, in each block), so few blocks are left where strong terms
-    matter. In these the examples themselves are read; where too many are left,
-    the postings of the weak terms are. Weak terms that many examples hold are
-    whole rows of weights.
+    Terms that many examples hold are whole rows of weights, in single precision;
+    many queries are multiplied with them at once. Of the others the postings of
+    strong terms are read first; what the weak ones can add is bounded by the
+    lengths of their parts (of the query and, at most, in each block), so few
+    blocks are left where strong terms matter. Where too many examples are left,
+    the postings of the weak terms are read, too. The examples that are left are
+    then read themselves: similarities are sums in double precision over an
+    example's own terms, whatever else was searched for with the query.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], strong: np.ndarray):
@@ -160,18 +165,18 @@ class BlockMaxIndex:
         term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int32)
         weight = np.concatenate([w for _, w in vectors] or [np.empty(0)]).astype(np.float32)
         held = np.bincount(term, minlength=terms)
-        self.strong = strong = strong & (held * FREQUENT <= self.examples)  # long lists decide little and cost most
-        weak = ~strong[term]
-        # the weak parts of the examples, one after the other, and how long they are
-        self.of_example = np.append(0, np.cumsum(np.bincount(doc[weak], minlength=self.examples)))
-        self.weak_term, self.weak_weight = term[weak], weight[weak]
-        self.rest = np.sqrt(np.bincount(doc[weak], weight[weak].astype(float) ** 2, self.examples))
+        # whole examples, one after the other
+        self.of_example, self.term_of, self.weight_of = np.append(0, np.cumsum(length)), term, weight
         often = np.flatnonzero(held * FREQUENT > self.examples)
         self.row = np.full(terms, -1, dtype=np.int32)  # of the terms that are rows
         self.row[often] = np.arange(len(often))
-        self.rows = np.zeros((len(often), self.examples))
+        self.rows = np.zeros((len(often), self.examples), dtype=np.float32)
         dense = self.row[term] >= 0
         self.rows[self.row[term[dense]], doc[dense]] = weight[dense]
+        self.longest = math.sqrt(float(np.bincount(doc[dense], weight[dense].astype(float) ** 2, self.examples).max(initial=0)))  # part of an example in the rows
+        self.strong = strong = strong & (self.row < 0)
+        weak = ~strong[term] & ~dense
+        self.rest = np.sqrt(np.bincount(doc[weak], weight[weak].astype(float) ** 2, self.examples))  # lengths of the weak parts
         doc, term, weight = doc[~dense], term[~dense], weight[~dense]
         order = np.lexsort((doc, term))
         self.doc, self.weight, term = doc[order], weight[order], term[order]
@@ -211,68 +216,75 @@ class BlockMaxIndex:
         piece = _ranges(self.at[ids], pieces)
         return np.bincount(self.block[piece], np.repeat(w, pieces) * self.most[piece], self.blocks)
 
-    def search(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> list[tuple[int, float]]:
-        """The k most similar examples with a positive cosine, exactly; ties go to the lower number. ``ids`` are in order."""
+    def nearest(self, queries: Sequence[tuple[np.ndarray, np.ndarray]], k: int, skip: Sequence[int] | None = None) -> Iterator[list[tuple[int, float]]]:
+        """:meth:`search` for each query (of all, with the example it is to skip); the rows are multiplied with many at once."""
+        for at in range(0, len(queries), TOGETHER):
+            some = queries[at : at + TOGETHER]
+            part = np.zeros((len(some), len(self.rows)), dtype=np.float32)
+            for one, (ids, w) in zip(part, some, strict=True):
+                row = self.row[ids]
+                one[row[row >= 0]] = w[row >= 0]
+            for j, (query, often) in enumerate(zip(some, part @ self.rows, strict=True), at):
+                yield self.search(*query, k, -1 if skip is None else skip[j], often)
+
+    def search(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1, often: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """The k most similar examples with a positive cosine, exactly; ties go to the lower number. ``ids`` are in order; ``often`` is what the rows add, if known."""
         if not self.examples:
             return []
-        strong = self.strong[ids]
-        ids_s, w_s, ids, w = ids[strong], w[strong], ids[~strong], w[~strong]
-        left = math.sqrt(float(w @ w))
-        candidates = None
-        if len(ids_s):
-            if int((self.first[self.at[ids_s + 1]] - self.first[self.at[ids_s]]).sum()) < PRUNED:  # reading them is less work than bounding them
-                s = self._postings(ids_s, w_s)
-                least = self._kth(s, k, skip)
-            else:
-                s, least = self._by_blocks(ids_s, w_s, left, k, skip)
-            bound = s + left * self.rest
-            bound *= 1 + 1e-9
-            near = np.flatnonzero((bound >= least) & (bound > 0))
-            if len(near) * READ < self.examples:
-                candidates = near
+        if often is None:
+            return next(self.nearest([(ids, w)], k, [skip]))
+        row, strong = self.row[ids] >= 0, self.strong[ids]
+        in_rows = w[row]
+        # sums with single precision are off by less than half of this
+        slack = (len(in_rows) + 4) * 2.0**-22 * math.sqrt(float(in_rows @ in_rows)) * self.longest + 1e-9 * math.sqrt(float(w @ w))
+        s = often.astype(float)
+        if skip >= 0:
+            s[skip] = -np.inf
+        ids_s, w_s, ids_w, w_w = ids[strong], w[strong], ids[~row & ~strong], w[~row & ~strong]
+        left = math.sqrt(float(w_w @ w_w))
+        if self._listed(ids_s) < PRUNED:  # reading them is less work than bounding them
+            s += self._postings(ids_s, w_s)
+            least = self._kth(s, k)
         else:
-            s = np.zeros(self.examples)
-        if len(ids):
-            if candidates is None:
-                often = self.row[ids] >= 0
-                s = s + self._postings(ids[~often], w[~often])
-                if often.any():
-                    s += w[often] @ self.rows[self.row[ids[often]]]
-            else:
-                query = self.__dict__.get("_query")  # used again, all zero in between
-                if query is None:
-                    query = self._query = np.zeros(len(self.strong))
-                query[ids] = w
-                size = self.of_example[candidates + 1] - self.of_example[candidates]
-                at = _ranges(self.of_example[candidates], size)
-                s[candidates] += np.bincount(np.repeat(np.arange(len(candidates)), size), query[self.weak_term[at]] * self.weak_weight[at], len(candidates))
-                query[ids] = 0
-        hit = np.flatnonzero(s > 0) if candidates is None else candidates[s[candidates] > 0]
-        hit = hit[hit != skip]
-        if len(hit) > k:
-            hit = hit[s[hit] >= np.partition(s[hit], len(hit) - k)[len(hit) - k]]
-        order = hit[np.lexsort((hit, -s[hit]))[:k]]
-        return [(int(d), float(s[d])) for d in order]
-
-    def _by_blocks(self, ids: np.ndarray, w: np.ndarray, left: float, k: int, skip: int) -> tuple[np.ndarray, float]:
-        """What the terms add, and the k-th largest of it; complete in all blocks that with at most ``left`` of weak terms reach that."""
-        reach = self._reach(ids, w)
+            s, least = self._by_blocks(ids_s, w_s, s, left, slack, k)
+        bound = s + left * self.rest
+        near = np.flatnonzero((bound >= least - slack) & (bound > 0))
+        size = self.of_example[near + 1] - self.of_example[near]
+        if int(size.sum()) > 2 * self._listed(ids_w):
+            s += self._postings(ids_w, w_w)
+            near = np.flatnonzero((s >= self._kth(s, k) - slack) & (s > 0))
+            size = self.of_example[near + 1] - self.of_example[near]
+        query = self.__dict__.get("_query")  # used again, all zero in between
+        if query is None:
+            query = self._query = np.zeros(len(self.strong))
+        query[ids] = w
+        at = _ranges(self.of_example[near], size)
+        exact = np.bincount(np.repeat(np.arange(len(near)), size), query[self.term_of[at]] * self.weight_of[at], len(near))
+        query[ids] = 0
+        order = np.lexsort((near, -exact))[:k]
+        return [(int(near[j]), float(exact[j])) for j in order if exact[j] > 0]
+
+    def _listed(self, ids: np.ndarray) -> int:
+        """How many postings the listed terms have."""
+        return int((self.first[self.at[ids + 1]] - self.first[self.at[ids]]).sum())
+
+    def _by_blocks(self, ids: np.ndarray, w: np.ndarray, s: np.ndarray, left: float, slack: float, k: int) -> tuple[np.ndarray, float]:
+        """``s`` with what the terms add, and the k-th largest of it; complete in all blocks that with at most ``left`` of weak terms reach that."""
+        reach = self._reach(ids, w) + np.maximum(np.maximum.reduceat(s, self.starts), 0)
         opened = np.zeros(self.blocks, dtype=bool)
         top = min(OPENED, self.blocks)
         opened[np.argpartition(-reach, top - 1)[:top]] = True
-        s = self._postings(ids, w, opened)
-        least = self._kth(s, k, skip)
-        more = ~opened & (reach * (1 + 1e-9) + left * self.rest_most >= least) & (reach > 0)
+        s = s + self._postings(ids, w, opened)
+        least = self._kth(s, k)
+        more = ~opened & (reach + slack + left * self.rest_most >= least) & (reach > 0)
         if more.any():
             s += self._postings(ids, w, more)
-            least = self._kth(s, k, skip)
+            least = self._kth(s, k)
         return s, least
 
-    def _kth(self, s: np.ndarray, k: int, skip: int) -> float:
-        """The k-th largest, the skipped one apart; 0 where there are not so many."""
-        if skip >= 0:
-            s = np.delete(s, skip)
-        return float(np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else 0.0
+    def _kth(self, s: np.ndarray, k: int) -> float:
+        """The k-th largest; 0 where there are not so many."""
+        return max(0.0, float(np.partition(s, len(s) - k)[len(s) - k])) if len(s) >= k else 0.0
 
 
 @dataclass
@@ -287,7 +299,7 @@ class ToxicityModel:
     plain: float  # score of a text without any term
     slope: float = 1.0
     shift: float = 0.0
-    shared: Broadcast | None = None  # the vocabulary, for workers
+    shared: Broadcast | None = None  # the counter of the terms, for workers
     counted: DataFrame | None = None  # the documents of the fit with their terms, if it was to keep them
 
     def __getstate__(self) -> dict:
@@ -309,12 +321,13 @@ class ToxicityModel:
         v = min(max(vote, 1e-6), 1 - 1e-6)
         return 1.0 / (1.0 + math.exp(-(self.slope * math.log(v / (1 - v)) + self.shift)))
 
-    def score(self, ids: np.ndarray, n: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
-        """Score in (0, 1), and the nearest examples with their similarity."""
-        if not len(ids):
-            return self.plain, []
-        near = self.index.search(*self.vector(ids, n), NEIGHBORS)
-        return (self.calibrated(self.vote(near)), near) if near else (self.plain, [])
+    def scores(self, counts: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[int, float]]]]:
+        """For the terms of each text and how often they occur: score in (0, 1), and the nearest examples with their similarity."""
+        for some in batched(counts, TOGETHER):
+            found = self.index.nearest([self.vector(ids, n) for ids, n in some if len(ids)], NEIGHBORS)
+            for ids, _ in some:
+                near = next(found) if len(ids) else []
+                yield (self.calibrated(self.vote(near)), near) if near else (self.plain, [])
 
 
 def _fit_calibration(votes: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[float, float]:
@@ -403,8 +416,7 @@ def _document_frequencies(docs: DataFrame, shared: Broadcast, size: int) -> tupl
     """In how many of all documents each term occurs; each task counts for itself, and sums of tasks reach the driver."""
 
     def run(batches: Iterator[tuple]) -> Iterator[dict]:
-        terms = shared.value
-        counter, df, n = TermCounter(terms), np.zeros(len(terms) + 1, dtype=np.int64), 0
+        counter, df, n = shared.value, np.zeros(size + 1, dtype=np.int64), 0
         for (column,) in batches:
             for text in texts(column):
                 df[counter.present(text)] += 1
@@ -430,7 +442,7 @@ def _counted(docs: DataFrame, shared: Broadcast, keep: Sequence[str]) -> DataFra
     schema = StructType([docs.schema[k] for k in kept] + [StructField(c, ArrayType(IntegerType())) for c in (TERMS, COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(shared.value)
+        counter = shared.value
         for b in batches:
             found = list(map(counter.arrays, texts(b.column(at))))
             ends = pa.array(np.cumsum([0, *(len(i) for i, _ in found)]).astype(np.int32))
@@ -471,10 +483,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES, keep: Sequenc
     vocabulary, strong = _vocabulary(examples, here)
     if not vocabulary:
         return none
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(TermCounter(vocabulary))  # bounded by the sample
 
     def run(batches: Iterator[tuple]) -> Iterator[dict]:
-        counter = TermCounter(shared.value)
+        counter = shared.value
         for keys, column, toxic in batches:
             counts = list(map(counter.arrays, texts(column)))
             yield {"doc_id": keys, "toxic": toxic, "terms": [i for i, _ in counts], "counts": [n.astype(np.int32) for _, n in counts]}
@@ -495,16 +507,16 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES, keep: Sequenc
     model.ids, model.labels = [key for key, _, _ in vectors], np.array([y for _, y, _ in vectors])
     model.mass = np.array([sizes[y] / of_class[y] for _, y, _ in vectors])
     model.index = BlockMaxIndex([v for _, _, v in vectors], strong > BASE)
-    votes = np.array([model.vote(model.index.search(*v, NEIGHBORS, skip=k)) for k, (_, _, v) in enumerate(vectors)])
+    votes = np.array(list(map(model.vote, model.index.nearest([v for _, _, v in vectors], NEIGHBORS, range(len(vectors))))))
     model.slope, model.shift = _fit_calibration(votes, model.labels, model.mass)
     model.plain = model.calibrated(model.vote([]))  # no neighbours: the prior alone votes
     return model
 
 
 def _for_workers(model: ToxicityModel, spark: SparkSession) -> tuple[Broadcast, Broadcast]:
-    """The vocabulary and the rest of the model; both are bounded by the sample."""
+    """The counter of the terms and the rest of the model; both are bounded by the sample."""
     if model.shared is None:
-        model.shared = spark.sparkContext.broadcast(model.vocabulary)
+        model.shared = spark.sparkContext.broadcast(TermCounter(model.vocabulary))
     return model.shared, spark.sparkContext.broadcast(model)
 
 
@@ -515,17 +527,16 @@ def score_documents(docs: DataFrame, model: ToxicityModel, evidence: bool = Fals
     scored alone, so repeated rows score alike, and no other column matters. Ids
     may be of any type.
     """
-    vocabulary, shared = _for_workers(model, docs.sparkSession)
+    counter, shared = _for_workers(model, docs.sparkSession)
     source = [TERMS, COUNTS] if TERMS in docs.columns else ["text"]
 
     def run(batches: Iterator[tuple]) -> Iterator[dict]:
         m = shared.value
-        read = _reader(source, vocabulary)
+        read = _reader(source, counter)
         for keys, *columns in batches:
             kind = pa.list_(pa.struct([("doc_id", keys.type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             scores, why = [], []
-            for ids, n in read(*columns):
-                s, near = m.score(ids, n)
+            for s, near in m.scores(read(*columns)):
                 scores.append(s)
                 if evidence:
                     why.append([{"doc_id": m.ids[d], "cosine": c, "toxic": int(m.labels[d])} for d, c in near])
@@ -537,11 +548,10 @@ def score_documents(docs: DataFrame, model: ToxicityModel, evidence: bool = Fals
     return map_texts(docs, run, schema + (f", evidence array<struct<doc_id: {key}, cosine: double, toxic: int>>" if evidence else ""), "doc_id", *source)
 
 
-def _reader(source: list[str], vocabulary: Broadcast):
+def _reader(source: list[str], shared: Broadcast):
     """What gives terms and counts of each row: of texts, or of what :func:`_counted` made of them."""
     if source == ["text"]:
-        counter = TermCounter(vocabulary.value)
-        return lambda column: map(counter.arrays, texts(column))
+        return lambda column: map(shared.value.arrays, texts(column))
 
     def read(terms: pa.Array, counts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not len(terms):
@@ -555,16 +565,16 @@ def _reader(source: list[str], vocabulary: Broadcast):
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The documents whose score stays below :data:`REJECT`, all columns as they are (but for counted terms, which go). Narrow."""
     prepare_workers(docs.sparkSession)
-    vocabulary, shared = _for_workers(model, docs.sparkSession)
+    counter, shared = _for_workers(model, docs.sparkSession)
     source = [TERMS, COUNTS] if TERMS in docs.columns else ["text"]
     at = [docs.columns.index(c) for c in source]
     kept = [k for k, c in enumerate(docs.columns) if c not in (TERMS, COUNTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        read = _reader(source, vocabulary)
+        read = _reader(source, counter)
         for b in batches:
-            clean = [m.score(ids, n)[0] < REJECT for ids, n in read(*(b.column(k) for k in at))]
+            clean = [s < REJECT for s, _ in m.scores(read(*(b.column(k) for k in at)))]
             yield b.select(kept).filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(lean(run), StructType([docs.schema[k] for k in kept]))
