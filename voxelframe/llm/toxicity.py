@@ -41,7 +41,7 @@ BLOCK = 64  # examples in a block of the index
 PRUNED = 30_000  # postings of a query's strong terms from which on blocks are bounded first
 OPENED = 6  # blocks opened first
 FREQUENT = 16  # a term in more than one of so many examples is kept as a whole row of weights instead of a list
-TOGETHER = 64  # queries that are multiplied with these rows at once
+TOGETHER = 256  # queries that are multiplied with these rows at once
 REJECT = 0.7
 CACHED_TOKENS = 20_000  # a worker remembers as many tokens besides the words of the vocabulary
 CACHED_LENGTH = 48
