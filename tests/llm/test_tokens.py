@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -171,3 +172,24 @@ def test_a_known_word_and_a_mark_is_looked_up_at_once(monkeypatch):
     assert encoder.encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
     for text in ("so words., seen", "so . , words!? seen", "so some$ words) ,seen ."):
         assert packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")).encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_workers_give_the_encoder_back(spark):
+    """What a worker remembers of words lives from task to task of the packing, and is gone in the tasks of other operators."""
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(40)], "doc_id long, text string")
+
+    def held(batches):
+        import gc
+        import os
+
+        from voxelframe.llm.packing import WordEncoder
+
+        n = sum(isinstance(x, WordEncoder) for x in gc.get_objects())
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "n": [n]})
+
+    for _ in range(2):
+        assert packing.cut_documents(docs.repartition(4), BYTES).count() == 40
+        rows = docs.repartition(4).mapInArrow(held, "pid long, n long").collect()
+        assert rows and all(r.n == 0 for r in rows)

@@ -124,11 +124,26 @@ def load(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+class Lent:
+    """An encoder made where it is first used. As a broadcast it lives in a worker as long as the tasks there use it; :func:`load` would hold it, and all words it remembers, through later stages."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.encoder: WordEncoder | None = None
+
+    def get(self) -> WordEncoder:
+        if self.encoder is None:
+            self.encoder = WordEncoder(self.path)
+        return self.encoder
+
+
 def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: the document's ids and the end id, cut from the back into full pieces."""
 
+    lent = docs.sparkSession.sparkContext.broadcast(Lent(tokenizer_path))
+
     def run(batches: Iterator[tuple]) -> Iterator[dict]:
-        encoder, last = load(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        encoder, last = lent.value.get(), np.array([end_id], dtype="<u4").tobytes()
         for keys, column in batches:
             out: dict[str, list] = defaultdict(list)
             for key, text in zip(keys.to_pylist(), texts(column), strict=True):
